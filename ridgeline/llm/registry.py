@@ -4,19 +4,36 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from . import chat, exact, media, mixing
+from . import archive, chat, exact, media, mixing, packing, quality, tokens
 from .common import save, table
 
 Query = Callable[[SparkSession, str], DataFrame]
 
 
+def op1_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return archive.archive_pages(table(spark, sf_dir, "pages"))
+
+
+def op2_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality.classify(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 def op5_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = chat.with_probe(spark, table(spark, sf_dir, "conversations"))
     return chat.digests(save(chat.format_conversations(rows), "chat"))
 
 
+def op6_token_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return tokens.token_table(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"))
+
+
+def op7_pattern_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packing.pack_documents(table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"))
+
+
 def op8_iso_media(spark: SparkSession, sf_dir: str) -> DataFrame:
     return media.media_features(table(spark, sf_dir, "documents"))
 
@@ -30,8 +47,8 @@ def op10_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Query]:
-    return {f.__name__: f for f in (op5_chat_format, op8_iso_media, op9_mix_sources, op10_exact_dedup)}
+    return {f.__name__: f for f in (op1_warc, op2_quality, op5_chat_format, op6_token_ids, op7_pattern_packing, op8_iso_media, op9_mix_sources, op10_exact_dedup)}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op5_chat_format": chat.SQL, "op10_exact_dedup": exact.SQL}
+    return {"op1_warc": archive.SQL, "op5_chat_format": chat.SQL, "op10_exact_dedup": exact.SQL}
