@@ -87,9 +87,10 @@ def plan_packing(counts: np.ndarray, capacity: int = CAPACITY, bins: int = BINS,
         want = min(want, int((per_bin[need] // matrix[need, j]).min()))
         if want <= 0:
             continue
-        per_bin -= want * matrix[:, j]
-        slots = [_take(left, b, width, capacity, want) for b in sorted(found[j], reverse=True)]
-        made += _zip_runs(slots, want)
+        *fixed, open_bin = sorted(found[j], reverse=True)
+        slots = [_take(left, b, width, capacity, want) for b in fixed or [open_bin]]
+        made += _best_last(_zip_runs(slots, want), left, capacity) if fixed else _zip_runs(slots, want)
+        per_bin = np.bincount(bin_of, left, bins + 1)
     made = _fill(made, left, capacity)
     return _ranks(made)
 
@@ -124,6 +125,30 @@ def _zip_runs(slots: list[list[tuple[int, int]]], want: int) -> list:
     return out
 
 
+def _best_last(made: list, left: np.ndarray, capacity: int) -> list:
+    """Each sequence with the longest piece that still fits: the pattern's last bin, or, as pieces are shorter than their bins' upper edges, just above it."""
+    out = []
+    for lengths, count in made:
+        free = capacity - sum(n * m for n, m in lengths)
+        while count:
+            fits = np.flatnonzero(left[: free + 1])
+            if not len(fits):
+                out.append((lengths, count))
+                break
+            n = int(fits[-1])
+            step = min(count, int(left[n]))
+            left[n] -= step
+            count -= step
+            out.append((_with(lengths, n, 1), step))
+    return out
+
+
+def _with(lengths: tuple[tuple[int, int], ...], n: int, times: int) -> tuple[tuple[int, int], ...]:
+    both = dict(lengths)
+    both[n] = both.get(n, 0) + times
+    return tuple(both.items())
+
+
 def _fill(made: list, left: np.ndarray, capacity: int) -> list:
     """The rest, longest first, each where it leaves the least space; new sequences where it fits nowhere."""
     room: list[list] = [[] for _ in range(capacity + 1)]
@@ -145,9 +170,7 @@ def _fill(made: list, left: np.ndarray, capacity: int) -> list:
                 free, lengths, times = capacity, (), min(capacity // n, count)
                 step = count // times
             open_at[free] = bool(room[free])
-            last = dict(lengths)
-            last[n] = last.get(n, 0) + times
-            room[free - n * times].append((tuple(last.items()), step))
+            room[free - n * times].append((_with(lengths, n, times), step))
             open_at[free - n * times] = True
             count -= step * times
     return [x for spots in room for x in spots]

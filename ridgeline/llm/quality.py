@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 
 from .common import blocks, mix64, run_hashes, text_bytes, text_or_empty
 
-BUCKETS, WIDTH, GRAMS = 1 << 18, 16, (3, 5)
+BUCKETS, WIDTH, GRAMS, RECENT = 1 << 18, 16, (3, 5), 8
 #: At most so many labelled rows are learnt from, those whose hashed ids come first: their features, a few kB each, are all that reaches the driver.
 TRAIN_ROWS = 2000
 EPOCHS, RATE, SEED = 12, 8.0, 7
@@ -21,7 +21,7 @@ HELD_OUT = 1
 
 
 def features(data: np.ndarray, bounds: np.ndarray, grams: tuple[int, ...] = GRAMS, buckets: int = BUCKETS) -> tuple[np.ndarray, np.ndarray]:
-    """The bucket of every word and in-word n-gram (first and last byte may be a blank) of each text, and the text it is in."""
+    """The bucket of every word, word pattern and in-word n-gram (first and last byte may be a blank) of each text, and the text it is in."""
     data = data[bounds[0] : bounds[-1]]
     bounds = bounds - bounds[0]
     if not len(data):
@@ -38,7 +38,12 @@ def features(data: np.ndarray, bounds: np.ndarray, grams: tuple[int, ...] = GRAM
     last = inside.copy()
     last[:-1] &= blank[1:] | starts_text[1:-1]
     begins, stops = np.flatnonzero(first), np.flatnonzero(last) + 1
-    kinds, owners = [run_hashes(data, begins, stops)], [owner[begins]]
+    words, whose = run_hashes(data, begins, stops), owner[begins]
+    # a word n-gram's pattern: how many words back the same word stands, whatever word it is
+    back = np.zeros(len(words), np.uint64)
+    for k in range(RECENT, 0, -1):
+        back[k:][(words[k:] == words[:-k]) & (whose[k:] == whose[:-k])] = k
+    kinds, owners = [words, mix64(back + np.uint64(1 << 60))], [whose, whose]
     blanks = np.concatenate([[0], np.cumsum(blank)])
     place = np.arange(len(data))
     for n in grams:
