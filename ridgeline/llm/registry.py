@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from . import archive, chat, exact, media, mixing, neardup, packing, quality, tokens
+from . import archive, chat, exact, lines, media, mixing, neardup, packing, quality, tokens
 from .common import save, table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -25,6 +25,10 @@ def op3_minmax_neardup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return neardup.near_duplicates(table(spark, sf_dir, "documents")).drop("mark")
 
 
+def op4_fuzzy_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lines.dedup_lines(table(spark, sf_dir, "documents")).select("doc_id", "text", "n_lines", "n_dropped")
+
+
 def op5_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = chat.with_probe(spark, table(spark, sf_dir, "conversations"))
     return chat.digests(save(chat.format_conversations(rows), "chat"))
@@ -51,7 +55,7 @@ def op10_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Query]:
-    return {f.__name__: f for f in (op1_warc, op2_quality, op3_minmax_neardup, op5_chat_format, op6_token_ids, op7_pattern_packing, op8_iso_media, op9_mix_sources, op10_exact_dedup)}
+    return {f.__name__: f for f in (op1_warc, op2_quality, op3_minmax_neardup, op4_fuzzy_lines, op5_chat_format, op6_token_ids, op7_pattern_packing, op8_iso_media, op9_mix_sources, op10_exact_dedup)}
 
 
 def oracle_sql() -> dict[str, str]:

@@ -120,10 +120,10 @@ def true_components(sets: DataFrame, share: int) -> DataFrame:
     return components(met.groupBy("root", "i", "j").applyInPandas(_verify_block(share), "a bigint, b bigint"))
 
 
-def found_texts(docs: DataFrame, wanted: DataFrame, keys: list[str]) -> DataFrame:
-    """docs joined with wanted on keys (null-safe): wanted is broadcast if its counted rows are few, else both are shuffled."""
+def found_texts(docs: DataFrame, wanted: DataFrame, keys: list[str], sets: int | None = None) -> DataFrame:
+    """docs joined with wanted on keys (null-safe): wanted is broadcast if its counted rows (or `sets`, what they hold) are few, else both are shuffled."""
     wanted = save(wanted, "wanted")
-    side = F.broadcast(wanted) if wanted.count() <= BROADCAST_SETS else wanted
+    side = F.broadcast(wanted) if (wanted.count() if sets is None else sets) <= BROADCAST_SETS else wanted
     side = side.select([F.col(c).alias(f"__w_{c}") if c in keys else F.col(c) for c in side.columns])
     on = [docs[k].eqNullSafe(side[f"__w_{k}"]) for k in keys]
     return docs.join(side, on).drop(*[f"__w_{k}" for k in keys])
