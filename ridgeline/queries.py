@@ -9,9 +9,10 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .functions import known, natural_key, z_index
-from .operators import linking, scores, spatial, tracks
+from .operators import linking, scores, segmentation, spatial, tracks
 from .oracles import DESCRIBED, POP_ALL, POP_QUALITY
 from .params import Params
+from .plans import run_detections, tuning
 from .sources import detections, pick_slices, slice_gaps, table, with_cell_track
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -428,3 +429,29 @@ def trk_faults(s, d):
     w = Window.partitionBy("linker", "stack_id", "track_no").orderBy("z_slice")
     step = F.col("z_slice") - F.lag("z_slice").over(w)
     return every.withColumn("step", step).groupBy("linker").agg(F.count("*").alias("n"), F.count_if((F.col("step") < 1) | (F.col("step") > P.track_max_gap_slices + 1)).alias("faults"))
+
+
+@query
+def k_segment(s, d):
+    """Slices drawn from the detections, segmented and measured: every object, with why it is refused."""
+    return tracks.accept(segmentation.segment_images(segmentation.drawn_slices(det(s, d)), P), P)
+
+
+@query
+def k_detections(s, d):
+    """The same images to accepted detections, linked and summarised."""
+    found = segmentation.detections_of(segmentation.drawn_slices(det(s, d)), P)
+    return tracks.with_quality(tracks.summarise(linking.with_track_ids(linking.link(found, P)), P), P).select("stack_id", *tracks.SUMMARY, "quality_flags")
+
+
+@query
+def opt_grid(s, d):
+    """Nine parameter sets scored in one job."""
+    sets = tuning.grid(P, {"conservative_max_width_jump_ratio": [0.4, 0.5, 0.6], "conservative_max_centroid_jump_um": [6.0, 8.0, 10.0]})
+    return rounded(tuning.evaluate(det(s, d), sets).select("set_id", "n_tracks", "n_long", "n_tort", "n_thick", "n_taper", "score"), "score")
+
+
+@query
+def run_all(s, d):
+    """A whole run: tracks with neighbours and flags."""
+    return run_detections(det(s, d), P).tracks.select("stack_id", *tracks.SUMMARY, "nearest_neighbor_um", "quality_flags", "is_quality_track")

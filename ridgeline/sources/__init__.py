@@ -121,11 +121,13 @@ def canonical(df: DataFrame, required: Iterable[str] = ()) -> DataFrame:
 
 
 def read_run(spark: SparkSession, folder: str, name: str, schema: str) -> DataFrame:
-    """A delimited table of a run: the file of exactly this name, else that of the highest version (name_v5.1.csv); never a single-slice one."""
-    files = [r["path"] for r in spark.read.format("binaryFile").option("pathGlobFilter", f"{name}*.csv").option("recursiveFileLookup", True).load(folder).select("path").collect() if "single" not in r["path"]]
-    fits = [(m.group(1), f) for f in files if (m := re.search(rf"/{re.escape(name)}(?:_v([\d.]+))?\.csv(?:/|$)", f))]
-    if not fits:
+    """A delimited table of a run: the file or folder of exactly this name, else that of the highest version (name_v5.1.csv)."""
+    path = spark._jvm.org.apache.hadoop.fs.Path(f"{folder}/{name}*.csv")
+    found = [x.getPath().toString() for x in path.getFileSystem(spark._jsc.hadoopConfiguration()).globStatus(path)]
+    rank = {}
+    for f in found:
+        if m := re.fullmatch(rf"{re.escape(name)}(?:_v([\d.]+))?\.csv", f.rsplit("/", 1)[-1]):
+            rank[f] = (m[1] is None, [int(x) for x in (m[1] or "0").split(".")])
+    if not rank:
         raise ValueError(f"no {name} in {folder}")
-    best = max(v is None and (1, []) or (0, [int(x) for x in v.split(".")]) for v, _ in fits)
-    chosen = [f for v, f in fits if (v is None and (1, []) or (0, [int(x) for x in v.split(".")])) == best]
-    return spark.read.schema(schema).option("header", True).csv(chosen)
+    return spark.read.schema(schema).option("header", True).csv(max(rank, key=rank.get))
