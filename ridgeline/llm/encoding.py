@@ -1,4 +1,9 @@
-"""Token ids of whole texts by a public tokenizer, with a bounded memory of words already encoded."""
+"""Token ids of whole texts by a public tokenizer, with a bounded memory of pieces already encoded.
+
+A byte-pair vocabulary encodes each piece of its own splitting rule alone, and pieces recur, so texts are split here and new pieces
+given to the tokenizer's model. Texts of Latin letters are split by the rule itself; of others, runs between white space, which no piece
+crosses, go through the whole tokenizer; texts with unusual white space go through it in one piece.
+"""
 
 from __future__ import annotations
 
@@ -9,42 +14,72 @@ from functools import lru_cache
 
 os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
 
-#: White space other than the six ASCII characters, or what some libraries take for it: texts that hold any are encoded in one piece.
+#: White space other than the six ASCII characters, or what some libraries take for it.
 ODD = re.compile("[\x1c-\x1f\x85\xa0  -     　]")
-#: Both vocabularies split texts before any run of white space, so pieces cut there can be encoded alone.
-LEADING = re.compile(r"[ \t-\r]*[^ \t-\r]+|[ \t-\r]+")
-DROPPED = re.compile(r"[^ \t-\r]+")
-KEPT_PIECES, LONGEST_KEPT, BATCH = 600_000, 48, 2048
+#: Latin text: nothing from U+0250 on, no odd white space, no letter whose lower case is two characters.
+BEYOND_LATIN = re.compile("[\x1c-\x1f\x85\xa0İɐ-\U0010ffff]")
+#: Letters, numbers and the rest, as Unicode's L, N and neither, for Latin text.
+LETTER, NUMBER, OTHER = r"[^\W\d_²³¹¼½¾]", "[0-9²³¹¼½¾]", r"(?:[^\s\w]|_)"
+CLITIC = "'(?:s|t|re|ve|m|ll|d)"
+#: By whether white space takes part in ids (byte-level BPE) or not (words with ends, in lower case): the splitting rule of the
+#: vocabulary for Latin text, and the runs that can be encoded alone in any text.
+RULE = {True: re.compile(rf"{CLITIC}| ?{LETTER}+| ?{NUMBER}+| ?{OTHER}+|\s+(?!\S)|\s+"), False: re.compile(rf"{CLITIC}|{LETTER}+|{NUMBER}|{OTHER}+")}
+RUNS = {True: re.compile(r"[ \t-\r]*[^ \t-\r]+|[ \t-\r]+"), False: re.compile(r"[^ \t-\r]+")}
+KEPT_PIECES, LONGEST_KEPT, BATCH = 600_000, 48, 1024
+
+
+def byte_letters() -> dict[int, str]:
+    """The printable character that stands for each byte in a byte-level vocabulary: itself where it prints, else one from U+0100 on."""
+    own = [*range(33, 127), *range(161, 173), *range(174, 256)]
+    rest = [b for b in range(256) if b not in own]
+    return {b: chr(b) for b in own} | {b: chr(256 + k) for k, b in enumerate(rest)}
 
 
 class Encoder:
     """encode() gives each text's ids as little-endian unsigned 32-bit integers.
 
-    Strings of special tokens in a text are ordinary text. spaces: whether white space takes part in ids (byte-level BPE
-    does so, a vocabulary with word ends doesn't)."""
+    Strings of special tokens in a text are ordinary text. spaces: whether white space takes part in ids."""
 
     def __init__(self, path: str, spaces: bool):
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.encode_special_tokens = True
-        self.pattern = LEADING if spaces else DROPPED
+        self.model, self.letters, self.spaces = self.tokenizer.model, byte_letters(), spaces
         self.known: dict[str, bytes] = {}
 
-    def _ids(self, texts: list[str]) -> list[bytes]:
+    def whole(self, texts: list[str]) -> list[bytes]:
+        """Ids by the whole tokenizer, each text in one piece."""
         return [array("I", e.ids).tobytes() for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
 
+    def _piece(self, piece: str) -> bytes:
+        letters = piece.encode().decode("latin-1").translate(self.letters)
+        return array("I", [t.id for t in self.model.tokenize(letters)]).tobytes()
+
     def encode(self, texts: list[str]) -> list[bytes]:
-        pieces = [None if ODD.search(t) else self.pattern.findall(t) for t in texts]
+        rule, runs = RULE[self.spaces].findall, RUNS[self.spaces].findall
         if len(self.known) > KEPT_PIECES:
             self.known.clear()
-        new = list(set().union(*(p for p in pieces if p)).difference(self.known))
-        for i in range(0, len(new), BATCH):
-            part = new[i : i + BATCH]
-            self.known.update(zip(part, self._ids(part), strict=True))
+        latin, other, pieces = set(), set(), []
+        for t in texts:
+            if not BEYOND_LATIN.search(t):
+                pieces.append(rule(t if self.spaces else t.lower()))
+                latin.update(pieces[-1])
+            elif not ODD.search(t):
+                pieces.append(runs(t))
+                other.update(pieces[-1])
+            else:
+                pieces.append(None)
+        latin = latin.difference(self.known)  # looks up its own few pieces, where difference_update would walk all that is known
+        other = other.difference(self.known).difference(latin)
+        self.known.update(zip(latin, map(self._piece, latin), strict=True))
+        rest = list(other)
+        for i in range(0, len(rest), BATCH):
+            part = rest[i : i + BATCH]
+            self.known.update(zip(part, self.whole(part), strict=True))
         look = self.known.__getitem__
-        out = [self._ids([t])[0] if p is None else b"".join(map(look, p)) for t, p in zip(texts, pieces, strict=True)]
-        for piece in new:
+        out = [self.whole([t])[0] if p is None else b"".join(map(look, p)) for t, p in zip(texts, pieces, strict=True)]
+        for piece in (*latin, *rest):
             if len(piece) > LONGEST_KEPT:
                 del self.known[piece]
         return out
