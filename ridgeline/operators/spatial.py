@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import boxes_touch, inconsistency
+from ..lineage import settled
 from ..params import Params
 
 BOX = ["bbox_min_y", "bbox_min_x", "bbox_max_y", "bbox_max_x"]
@@ -93,7 +94,7 @@ def nearest_other(points: DataFrame, first: float = 16.0) -> DataFrame:
 
     Cells double in size from round to round. What is found within one cell size of a point is certain; only points without
     such a find go on, against all points, until a stack fits in the cells around. A cell's points count in its own row of the grid, so a round is one join."""
-    points = points.persist()  # every round reads them
+    points = settled(points)  # every round reads them
     spread = points.groupBy("stack_id").agg(*[(F.max(c) - F.min(c)).alias(f"d{c}") for c in "xyz"]).agg(F.max(F.greatest("dx", "dy", "dz"))).first()[0]
     open_, done, size = points, None, first
     while True:
@@ -109,10 +110,11 @@ def nearest_other(points: DataFrame, first: float = 16.0) -> DataFrame:
         found = open_.join(best, ["stack_id", "id"], "left")
         last = spread is None or size > spread
         sure = found if last else found.where(F.col("nearest_um") <= size)
+        sure = settled(sure)
         done = sure if done is None else done.unionByName(sure)
         if last:
             return done
-        open_ = open_.join(sure.select("stack_id", "id"), ["stack_id", "id"], "left_anti").persist()
+        open_ = settled(open_.join(sure.select("stack_id", "id"), ["stack_id", "id"], "left_anti"))
         size *= 4
 
 

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from ..operators import linking, segmentation, tracks
 from ..operators.spatial import nearest_other
+from ..lineage import settled
 from ..params import Params
 
 
@@ -38,12 +39,12 @@ class Run:
 
 def run_detections(d: DataFrame, p: Params, linker: str = "overlap_first") -> Run:
     """Link, summarise, find neighbours, flag."""
-    linked = linking.with_track_ids(linking.link(d, p, linker))
-    t = tracks.summarise(linked, p)
+    linked = settled(linking.with_track_ids(linking.link(d, p, linker)))
+    t = settled(tracks.summarise(linked, p))
     points = t.select("stack_id", F.col("track_id").alias("id"), (F.col("mean_x") * p.um_per_px_xy).alias("x"), (F.col("mean_y") * p.um_per_px_xy).alias("y"), (F.col("mean_z") * p.um_per_slice_z).alias("z"))
     near = nearest_other(points).select(F.col("id").alias("track_id"), F.col("nearest_um").alias("nearest_neighbor_um"))
     slices = tracks.slice_summary(d.select("stack_id", "z_slice").distinct(), d)
-    return Run(linked, tracks.with_quality(t.join(near, "track_id", "left"), p), slices)
+    return Run(linked, settled(tracks.with_quality(t.join(near, "track_id", "left"), p)), slices)
 
 
 def run_images(images: DataFrame, p: Params, linker: str = "overlap_first") -> Run:
