@@ -1,13 +1,15 @@
 """Near-duplicate sets: min-max signatures, banding, candidate clusters, and exact verification in blocks.
 
 Sets are arrays of 64-bit item hashes. Nothing here emits pairs: a bucket's members are chained, chained members form candidate
-clusters, and a block of a cluster is compared at once inside a task, which returns a spanning forest of the true links.
+clusters, and a block of a cluster is compared at once inside a task, which returns a spanning forest of the true links. Tasks stream over sorted groups, as most are tiny.
 """
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -32,9 +34,9 @@ def min_max(items: np.ndarray, bounds: np.ndarray, permutations: int, seed: int)
     low = (items >> np.uint64(32)).astype(np.uint32)
     starts = bounds[:-1]
     out = np.empty((len(starts), 2 * permutations), np.uint32)
+    images = np.empty_like(low)
     for k, m in enumerate(multipliers(permutations, seed)):
-        images = low * m
-        images ^= images >> np.uint32(15)
+        np.multiply(low, m, out=images)
         out[:, 2 * k] = np.minimum.reduceat(images, starts)
         out[:, 2 * k + 1] = np.maximum.reduceat(images, starts)
     return out
@@ -93,17 +95,46 @@ def _links(items: list[np.ndarray], left: int, share: int) -> np.ndarray:
     return roots
 
 
-def _verify_block(share: int):
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.drop_duplicates("node").sort_values(["block", "node"], kind="stable")
-        apart = pdf["i"].iloc[0] != pdf["j"].iloc[0]
-        left = int((pdf["block"] == pdf["i"].iloc[0]).sum()) if apart else 0
-        if len(pdf) < 2 or apart and left in (0, len(pdf)):
-            return pd.DataFrame({"a": np.zeros(0, np.int64), "b": np.zeros(0, np.int64)})
-        nodes = pdf["node"].to_numpy(np.int64)
-        roots = _links([np.frombuffer(x, "<u8") for x in pdf["items"]], left, share)
-        at = np.flatnonzero(roots != np.arange(len(roots)))
-        return pd.DataFrame({"a": nodes[at], "b": nodes[roots[at]]})
+def _forest(nodes: np.ndarray, blocks: np.ndarray, items: list[np.ndarray], share: int) -> tuple[np.ndarray, np.ndarray]:
+    """Edges (node, root) of a spanning forest of the true links among one group's sets, sorted by block and node.
+
+    A group of one block compares all with all; a group of two blocks only sets of one with sets of the other."""
+    once = np.flatnonzero(np.append(True, nodes[1:] != nodes[:-1]))
+    nodes, blocks, items = nodes[once], blocks[once], [items[k] for k in once]
+    left = int((blocks == blocks[0]).sum()) % len(nodes)
+    if len(nodes) == 2:
+        common = len(np.intersect1d(*items, assume_unique=True))
+        roots = np.array([0, 0 if 100 * common >= share * (len(items[0]) + len(items[1]) - common) else 1])
+    else:
+        roots = _links(items, left, share)
+    at = np.flatnonzero(roots != np.arange(len(roots)))
+    return nodes[at], nodes[roots[at]]
+
+
+def _verify_batches(share: int):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[tuple[np.ndarray, list[np.ndarray]]] = []  # parts of the group that may go on in the next batch
+
+        def close() -> tuple[np.ndarray, np.ndarray]:
+            numbers, items = np.concatenate([n for n, _ in held]), [x for _, part in held for x in part]
+            held.clear()
+            if len(items) < 2 or (numbers[0, 1] != numbers[0, 2] and len(np.unique(numbers[:, 3])) < 2):
+                return np.zeros(0, np.int64), np.zeros(0, np.int64)
+            return _forest(numbers[:, 4], numbers[:, 3], items, share)
+
+        for batch in batches:
+            numbers = np.stack([np.asarray(batch.column(k)).astype(np.int64) for k in range(5)], 1)
+            cuts = np.flatnonzero((numbers[1:, :3] != numbers[:-1, :3]).any(1)) + 1
+            sets = batch.column(5).to_pylist()
+            edges = []
+            for a, b in zip([0, *cuts.tolist()], [*cuts.tolist(), len(numbers)], strict=True):
+                if held and (held[-1][0][0, :3] != numbers[a, :3]).any():
+                    edges.append(close())
+                held.append((numbers[a:b], [np.frombuffer(x, "<u8") for x in sets[a:b]]))
+            if edges:
+                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(x)) for x in zip(*edges, strict=True)], ["a", "b"])
+        if held:
+            yield pa.RecordBatch.from_arrays([pa.array(x) for x in close()], ["a", "b"])
 
     return run
 
@@ -116,8 +147,9 @@ def true_components(sets: DataFrame, share: int) -> DataFrame:
     sent to as many tasks as its cluster has blocks."""
     block = F.pmod(F.xxhash64("node"), F.col("blocks").cast("bigint")).cast("int")
     met = sets.withColumn("block", block).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-    met = met.select("node", "root", "items", "block", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"))
-    return components(met.groupBy("root", "i", "j").applyInPandas(_verify_block(share), "a bigint, b bigint"))
+    met = met.select("root", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"), "block", "node", "items")
+    groups = met.repartition("root", "i", "j").sortWithinPartitions("root", "i", "j", "block", "node")
+    return components(groups.mapInArrow(_verify_batches(share), "a bigint, b bigint"))
 
 
 def found_texts(docs: DataFrame, wanted: DataFrame, keys: list[str], sets: int | None = None) -> DataFrame:
