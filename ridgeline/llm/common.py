@@ -37,6 +37,12 @@ def shared_dir(spark: SparkSession) -> str:
     return f"file://{base}"
 
 
+def in_batches(df: DataFrame, rows: int = 1000) -> DataFrame:
+    """df, for Arrow functions: batches of few rows keep both ends of the pipe small where texts are long."""
+    df.sparkSession.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(rows))
+    return df
+
+
 def new_path(spark: SparkSession, name: str) -> str:
     return f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
 
@@ -74,7 +80,7 @@ def text_bytes(column) -> tuple[np.ndarray, np.ndarray]:
     return np.frombuffer(data, np.uint8) if data else np.zeros(0, np.uint8), bounds
 
 
-def blocks(bounds: np.ndarray, most: int = 1 << 20):
+def blocks(bounds: np.ndarray, most: int = 1 << 18):
     """Row ranges whose bytes come to about `most`, so that work arrays stay small; one row at least."""
     start, n = 0, len(bounds) - 1
     while start < n:

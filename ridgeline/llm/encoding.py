@@ -25,7 +25,7 @@ CLITIC = "'(?:s|t|re|ve|m|ll|d)"
 #: vocabulary for Latin text, and the runs that can be encoded alone in any text.
 RULE = {True: re.compile(rf"{CLITIC}| ?{LETTER}+| ?{NUMBER}+| ?{OTHER}+|\s+(?!\S)|\s+"), False: re.compile(rf"{CLITIC}|{LETTER}+|{NUMBER}|{OTHER}+")}
 RUNS = {True: re.compile(r"[ \t-\r]*[^ \t-\r]+|[ \t-\r]+"), False: re.compile(r"[^ \t-\r]+")}
-KEPT_PIECES, LONGEST_KEPT, BATCH = 600_000, 48, 1024
+KEPT_PIECES, LONGEST_KEPT, BATCH = 300_000, 48, 1024
 
 
 def byte_letters() -> dict[int, str]:

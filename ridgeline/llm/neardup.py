@@ -10,7 +10,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import blocks, mix64, run_hashes, save, text_bytes, text_or_empty
+from .common import blocks, in_batches, mix64, run_hashes, save, text_bytes, text_or_empty
 from .similar import band_keys, candidate_clusters, found_texts, min_max, planned, true_components
 
 #: 96 permutations give 192 values: 32 bands of 6. At similarity 0.85 a pair shares no band with probability 3e-7, at 0.8 with 6e-5;
@@ -65,7 +65,7 @@ def _signature_batches(words: int, permutations: int, rows: int, seed: int):
         seen: set[int] = set()
         for batch in batches:
             data, bounds = text_bytes(batch.column(2))
-            for a, b in blocks(bounds, 1 << 19):
+            for a, b in blocks(bounds):
                 items, ends = distinct(*shingles(data, bounds[a : b + 1], words))
                 sizes = np.diff(ends)
                 full = np.flatnonzero(sizes)
@@ -74,7 +74,7 @@ def _signature_batches(words: int, permutations: int, rows: int, seed: int):
                     nodes[i] = node = set_node(items[ends[i] : ends[i + 1]])
                     if node not in seen:
                         fresh.append(i)
-                        if len(seen) < 1_000_000:
+                        if len(seen) < 200_000:
                             seen.add(node)
                 keys = np.zeros((0, 2 * permutations // rows), np.int64)
                 if fresh:
@@ -92,7 +92,7 @@ def _set_batches(words: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             data, bounds = text_bytes(batch.column(3))
-            for a, b in blocks(bounds, 1 << 19):
+            for a, b in blocks(bounds):
                 items, ends = distinct(*shingles(data, bounds[a : b + 1], words))
                 sets = [items[x:y].astype("<u8").tobytes() for x, y in zip(ends[:-1].tolist(), ends[1:].tolist(), strict=True)]
                 yield pa.RecordBatch.from_arrays([*(batch.column(k).slice(a, b - a) for k in range(3)), pa.array(sets, pa.binary())], ["node", "root", "blocks", "items"])
@@ -112,7 +112,7 @@ def near_duplicates(docs: DataFrame, words: int = 3, share: int = 85, permutatio
     the component's. An empty table gives no rows; only doc_id and text are read.
     """
     rows_in = docs.select("doc_id", F.xxhash64(text_or_empty("text")).alias("mark"), text_or_empty("text").alias("text"))
-    marked = save(rows_in.mapInArrow(_signature_batches(words, permutations, rows, seed), "doc_id bigint, mark bigint, n bigint, node bigint, bands array<bigint>"), "neardup-marked")
+    marked = save(in_batches(rows_in).mapInArrow(_signature_batches(words, permutations, rows, seed), "doc_id bigint, mark bigint, n bigint, node bigint, bands array<bigint>"), "neardup-marked")
     clusters = candidate_clusters(marked.select("node", F.explode("bands").alias("key")))
     reps = marked.where("n > 0").join(clusters, "node").groupBy("node", "root").agg(F.max("n").alias("n"), F.min(F.struct("doc_id", "mark")).alias("rep"))
     reps = save(reps, "neardup-reps")

@@ -18,7 +18,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import save, text_or_empty
+from .common import in_batches, save, text_or_empty
 from .encoding import encoder, groups
 
 CAPACITY, BINS, PARTS = 4096, 64, 4
@@ -214,7 +214,7 @@ def cut_pieces(docs: DataFrame, tokenizer: str, end_id: int = 1, capacity: int =
     """One row per piece of each whole text (null: empty) with end_id appended: longer ones are cut every `capacity` ids.
 
     part and nth number the pieces of one length within a task, from which pack() counts ranks without a sort."""
-    return docs.select("doc_id", text_or_empty("text").alias("text")).mapInArrow(_piece_batches(tokenizer, end_id, capacity), PIECES)
+    return in_batches(docs).select("doc_id", text_or_empty("text").alias("text")).mapInArrow(_piece_batches(tokenizer, end_id, capacity), PIECES)
 
 
 def _placed(table: np.ndarray):

@@ -11,7 +11,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import new_path, text_or_empty
+from .common import in_batches, new_path, text_or_empty
 from .encoding import encoder, groups
 
 COLUMNS = "doc_id bigint, part int, local_start bigint, n_tokens bigint, ids array<int>"
@@ -58,7 +58,7 @@ def write_tokens(docs: DataFrame, path: str, tokenizer: str, end_id: int = 0) ->
     doc_id, its own number (part), the count of ids before the document in it, n_tokens and ids. Null ids come first, equal ids
     go by text. Only doc_id and text are read; an empty table writes files without rows.
     """
-    rows = docs.select("doc_id", text_or_empty("text").alias("text"))
+    rows = in_batches(docs).select("doc_id", text_or_empty("text").alias("text"))
     ordered = rows.repartitionByRange("doc_id").sortWithinPartitions("doc_id", "text")
     ordered.mapInArrow(_encode_batches(tokenizer, end_id), COLUMNS).write.options(**FILE_OPTIONS).parquet(path)
 
