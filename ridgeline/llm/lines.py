@@ -10,15 +10,15 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import run_hashes, save, text_or_empty
+from .common import in_batches, run_hashes, save, text_or_empty
 from .neardup import distinct
 from .similar import band_keys, candidate_clusters, found_texts, min_max, planned, true_components
 
 #: Lines are compared by their shingles of SHINGLE characters and linked at a Jaccard similarity of SHARE percent. Lines of fewer than
 #: LEAST characters (headings, list marks, closing words) carry too little to be called copies and always stay.
 SHINGLE, SHARE, LEAST = 8, 80, 24
-#: 24 permutations give 48 values: 12 bands of 4. Lines of similarity 0.9 share none with 3e-6, of 0.8 with 2e-3.
-PERMUTATIONS, ROWS, SEED = 24, 4, 23
+#: 32 permutations give 64 values: 16 bands of 4. Lines of similarity 0.9 share none with 4e-8, of 0.85 with 8e-6, of 0.8 with 2e-4.
+PERMUTATIONS, ROWS, SEED = 32, 4, 23
 #: Up to so many different repeated lines (32 bytes each) their decisions are sent to all tasks; beyond, they are joined to documents.
 LOCAL_DECISIONS = 500_000
 CHUNK = 1 << 18
@@ -80,7 +80,7 @@ def _line_batches(shingle: int, least: int, permutations: int, rows: int, seed:
                 for i, node in enumerate(lines.node.tolist()):
                     if node not in seen:
                         fresh.append(i)
-                        if len(seen) < 1_000_000:
+                        if len(seen) < 200_000:
                             seen.add(node)
                 keys = np.zeros((0, 2 * permutations // rows), np.int64)
                 if fresh:
@@ -122,7 +122,7 @@ def repeated_lines(docs: DataFrame, shingle: int = SHINGLE, share: int = SHARE,
     mark and line of the component's first occurrence in order of these three, nulls first."""
     rows_in = docs.select("doc_id", F.xxhash64(text_or_empty("text")).alias("mark"), text_or_empty("text").alias("text"))
     schema = "doc_id bigint, mark bigint, line int, node bigint, chars bigint, bands array<bigint>"
-    lines = save(rows_in.mapInArrow(_line_batches(shingle, least, permutations, rows, seed), schema), "lines")
+    lines = save(in_batches(rows_in).mapInArrow(_line_batches(shingle, least, permutations, rows, seed), schema), "lines")
     clusters = candidate_clusters(lines.select("node", F.explode("bands").alias("key")))
     classes = save(lines.groupBy("node").agg(F.count("*").alias("times"), F.min(F.struct("doc_id", "mark", "line")).alias("first"), F.max("chars").alias("n")), "line-classes")
     members = save(classes.join(clusters, "node").select("node", "root", "n", "first"), "line-members")
