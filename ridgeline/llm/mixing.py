@@ -143,6 +143,7 @@ def repeat_documents(docs: DataFrame, taken: DataFrame) -> DataFrame:
 
     docs are matched by doc_id; rows that share one share its plan. Documents without words are not part of a mix."""
     copies = taken.where("size > 0").groupBy(F.col("doc_id").alias("__mix_id")).agg(F.max(F.floor(F.col("taken") / F.col("size") + 0.5)).alias("__mix_copies"))
-    joined = docs.join(copies, docs["doc_id"].eqNullSafe(copies["__mix_id"])).where("__mix_copies > 0")
+    # one plan at every size: the plan's rows grow with docs, so they are never broadcast
+    joined = docs.join(copies.hint("merge"), docs["doc_id"].eqNullSafe(copies["__mix_id"])).where("__mix_copies > 0")
     return joined.withColumn("__mix_copy", F.explode(F.sequence(F.lit(1), F.col("__mix_copies").cast("int")))).select(*[docs[c] for c in docs.columns])
 
