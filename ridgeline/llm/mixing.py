@@ -84,6 +84,18 @@ def take_blocks(sizes: np.ndarray, words: int, block: int, rng: np.random.Genera
     return passes * sizes + np.diff(reached)
 
 
+def whole_copies(sizes: np.ndarray, taken: np.ndarray, rng: np.random.Generator) -> np.ndarray:
+    """Copies of each document for its taken words: the whole ones, and for what remains one more with the probability remaining / size.
+
+    That is exact for every document, short or long. The draw is systematic over the running sum of these shares in order of size, so like sizes
+    are drawn evenly and the words drawn differ from the plan's by no more than about the longest document."""
+    copies, rest = np.divmod(taken, np.maximum(sizes, 1))
+    order = np.argsort(sizes, kind="stable")
+    marks = np.floor(np.cumsum(rest[order] / np.maximum(sizes[order], 1)) + (start := rng.random()))
+    copies[order] += np.diff(marks, prepend=np.floor(start)).astype(np.int64)
+    return copies
+
+
 def _quotas(block: int, cap: float):
     def of_source(pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.sort_values("shard", kind="stable")
@@ -94,13 +106,14 @@ def _quotas(block: int, cap: float):
     return of_source
 
 
-def _selection(block: int, cap: float, seed: int):
+def _selection(block: int, cap: float, seed: int, whole: bool):
     def of_shard(pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.sort_values(["place", "doc_id", "size"], kind="stable", na_position="first")
         sizes = pdf["size"].to_numpy(np.int64)
         words = min(int(pdf["quota"].iloc[0]) * block, int(cap * int(sizes.sum())))
         rng = np.random.default_rng([seed, int(pdf["shard"].iloc[0]), *pdf["key"].iloc[0].encode()])
-        return pdf[["doc_id", "key", "size"]].assign(taken=take_blocks(sizes, words, block, rng))
+        taken = take_blocks(sizes, words, block, rng)
+        return pdf[["doc_id", "key", "size"]].assign(taken=whole_copies(sizes, taken, rng) * sizes if whole else taken)
 
     return of_shard
 
@@ -133,13 +146,14 @@ def mix_sources(docs: DataFrame, weights: Sequence[float] = WEIGHTS, share: floa
     dealt = sized.join(sources.select("key", "shards"), "key").select("doc_id", "key", "size", F.pmod(place, F.col("shards").cast("bigint")).alias("shard"), F.xxhash64(F.lit(seed + 1), place).alias("place"))
     totals = dealt.groupBy("key", "shard").agg(F.sum("size").alias("words")).join(sources.select("key", "seats"), "key")
     quotas = save(totals.groupBy("key").applyInPandas(_quotas(block_words, cap), "key string, shard bigint, words bigint, quota bigint"), "mix-quotas")
-    taken = dealt.join(quotas.select("key", "shard", "quota"), ["key", "shard"]).groupBy("key", "shard").applyInPandas(_selection(block_words, cap, seed), "doc_id bigint, key string, size bigint, taken bigint")
+    taken = dealt.join(quotas.select("key", "shard", "quota"), ["key", "shard"]).groupBy("key", "shard").applyInPandas(_selection(block_words, cap, seed, block_words > BLOCK_WORDS), "doc_id bigint, key string, size bigint, taken bigint")
     out = taken.join(sources.select("key", "source_size", "target"), "key")
     return out.select("doc_id", F.when(F.col("key") != "1", F.substr("key", F.lit(2))).alias("source"), "size", "source_size", "target", "taken")
 
 
 def repeat_documents(docs: DataFrame, taken: DataFrame) -> DataFrame:
-    """The mix as whole documents: each row of docs as often as its taken words round to (half up) of its size.
+    """The mix as whole documents: each row of docs as often as the plan takes it, one of blocks over BLOCK_WORDS (the words of
+    any other are rounded half up for each document alone, which is biased against long ones).
 
     docs are matched by doc_id; rows that share one share its plan. Documents without words are not part of a mix."""
     copies = taken.where("size > 0").groupBy(F.col("doc_id").alias("__mix_id")).agg(F.max(F.floor(F.col("taken") / F.col("size") + 0.5)).alias("__mix_copies"))
