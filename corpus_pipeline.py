@@ -25,10 +25,8 @@ def unrepeated_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataF
 
 
 def near_unique(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near copies (five-word shingles, similarity 0.8), the one with the least doc_id."""
-    found = neardup.near_duplicates(docs, words=5, share=80)
-    gone = found.where("NOT kept").select(F.col("doc_id").alias("__near_id")).distinct()
-    return docs.join(gone, docs["doc_id"].eqNullSafe(gone["__near_id"]), "left_anti")
+    """One row of each group of near copies (five-word shingles, similarity 0.8), the one with the least doc_id."""
+    return neardup.one_of_each(docs, words=5, share=80)
 
 
 def mixed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

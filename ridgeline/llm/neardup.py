@@ -100,17 +100,8 @@ def _set_batches(words: int):
     return run
 
 
-def near_duplicates(docs: DataFrame, words: int = 3, share: int = 85, permutations: int = PERMUTATIONS, rows: int = ROWS, seed: int = SEED) -> DataFrame:
-    """doc_id, n_shingles, component_id, kept, and mark (a hash of the text) for every row of docs.
-
-    Documents whose sets of word shingles have a Jaccard similarity of at least share / 100 are linked; component_id is the least
-    doc_id of a component. Equal sets are one node from the start, so copies cost one signature a task; signatures find
-    candidate clusters; full sets, made again from the texts of one document per node, decide.
-
-    Texts that are null or without words have no shingles and are linked with nothing. A null doc_id takes part, but a component's
-    id is null only if all its ids are; kept compares null-safely. Repeated rows are equal sets, and each is kept if its id is
-    the component's. An empty table gives no rows; only doc_id and text are read.
-    """
+def _classes(docs: DataFrame, words: int, share: int, permutations: int, rows: int, seed: int) -> tuple[DataFrame, DataFrame]:
+    """(marked, named): doc_id, mark, n and node of every row of docs, and the root of every node's component with its least doc_id."""
     rows_in = docs.select("doc_id", F.xxhash64(text_or_empty("text")).alias("mark"), text_or_empty("text").alias("text"))
     marked = save(in_batches(rows_in).mapInArrow(_signature_batches(words, permutations, rows, seed), "doc_id bigint, mark bigint, n bigint, node bigint, bands array<bigint>"), "neardup-marked")
     clusters = candidate_clusters(marked.select("node", F.explode("bands").alias("key")))
@@ -122,8 +113,47 @@ def near_duplicates(docs: DataFrame, words: int = 3, share: int = 85, permutatio
     roots = true_components(sets, share)
     classes = marked.where("n > 0").groupBy("node").agg(F.min("doc_id").alias("least"))
     named = save(classes.join(roots, "node", "left").select("node", F.coalesce("root", "node").alias("root"), "least"), "neardup-classes")
+    return marked, named
+
+
+def near_duplicates(docs: DataFrame, words: int = 3, share: int = 85, permutations: int = PERMUTATIONS, rows: int = ROWS, seed: int = SEED) -> DataFrame:
+    """doc_id, n_shingles, component_id, kept, and mark (a hash of the text) for every row of docs.
+
+    Documents whose sets of word shingles have a Jaccard similarity of at least share / 100 are linked; component_id is the least
+    doc_id of a component. Equal sets are one node from the start, so copies cost one signature a task; signatures find
+    candidate clusters; full sets, made again from the texts of one document per node, decide.
+
+    Texts that are null or without words have no shingles and are linked with nothing. A null doc_id takes part, but a component's
+    id is null only if all its ids are; kept compares null-safely. Repeated rows are equal sets, and each is kept if its id is
+    the component's. An empty table gives no rows; only doc_id and text are read.
+    """
+    marked, named = _classes(docs, words, share, permutations, rows, seed)
     least = named.groupBy("root").agg(F.min("least").alias("component_id"))
     names = save(named.join(least, "root").select("node", "component_id"), "neardup-names")
     linked = marked.where("n > 0").select("doc_id", "mark", "n", "node").join(names, "node").select("doc_id", "mark", "n", "component_id")
     alone = marked.where("n = 0").select("doc_id", "mark", "n", F.col("doc_id").alias("component_id"))
     return linked.unionAll(alone).select("doc_id", F.col("n").alias("n_shingles"), "component_id", F.col("doc_id").eqNullSafe(F.col("component_id")).alias("kept"), "mark")
+
+
+def one_of_each(docs: DataFrame, words: int = 3, share: int = 85, permutations: int = PERMUTATIONS, rows: int = ROWS, seed: int = SEED) -> DataFrame:
+    """The rows of docs, all columns, but of each component of near_duplicates one row only.
+
+    It is the row of the least doc_id (nulls last), then of the least mark; rows that repeat both are told apart by their
+    other columns, least first. Whether a row goes depends on its own text, not on other texts under its id. Texts that are
+    null or without words all stay.
+    """
+    marked, named = _classes(docs, words, share, permutations, rows, seed)
+    members = marked.where("n > 0").select("doc_id", "mark", "node").join(named.select("node", "root"), "node")
+    texts = save(members.groupBy("root", "doc_id", "mark").agg(F.count("*").alias("times")), "neardup-texts")
+    first = texts.groupBy("root").agg(F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "mark")).alias("first"), F.sum("times").alias("rows"))
+    first = first.where("rows > 1").select("root", F.col("first.doc_id").alias("first_id"), F.col("first.mark").alias("first_mark"))
+    is_first = F.col("doc_id").eqNullSafe(F.col("first_id")) & (F.col("mark") == F.col("first_mark"))
+    # an id and a mark are one text, so in one component: texts to leave out, and those to thin out as several rows hold them
+    listed = texts.join(first, "root").withColumn("again", is_first).where("NOT again OR times > 1")
+    listed = save(listed.select(F.col("doc_id").alias("__near_id"), F.col("mark").alias("__near_mark"), "again"), "neardup-gone")
+    held = docs.withColumn("__near_own", F.xxhash64(text_or_empty("text")))
+    on = held["doc_id"].eqNullSafe(listed["__near_id"]) & (held["__near_own"] == listed["__near_mark"])
+    clear = held.join(listed, on, "left_anti").select(*docs.columns)
+    several = held.join(listed.where("again"), on, "left_semi")
+    thinned = several.groupBy("doc_id", "__near_own").agg(F.min(F.struct(*docs.columns)).alias("row")).select("row.*")
+    return clear.unionByName(thinned)

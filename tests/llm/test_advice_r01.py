@@ -3,6 +3,9 @@ from collections import Counter
 
 import numpy as np
 
+import pytest
+from test_operators import ROWS, linked, shingles_of
+
 import corpus_pipeline
 from ridgeline.llm import mixing
 
@@ -39,3 +42,30 @@ def test_mix_keeps_long_documents(spark):
     assert abs(words["a"] / targets["a"] - 1) < 0.05 and abs(words["b"] / targets["b"] - 1) < 0.05
     long = sum(1 for r in rows if r["source"] == "a" and len(r["text"]) > 8000)
     assert 40 <= long <= 80
+
+
+#: One id for two texts, a null id for a near copy and for unique texts, exact repeats, a group without ids, rows that differ in source only.
+LONG = " ".join(f"word{i}" for i in range(60))
+ALIKE = [
+    (20, LONG, "en", "a"), (None, LONG + " more", "en", "b"), (None, "a unique clean text that has no id but should stay", "en", "c"), (21, LONG + " again", "en", "a"),
+    (21, "a unique clean text under an id given twice, also to stay", "en", "a"), (30, "this text and its id come back three times in all", "en", "c"), (30, "this text and its id come back three times in all", "en", "b"),
+    (30, "this text and its id come back three times in all", "en", "c"), (None, LONG[::-1], "en", "b"), (None, LONG[::-1], "en", "a"), (22, LONG + " extra", "de", "a"), (22, "  ", "de", "a"), (22, "  ", "de", "a"),
+]
+
+
+@pytest.mark.parametrize("rows", [ALIKE, ROWS, [*ROWS, *ALIKE]])
+def test_near_unique_keeps_one_row_of_each_group(spark, rows):
+    docs = spark.createDataFrame(rows, "doc_id bigint, text string, lang string, source string")
+    marks = {r["text"]: r["mark"] for r in docs.selectExpr("text", "xxhash64(coalesce(text, '')) AS mark").distinct().collect()}
+    order = lambda r: (r[0] is None, r[0] or 0, marks[r[1]], *((x is not None, x or "") for x in r[1:]))
+    sets = [shingles_of(r[1], 5) for r in rows]
+    kept = {}
+    for c, s, r in zip(linked(sets, 80), sets, rows, strict=True):
+        if s:
+            kept[c] = min([r, *([kept[c]] if c in kept else [])], key=order)
+    want = Counter([*kept.values(), *(r for s, r in zip(sets, rows, strict=True) if not s)])
+    for d in (docs, docs.repartition(5)):
+        got = corpus_pipeline.near_unique(spark, d, None)
+        assert got.columns == docs.columns and got.dtypes == docs.dtypes
+        assert Counter(tuple(r) for r in got.collect()) == want
+    assert corpus_pipeline.near_unique(spark, docs.limit(0), None).count() == 0
