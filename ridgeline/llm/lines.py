@@ -15,9 +15,10 @@ from .neardup import distinct
 from .similar import band_keys, candidate_clusters, found_texts, min_max, planned, true_components
 
 #: Lines are compared by their shingles of SHINGLE characters and linked at a Jaccard similarity of SHARE percent. Lines of fewer than
-#: LEAST characters (headings, list marks, closing words) carry too little to be called copies and always stay.
-SHINGLE, SHARE, LEAST = 8, 80, 24
-#: 32 permutations give 64 values: 16 bands of 4. Lines of similarity 0.9 share none with 4e-8, of 0.85 with 8e-6, of 0.8 with 2e-4.
+#: LEAST characters would be left out; at 1 every line that is not blank takes part, headings and closing words too.
+SHINGLE, SHARE, LEAST = 8, 80, 1
+#: 32 permutations give 64 values: 16 bands of 4. Lines of similarity 0.9 share none with 4e-8, of 0.85 with 8e-6, of 0.8 with 2e-4
+#: (8e-4 for the shortest, of 5 shingles, whose least and greatest values are not independent).
 PERMUTATIONS, ROWS, SEED = 32, 4, 23
 #: Up to so many different repeated lines (32 bytes each) their decisions are sent to all tasks; beyond, they are joined to documents.
 LOCAL_DECISIONS = 500_000
@@ -183,8 +184,7 @@ def _drop_listed(at: int):
 def dedup_lines(docs: DataFrame, local: int = LOCAL_DECISIONS, **how: int) -> DataFrame:
     """Every row of docs, all its columns, with repeated lines taken out of text, and n_lines and n_dropped (its lines before, and gone).
 
-    Of a component of equal or similar lines, over all documents, the first occurrence stays. Lines under LEAST characters, and
-    blank ones, always stay; a text that loses nothing is unchanged, one that loses all lines is empty. Null texts stay null
+    Of a component of equal or similar lines, over all documents, the first occurrence stays. Blank lines always stay; a text that loses nothing is unchanged, one that loses all lines is empty. Null texts stay null
     and have no lines. Rows that repeat an id and a text count as one document, so both keep or lose the same lines; null ids come
     first. An empty table gives no rows. Columns named n_lines or n_dropped in docs are replaced.
     """

@@ -7,7 +7,7 @@ import pytest
 from test_operators import ROWS, linked, shingles_of
 
 import corpus_pipeline
-from ridgeline.llm import mixing
+from ridgeline.llm import lines, mixing
 
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
 
@@ -69,3 +69,11 @@ def test_near_unique_keeps_one_row_of_each_group(spark, rows):
         assert got.columns == docs.columns and got.dtypes == docs.dtypes
         assert Counter(tuple(r) for r in got.collect()) == want
     assert corpus_pipeline.near_unique(spark, docs.limit(0), None).count() == 0
+
+
+@pytest.mark.parametrize("local", [lines.LOCAL_DECISIONS, 0])
+def test_short_lines_are_deduplicated(spark, local):
+    texts = ["All rights reserved.\nand ornd.\n-\n\none", "x\n ALL RIGHTS RESERVED. \n\n-\nand ornd.\ntwo", None, "-", "and ornd!\n\n\nthree"]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id bigint, text string")
+    got = {r["doc_id"]: (r["text"], r["n_dropped"]) for r in lines.dedup_lines(docs, local).collect()}
+    assert got == {0: (texts[0], 0), 1: ("x\n\ntwo", 3), 2: (None, 0), 3: ("", 1), 4: (texts[4], 0)}
