@@ -3,6 +3,8 @@
 from __future__ import annotations
 
 import atexit
+import contextlib
+import hashlib
 import shutil
 import tempfile
 import uuid
@@ -14,6 +16,8 @@ from pyspark.sql import functions as F
 #: The six ASCII white-space characters; words are what stands between them.
 SPACES = " \t\n\x0b\x0c\r"
 WORD = r"[^\x20\x09-\x0D]+"
+#: Rows in an Arrow batch of texts.
+BATCH_ROWS = 1000
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -37,21 +41,48 @@ def shared_dir(spark: SparkSession) -> str:
     return f"file://{base}"
 
 
-def in_batches(df: DataFrame, rows: int = 1000) -> DataFrame:
-    """df, for Arrow functions: batches of few rows keep both ends of the pipe small where texts are long."""
-    df.sparkSession.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(rows))
-    return df
+@contextlib.contextmanager
+def settings(spark: SparkSession, **values: str):
+    """Session settings for the length of a block; what was set before comes back."""
+    names = {k: k.replace("__", ".") for k in values}
+    before = {n: spark.conf.get(n, None) for n in names.values()}
+    try:
+        for k, n in names.items():
+            spark.conf.set(n, values[k])
+        yield
+    finally:
+        for n, old in before.items():
+            spark.conf.unset(n) if old is None else spark.conf.set(n, old)
+
+
+def matched(left: DataFrame, right: DataFrame, on, how: str = "inner") -> DataFrame:
+    """left, whose rows hold texts, joined with right, which has one small row per key: both are shuffled, and each task keeps its part
+    of right in a hash table, so that texts are not sorted."""
+    return left.join(right.hint("shuffle_hash"), on, how)
+
+
+def merged(left: DataFrame, right: DataFrame, on, how: str = "inner") -> DataFrame:
+    """left joined with right by a sort-merge join: for sides that grow with the input, so that neither is ever broadcast."""
+    return left.join(right.hint("merge"), on, how)
+
+
+#: For tables that are mostly hashes: a dictionary of them is lost work.
+HASHES = {"parquet.enable.dictionary": "false"}
 
 
 def new_path(spark: SparkSession, name: str) -> str:
     return f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
 
 
-def save(df: DataFrame, name: str, **options: str) -> DataFrame:
-    """Write df to the shared folder and read it back: cuts lineage in a way that outlives any executor."""
+def save(df: DataFrame, name: str = "", path: str = "", **options: str) -> DataFrame:
+    """Write df to the shared folder (or to path) and read it back: cuts lineage in a way that outlives any executor.
+
+    While it is written, Arrow batches hold BATCH_ROWS rows at most, which keeps both ends of the pipe to Python small where texts are
+    long, and its shuffle files go when the write is done, as nothing can ask for them again."""
     spark = df.sparkSession
-    path = new_path(spark, name)
-    df.write.options(**({"compression": "zstd"} | options)).parquet(path)
+    path = path or new_path(spark, name)
+    with settings(spark, spark__sql__execution__arrow__maxRecordsPerBatch=str(BATCH_ROWS), spark__sql__classic__shuffleDependency__fileCleanup__enabled="true"):
+        df.write.options(**({"compression": "zstd"} | options)).parquet(path)
     out = spark.read.schema(df.schema).parquet(path)
     out._ridgeline_path = path
     return out
@@ -98,25 +129,31 @@ def mix64(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(31))
 
 
-_P = np.uint64(0x9E3779B97F4A7C15)
-_powers: list[np.ndarray] = [np.ones(1, np.uint64), np.ones(1, np.uint64)]
+def run_hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray, longest: int = 256) -> np.ndarray:
+    """A 64-bit hash of each run of bytes data[start:end]: eight bytes at a time are mixed in, and runs over `longest` bytes are digested.
+
+    Every step is a bijection of its eight bytes followed by a full mix, so no structure of the text makes two runs collide."""
+    lengths = ends - starts
+    padded = np.concatenate([data, np.zeros(8, np.uint8)])
+    eight = np.ndarray((len(data) + 1,), "<u8", padded, strides=(1,))
+    out = mix64(lengths.astype(np.uint64) * np.uint64(0xD6E8FEB86659FD93) + np.uint64(1))
+    going, at = np.flatnonzero((lengths > 0) & (lengths <= longest)), 0
+    while len(going):
+        rest = np.minimum(lengths[going] - at, 8).astype(np.uint64)
+        block = eight[starts[going] + at] & (np.uint64(0xFFFFFFFFFFFFFFFF) >> (np.uint64(64) - np.uint64(8) * rest))
+        out[going] = mix64(out[going] * np.uint64(0x9E3779B97F4A7C15) ^ block)
+        at += 8
+        going = going[lengths[going] > at]
+    for i in np.flatnonzero(lengths > longest).tolist():
+        out[i] = int.from_bytes(hashlib.blake2b(data[starts[i] : ends[i]].tobytes(), digest_size=8).digest(), "little")
+    return out
 
 
-def powers(n: int) -> tuple[np.ndarray, np.ndarray]:
-    """P^i and P^-i modulo 2^64 for i below n."""
-    if len(_powers[0]) < n:
-        size = max(n, 1 << 16)
-        inverse = np.uint64(pow(int(_P), -1, 1 << 64))
-        for k, base in enumerate((_P, inverse)):
-            steps = np.full(size, base, np.uint64)
-            steps[0] = 1
-            _powers[k] = np.multiply.accumulate(steps)
-    return _powers[0], _powers[1]
+def digest(data: bytes) -> bytes:
+    """A 128-bit name of a content: what is merged without another look must share it."""
+    return hashlib.blake2b(data, digest_size=16).digest()
 
 
-def run_hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
-    """A 64-bit polynomial hash of each run data[start:end], all from one running sum."""
-    up, down = powers(len(data) + 1)
-    sums = np.zeros(len(data) + 1, np.uint64)
-    np.cumsum((data.astype(np.uint64) + np.uint64(1)) * up[: len(data)], out=sums[1:])
-    return mix64((sums[ends] - sums[starts]) * down[starts] + (ends - starts).astype(np.uint64) * np.uint64(0xD6E8FEB86659FD93))
+def nodes_of(names: list[bytes]) -> np.ndarray:
+    """The first 64 bits of each digest: enough for finding candidates, never for merging."""
+    return np.frombuffer(b"".join(names), "<i8").reshape(-1, 2)[:, 0]

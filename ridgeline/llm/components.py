@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import forget, save
+from .common import forget, merged, save
 
 
 def _edges(pairs: DataFrame) -> DataFrame:
@@ -14,12 +14,12 @@ def _edges(pairs: DataFrame) -> DataFrame:
 
 
 def components(pairs: DataFrame) -> DataFrame:
-    """(node, root) for every node of pairs (a bigint, b bigint) that has another neighbour than itself; root is one id per component.
+    """(node, root) for every node of pairs (a, b, of one type that has an order) with another neighbour than itself; root is one node per component.
 
     Each round gives every node its least neighbour (or itself) as parent, flattens the trees by pointer jumping, and
     replaces edges by those between roots; every root that still has an edge joins another in the next round, so rounds are
-    few. Every step is a join or a grouped minimum over tables in the shared folder: nothing is collected, a node with very many edges
-    is met by partial aggregates and by joins of plain scans, which Spark splits where they are skewed.
+    few. Every step is a join or a grouped minimum over tables in the shared folder: nothing is collected or broadcast, a node with very
+    many edges is met by partial aggregates and by merge joins of plain scans, which Spark splits where they are skewed.
     """
     edges, flat = save(_edges(pairs), "cc-edges"), []
     first = True
@@ -30,18 +30,24 @@ def components(pairs: DataFrame) -> DataFrame:
         up = save(both.groupBy("a").agg(F.min("b").alias("b")).select(F.col("a").alias("node"), F.least("a", "b").alias("root"), F.lit(True).alias("moved")), "cc-up")
         while True:
             above = up.select(F.col("node").alias("root"), F.col("root").alias("next"))
-            jumped = save(up.join(above, "root").select("node", F.col("next").alias("root"), (F.col("next") != F.col("root")).alias("moved")), "cc-up")
+            jumped = save(merged(up, above, "root").select("node", F.col("next").alias("root"), (F.col("next") != F.col("root")).alias("moved")), "cc-up")
             forget(up)
             up = jumped
             if up.where("moved").isEmpty():
                 break
         flat.append(up.select("node", "root"))
+        flat[-1]._ridgeline_path = up._ridgeline_path
         head = lambda name: up.select(F.col("node").alias(name), F.col("root").alias(f"r{name}"))  # noqa: E731, B023
-        joined = edges.join(head("a"), "a").join(head("b"), "b").select(F.col("ra").alias("a"), F.col("rb").alias("b"))
+        joined = merged(merged(edges, head("a"), "a"), head("b"), "b").select(F.col("ra").alias("a"), F.col("rb").alias("b"))
         contracted = save(_edges(joined), "cc-edges")
         forget(edges)
         edges = contracted
+    forget(edges)
+    if len(flat) == 1:
+        return flat[0]
     found = flat[0]
     for later in flat[1:]:
-        found = found.join(later.select(F.col("node").alias("root"), F.col("root").alias("next")), "root", "left").select("node", F.coalesce("next", "root").alias("root"))
-    return save(found, "cc-roots") if len(flat) > 1 else found
+        found = merged(found, later.select(F.col("node").alias("root"), F.col("root").alias("next")), "root", "left").select("node", F.coalesce("next", "root").alias("root"))
+    found = save(found, "cc-roots")
+    forget(*flat)
+    return found

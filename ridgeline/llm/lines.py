@@ -6,28 +6,44 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
-from .common import in_batches, run_hashes, save, text_or_empty
-from .neardup import distinct
-from .similar import band_keys, candidate_clusters, found_texts, min_max, planned, true_components
+from .common import HASHES, digest, forget, matched, merged, mix64, nodes_of, save, text_or_empty
+from .similar import BANDS, band_columns, band_keys, buckets, distinct, min_max, true_components
 
 #: Lines are compared by their shingles of SHINGLE characters and linked at a Jaccard similarity of SHARE percent. Lines of fewer than
 #: LEAST characters would be left out; at 1 every line that is not blank takes part, headings and closing words too.
-SHINGLE, SHARE, LEAST = 8, 80, 1
-#: 32 permutations give 64 values: 16 bands of 4. Lines of similarity 0.9 share none with 4e-8, of 0.85 with 8e-6, of 0.8 with 2e-4
-#: (8e-4 for the shortest, of 5 shingles, whose least and greatest values are not independent).
-PERMUTATIONS, ROWS, SEED = 32, 4, 23
-#: Up to so many different repeated lines (32 bytes each) their decisions are sent to all tasks; beyond, they are joined to documents.
-LOCAL_DECISIONS = 500_000
+SHINGLE, SHARE, LEAST = 5, 80, 1
+#: 56 permutations give 112 values: 16 bands of 7. Unrelated lines of one language have a similarity of 0.01 on average and 0.13 at most, which
+#: 7 values in a row keep apart.
+PERMUTATIONS, ROWS, SEED = 56, 7, 23
 CHUNK = 1 << 18
 
 
+def character_shingles(data: np.ndarray, starts: np.ndarray, ends: np.ndarray, size: int) -> tuple[np.ndarray, np.ndarray]:
+    """Hashes of the shingles of runs of code points data[start:end], in order and with repeats, and each run's bounds.
+
+    A run shorter than a shingle is one. Three code points at a time are packed into 63 bits and mixed in, so nothing is lost before the mix."""
+    counts = np.maximum(ends - starts - size + 1, 1)
+    bounds = np.concatenate([[0], np.cumsum(counts)])
+    at = np.repeat(starts - bounds[:-1], counts) + np.arange(bounds[-1])
+    short = np.flatnonzero(ends - starts < size)
+    code = np.zeros(len(at), np.uint64)
+    padded = np.concatenate([data, np.zeros(size, data.dtype)]).astype(np.uint64)
+    for k in range(0, size, 3):
+        block = np.zeros(len(at), np.uint64)
+        for j in range(k, min(k + 3, size)):
+            letter = padded[at + j]
+            letter[bounds[short]] = np.where(starts[short] + j < ends[short], letter[bounds[short]], 0x1FFFFF)
+            block = block << np.uint64(21) | letter
+        code = mix64(code * np.uint64(0x9E3779B97F4A7C15) + block)
+    return code, bounds
+
+
 class Lines:
-    """The lines of a run of texts: doc (index of the text), number in it, node (64-bit hash of the line, stripped and A-Z in
-    lower case) and chars (length so). Lines under `least` characters are left out."""
+    """The lines of a run of texts: doc (index of the text), number in it, start and end of the line, stripped, in data, which
+    has A-Z in lower case, and chars (length so). Lines under `least` characters are left out."""
 
     def __init__(self, texts: list[str], least: int):
         data = np.frombuffer("".join(texts).encode("utf-32-le"), "<u4")
@@ -49,14 +65,11 @@ class Lines:
         for name in ("doc", "number", "start", "end"):
             setattr(self, name, getattr(self, name)[keep])
         self.chars = self.end - self.start
-        self.node = run_hashes(data, self.start, self.end).view(np.int64)
 
-    def shingles(self, which: np.ndarray, size: int) -> tuple[np.ndarray, np.ndarray]:
-        """Hashes of the shingles of the lines `which` in order, and each line's bounds; a line shorter than a shingle is one."""
-        counts = np.maximum(self.chars[which] - size + 1, 1)
-        bounds = np.concatenate([[0], np.cumsum(counts)])
-        at = np.repeat(self.start[which] - bounds[:-1], counts) + np.arange(bounds[-1])
-        return run_hashes(self.data, at, np.minimum(at + size, np.repeat(self.end[which], counts))), bounds
+    def raw(self) -> list[bytes]:
+        """Each line's code points, four bytes each."""
+        view = memoryview(np.ascontiguousarray(self.data)).cast("B")
+        return [view[4 * a : 4 * b] for a, b in zip(self.start.tolist(), self.end.tolist(), strict=True)]
 
 
 def _chunks(texts: list[str]):
@@ -72,135 +85,114 @@ def _chunks(texts: list[str]):
 
 def _line_batches(shingle: int, least: int, permutations: int, rows: int, seed: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        seen: set[int] = set()
+        seen: set[bytes] = set()
         for batch in batches:
             texts = batch.column(2).to_pylist()
             for a, b in _chunks(texts):
                 lines = Lines(texts[a:b], least)
-                fresh = []
-                for i, node in enumerate(lines.node.tolist()):
-                    if node not in seen:
+                names = [digest(x) for x in lines.raw()]
+                nodes, fresh = nodes_of(names), []
+                for i, name in enumerate(names):
+                    if name not in seen:
                         fresh.append(i)
-                        if len(seen) < 200_000:
-                            seen.add(node)
+                        if len(seen) < 100_000:
+                            seen.add(name)
+                fresh = np.array(fresh, np.int64)
                 keys = np.zeros((0, 2 * permutations // rows), np.int64)
-                if fresh:
-                    keys = band_keys(min_max(*lines.shingles(np.array(fresh), shingle), permutations, seed), rows)
-                many = np.zeros(len(lines.node), np.int32)
-                many[fresh] = keys.shape[1]
-                lists = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(many)]).astype(np.int32)), pa.array(keys.ravel()))
+                if len(fresh):
+                    items, ends = character_shingles(lines.data, lines.start[fresh], lines.end[fresh], shingle)
+                    keys = band_keys(min_max(items, ends, permutations, seed), rows)
                 at = pa.array(lines.doc + a)
                 yield pa.RecordBatch.from_arrays(
-                    [batch.column(0).take(at), batch.column(1).take(at), pa.array(lines.number.astype(np.int32)), pa.array(lines.node), pa.array(lines.chars.astype(np.int64)), lists],
-                    ["doc_id", "mark", "line", "node", "chars", "bands"],
+                    [batch.column(0).take(at), batch.column(1).take(at), pa.array(lines.number.astype(np.int32)), pa.array(names, pa.binary()), pa.array(nodes), *band_columns(len(names), fresh, nodes[fresh], keys)],
+                    ["doc_id", "mark", "line", "name", "node", "bands", "near_keys", "near_heads"],
                 )
 
     return run
 
 
-def _wanted_batches(shingle: int, least: int):
+def _wanted_batches(least: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        last: set[bytes] = set()  # rows that repeat an id and a text come one after the other
         for batch in batches:
             texts, wanted = batch.column(0).to_pylist(), batch.column(1).to_pylist()
             for a, b in _chunks(texts):
                 lines = Lines(texts[a:b], least)
-                asked = {(i, w["line"]): w for i, ws in enumerate(wanted[a:b]) for w in ws}
-                hits = [(k, w) for k, at in enumerate(zip(lines.doc.tolist(), lines.number.tolist(), strict=True)) if (w := asked.get(at))]
-                if not hits:
-                    continue
-                items, ends = distinct(*lines.shingles(np.array([k for k, _ in hits]), shingle))
-                sets = [items[x:y].astype("<u8").tobytes() for x, y in zip(ends[:-1].tolist(), ends[1:].tolist(), strict=True)]
-                columns = [pa.array([w[c] for _, w in hits], t) for c, t in (("node", pa.int64()), ("root", pa.int64()), ("blocks", pa.int32()))]
-                yield pa.RecordBatch.from_arrays([*columns, pa.array(sets, pa.binary())], ["node", "root", "blocks", "items"])
+                raw, asked = lines.raw(), {(i, w["line"]): w["name"] for i, ws in enumerate(wanted[a:b]) for w in ws}
+                hits: dict[bytes, int] = {}
+                for k, at in enumerate(zip(lines.doc.tolist(), lines.number.tolist(), strict=True)):
+                    name = asked.get(at)
+                    if name is not None and name not in last:
+                        hits.setdefault(name, k)
+                last = {w["name"] for w in wanted[b - 1]}
+                if hits:
+                    bodies = [bytes(raw[k]).decode("utf-32-le") for k in hits.values()]
+                    yield pa.RecordBatch.from_arrays([pa.array(list(hits), pa.binary()), pa.array(map(len, bodies), pa.int64()), pa.array(bodies, pa.string())], ["name", "n", "body"])
 
     return run
 
 
-def repeated_lines(docs: DataFrame, shingle: int = SHINGLE, share: int = SHARE, least: int = LEAST, permutations: int = PERMUTATIONS, rows: int = ROWS, seed: int = SEED) -> tuple[DataFrame, DataFrame]:
-    """(lines, decisions): every line of at least `least` characters, and for each repeated one (node) where its component is kept.
-
-    Equal lines (stripped, A-Z in lower case) are one node and cost one signature a task. decisions has node and the doc_id,
-    mark and line of the component's first occurrence in order of these three, nulls first."""
-    rows_in = docs.select("doc_id", F.xxhash64(text_or_empty("text")).alias("mark"), text_or_empty("text").alias("text"))
-    schema = "doc_id bigint, mark bigint, line int, node bigint, chars bigint, bands array<bigint>"
-    lines = save(in_batches(rows_in).mapInArrow(_line_batches(shingle, least, permutations, rows, seed), schema), "lines")
-    clusters = candidate_clusters(lines.select("node", F.explode("bands").alias("key")))
-    classes = save(lines.groupBy("node").agg(F.count("*").alias("times"), F.min(F.struct("doc_id", "mark", "line")).alias("first"), F.max("chars").alias("n")), "line-classes")
-    members = save(classes.join(clusters, "node").select("node", "root", "n", "first"), "line-members")
-    asked = planned(members).groupBy("first.doc_id", "first.mark").agg(F.collect_list(F.struct("first.line", "node", "root", "blocks")).alias("wanted"))
-    texts = found_texts(rows_in, asked, ["doc_id", "mark"], members.count()).select("text", "wanted")
-    sets = texts.mapInArrow(_wanted_batches(shingle, least), "node bigint, root bigint, blocks int, items binary")
-    roots = true_components(sets, share)
-    again = classes.join(roots, "node", "left").where("times > 1 OR root IS NOT NULL")
-    again = save(again.select("node", F.coalesce("root", "node").alias("root"), "first"), "line-repeats")
-    firsts = again.groupBy("root").agg(F.min("first").alias("kept"))
-    return lines, save(again.join(firsts, "root").select("node", "kept.doc_id", "kept.mark", "kept.line"), "line-decisions")
-
-
-def _rewrite(text: str | None, drop: set[int]) -> str | None:
-    return "\n".join(x for i, x in enumerate(text.split("\n")) if i not in drop) if drop and text else text
-
-
-def _output(batch: pa.RecordBatch, at: int, texts: list, drops: list[set[int]]) -> pa.RecordBatch:
-    """The document columns with new texts, and the counts of lines and of dropped lines."""
-    width = batch.num_columns - 2
-    new = pa.array([_rewrite(t, d) for t, d in zip(texts, drops, strict=True)], pa.string())
-    columns = [new if k == at else batch.column(k) for k in range(width)]
-    counts = [pa.array([t.count("\n") + 1 if t else 0 for t in texts], pa.int32()), pa.array(list(map(len, drops)), pa.int32())]
-    return pa.RecordBatch.from_arrays([*columns, *counts], [*batch.schema.names[:width], "n_lines", "n_dropped"])
+def _to_sets(shingle: int):
+    def run(bodies: pa.Array) -> list[np.ndarray]:
+        texts = bodies.to_pylist()
+        ends = np.cumsum([len(t) for t in texts], dtype=np.int64)
+        data = np.frombuffer("".join(texts).encode("utf-32-le"), "<u4")
+        return distinct(*character_shingles(data, np.concatenate([[0], ends[:-1]]).astype(np.int64), ends, shingle))
 
+    return run
 
-def _drop_here(at: int, id_at: int, least: int, table: dict[str, np.ndarray]):
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            texts = batch.column(at).to_pylist()
-            ids, marks = batch.column(id_at).to_pylist(), np.asarray(batch.column(batch.num_columns - 2))
-            drops: list[set[int]] = [set() for _ in texts]
-            for a, b in _chunks([t or "" for t in texts]):
-                lines = Lines([t or "" for t in texts[a:b]], least)
-                if not len(table["node"]):
-                    break
-                spot = np.minimum(np.searchsorted(table["node"], lines.node), len(table["node"]) - 1)
-                own = lines.doc + a
-                null = np.array([x is None for x in ids[a:b]])[lines.doc]
-                doc = np.array([0 if x is None else x for x in ids[a:b]], np.int64)[lines.doc]
-                first = (table["mark"][spot] == marks[own]) & (table["line"][spot] == lines.number) & (table["null"][spot] == null) & (table["doc_id"][spot] == doc)
-                for i, n in zip(own[gone := (table["node"][spot] == lines.node) & ~first].tolist(), lines.number[gone].tolist(), strict=True):
-                    drops[i].add(n)
-            yield _output(batch, at, texts, drops)
 
-    return run
+def repeated_lines(docs: DataFrame, shingle: int = SHINGLE, share: int = SHARE, least: int = LEAST, permutations: int = PERMUTATIONS, rows: int = ROWS, seed: int = SEED) -> tuple[DataFrame, DataFrame]:
+    """(lines, decisions): every line of at least `least` characters, and for each repeated one (name) where its component is kept.
 
+    Equal lines (stripped, A-Z in lower case) have one name, a 128-bit digest, and cost one signature a task. decisions has name and
+    the doc_id, mark and line of the component's first occurrence in order of these three, nulls first. Both are tables in the shared folder."""
+    rows_in = docs.select("doc_id", F.xxhash64(text_or_empty("text")).alias("mark"), text_or_empty("text").alias("text"))
+    schema = f"doc_id bigint, mark bigint, line int, name binary, node bigint, {BANDS}"
+    lines = save(rows_in.mapInArrow(_line_batches(shingle, least, permutations, rows, seed), schema), "lines", **HASHES)
+    found = buckets(lines)
+    classes = lines.groupBy("name", "node").agg(F.count("*").alias("times"), F.min(F.struct("doc_id", "mark", "line")).alias("first"))
+    nodes = found.select("node").unionAll(found.select("head")).distinct()
+    members = save(merged(classes, nodes.withColumn("met", F.lit(True)), "node", "left").where("times > 1 OR met"), "line-members")
+    asked = members.where("met").groupBy("first.doc_id", "first.mark").agg(F.collect_list(F.struct("first.line", "name")).alias("wanted"))
+    texts = matched(rows_in, asked.select(F.col("doc_id").alias("w_id"), F.col("mark").alias("w_mark"), "wanted"), rows_in["doc_id"].eqNullSafe(F.col("w_id")) & (F.col("mark") == F.col("w_mark")))
+    content = save(texts.select("text", "wanted").mapInArrow(_wanted_batches(least), "name binary, n bigint, body string"), "line-texts")
+    roots = true_components(found, members.where("met").select("node", "name"), content, _to_sets(shingle), share)
+    again = merged(members, roots.select(F.col("node").alias("name"), "root"), "name", "left").where("times > 1 OR root IS NOT NULL")
+    again = save(again.select("name", F.coalesce("root", "name").alias("root"), "first"), "line-repeats")
+    firsts = again.groupBy("root").agg(F.min("first").alias("kept"))
+    decisions = save(merged(again, firsts, "root").select("name", "kept.doc_id", "kept.mark", "kept.line"), "line-decisions")
+    forget(found, members, content, roots, again)
+    return lines, decisions
 
-def _drop_listed(at: int):
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            drops = [set(x or ()) for x in batch.column(batch.num_columns - 1).to_pylist()]
-            yield _output(batch, at, batch.column(at).to_pylist(), drops)
 
-    return run
+def without_lines(text: Column, gone: Column) -> Column:
+    """text without the lines whose numbers gone lists."""
+    parts = F.split(text, "\n", -1)
+    left = F.array_except(F.sequence(F.lit(0), F.size(parts) - 1), gone)
+    return F.array_join(F.transform(F.array_sort(left), lambda i: F.get(parts, i)), "\n")
 
 
-def dedup_lines(docs: DataFrame, local: int = LOCAL_DECISIONS, **how: int) -> DataFrame:
+def dedup_lines(docs: DataFrame, counts: bool = True, **how: int) -> DataFrame:
     """Every row of docs, all its columns, with repeated lines taken out of text, and n_lines and n_dropped (its lines before, and gone).
 
-    Of a component of equal or similar lines, over all documents, the first occurrence stays. Blank lines always stay; a text that loses nothing is unchanged, one that loses all lines is empty. Null texts stay null
-    and have no lines. Rows that repeat an id and a text count as one document, so both keep or lose the same lines; null ids come
-    first. An empty table gives no rows. Columns named n_lines or n_dropped in docs are replaced.
+    Of a component of equal or similar lines, over all documents, the first occurrence stays. Blank lines always stay; a text that
+    loses nothing is unchanged, one that loses all lines is empty. Null texts stay null and have no lines. Rows that repeat an id
+    and a text count as one document, so both keep or lose the same lines; null ids come first. An empty table gives no rows.
+    Columns named n_lines or n_dropped in docs are replaced by the counts, and kept as they are without counts.
     """
-    docs = docs.drop("n_lines", "n_dropped")
-    spark, at, id_at = docs.sparkSession, docs.columns.index("text"), docs.columns.index("doc_id")
     lines, decisions = repeated_lines(docs, **how)
-    schema = T.StructType([*docs.schema.fields, T.StructField("n_lines", T.IntegerType()), T.StructField("n_dropped", T.IntegerType())])
+    kept = decisions.select("name", F.col("doc_id").alias("k_doc"), F.col("mark").alias("k_mark"), F.col("line").alias("k_line"))
+    gone = merged(lines.select("doc_id", "mark", "line", "name"), kept, "name")
+    gone = gone.where(~(F.col("doc_id").eqNullSafe(F.col("k_doc")) & (F.col("mark") == F.col("k_mark")) & (F.col("line") == F.col("k_line"))))
+    lists = save(gone.groupBy(F.col("doc_id").alias("__line_doc"), F.col("mark").alias("__line_of")).agg(F.collect_set("line").alias("__line_gone")), "line-gone")
+    forget(lines, decisions)
     marked = docs.withColumn("__line_mark", F.xxhash64(text_or_empty("text")))
-    if decisions.count() <= local:
-        got = decisions.toArrow()
-        order = np.argsort(got.column("node").to_numpy(), kind="stable")
-        null = np.asarray(got.column("doc_id").is_null())[order]
-        table = {c: got.column(c).to_numpy()[order] for c in ("node", "mark", "line")} | {"null": null, "doc_id": np.asarray(got.column("doc_id").fill_null(0))[order]}
-        return marked.withColumn("__line_pad", F.lit(0)).mapInArrow(_drop_here(at, id_at, how.get("least", LEAST), table), schema)
-    kept = decisions.select("node", F.col("doc_id").alias("k_doc"), F.col("mark").alias("k_mark"), F.col("line").alias("k_line"))
-    gone = lines.join(kept, "node").where(~(F.col("doc_id").eqNullSafe(F.col("k_doc")) & (F.col("mark") == F.col("k_mark")) & (F.col("line") == F.col("k_line"))))
-    lists = gone.groupBy(F.col("doc_id").alias("__line_doc"), F.col("mark").alias("__line_of")).agg(F.collect_set("line").alias("__line_gone"))
-    joined = marked.join(lists, marked["doc_id"].eqNullSafe(lists["__line_doc"]) & (marked["__line_mark"] == lists["__line_of"]), "left")
-    return joined.select(*[marked[c] for c in marked.columns], "__line_gone").mapInArrow(_drop_listed(at), schema)
+    joined = matched(marked, lists, marked["doc_id"].eqNullSafe(lists["__line_doc"]) & (marked["__line_mark"] == lists["__line_of"]), "left")
+    text, gone = marked["text"], F.col("__line_gone")
+    new = F.when(gone.isNull(), text).otherwise(without_lines(text, gone)).alias("text")
+    columns = [new if c == "text" else marked[c] for c in docs.columns if not (counts and c in ("n_lines", "n_dropped"))]
+    if counts:
+        n = F.when(F.length(text) > 0, F.size(F.split(text, "\n", -1))).otherwise(0)
+        columns += [n.cast("int").alias("n_lines"), F.coalesce(F.size(gone), F.lit(0)).cast("int").alias("n_dropped")]
+    return joined.select(*columns)

@@ -12,7 +12,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import in_batches, save, text_or_empty
+from .common import forget, save, text_or_empty
 
 #: A frame is 8 by 8 grey pixels of 8 bits; every GOP-th frame is a key frame and begins a chunk.
 SIDE, GOP, TIMESCALE = 8, 16, 25
@@ -152,7 +152,7 @@ def encode_media(docs: DataFrame) -> DataFrame:
     """doc_id, n_bytes and the media column: each whole text (null: empty) as the frames of an ISO media file.
 
     Equal texts give equal files. Only doc_id and text are read; rows may repeat; an empty table gives no rows."""
-    return in_batches(docs).select("doc_id", text_or_empty("text").alias("text")).mapInArrow(_mux_batches, "doc_id bigint, n_bytes bigint, media binary")
+    return docs.select("doc_id", text_or_empty("text").alias("text")).mapInArrow(_mux_batches, "doc_id bigint, n_bytes bigint, media binary")
 
 
 INDEX = "doc_id bigint, n_bytes bigint, codec string, timescale bigint, duration bigint, samples bigint, keyframes array<struct<offset:bigint,length:bigint>>, payload_bytes bigint, payload_sha256 string, tail_crc32 bigint, media_bytes bigint, media_sha256 string, error string"
@@ -202,4 +202,6 @@ def media_features(docs: DataFrame) -> DataFrame:
     ranges = F.array_join(F.transform("keyframes", lambda k: F.concat_ws("+", k["offset"], k["length"])), ",")
     feature = F.concat(F.lit("codec="), "codec", F.lit(";duration="), F.col("duration").cast("string"), F.lit("/"), F.col("timescale").cast("string"), F.lit(";samples="), F.col("samples").cast("string"), F.lit(";keyframes="), ranges)
     stored = save(encode_media(docs), "media", **{"parquet.block.size": str(16 << 20)})
-    return index_media(stored).select("doc_id", "n_bytes", "payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", feature.alias("feature"))
+    out = save(index_media(stored).select("doc_id", "n_bytes", "payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", feature.alias("feature")), "media-index")
+    forget(stored)
+    return out

@@ -2,19 +2,17 @@
 
 from __future__ import annotations
 
-import hashlib
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import blocks, in_batches, mix64, run_hashes, save, text_bytes, text_or_empty
-from .similar import band_keys, candidate_clusters, found_texts, min_max, planned, true_components
+from .common import HASHES, blocks, digest, forget, matched, merged, mix64, nodes_of, run_hashes, save, text_bytes, text_or_empty
+from .similar import BANDS, band_columns, band_keys, buckets, distinct, min_max, true_components
 
-#: 96 permutations give 192 values: 32 bands of 6. At similarity 0.85 a pair shares no band with probability 3e-7, at 0.8 with 6e-5;
-#: sets of similarity 0.02 share one with 2e-9, which keeps unrelated documents from chaining.
+#: 96 permutations give 192 values: 32 bands of 6, which few pairs of similarity 0.8 or more escape, and few unrelated ones meet.
 PERMUTATIONS, ROWS, SEED = 96, 6, 11
 
 
@@ -49,70 +47,72 @@ def shingles(data: np.ndarray, bounds: np.ndarray, words: int) -> tuple[np.ndarr
     return code, out_bounds
 
 
-def distinct(items: np.ndarray, bounds: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Each set's items sorted and once."""
-    sets = [np.unique(items[a:b]) for a, b in zip(bounds[:-1].tolist(), bounds[1:].tolist(), strict=True)]
-    return (np.concatenate(sets) if sets else items[:0]), np.concatenate([[0], np.cumsum([len(s) for s in sets])]).astype(np.int64)
-
-
-def set_node(items: np.ndarray) -> int:
-    """The 64-bit name of a set: equal sets share it; of ten thousand million different sets, three pairs may be expected to."""
-    return int.from_bytes(hashlib.blake2b(items.astype("<u8").tobytes(), digest_size=8).digest(), "little", signed=True)
+def _raw(sets: list[np.ndarray]) -> list[bytes]:
+    return [x.astype("<u8").tobytes() for x in sets]
 
 
 def _signature_batches(words: int, permutations: int, rows: int, seed: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        seen: set[int] = set()
+        seen: set[bytes] = set()
         for batch in batches:
             data, bounds = text_bytes(batch.column(2))
             for a, b in blocks(bounds):
-                items, ends = distinct(*shingles(data, bounds[a : b + 1], words))
-                sizes = np.diff(ends)
+                sets = distinct(*shingles(data, bounds[a : b + 1], words))
+                sizes = np.array([len(x) for x in sets], np.int64)
                 full = np.flatnonzero(sizes)
-                nodes, fresh = np.zeros(b - a, np.int64), []
+                names, fresh = [digest(x) for x in _raw(sets)], []
                 for i in full.tolist():
-                    nodes[i] = node = set_node(items[ends[i] : ends[i + 1]])
-                    if node not in seen:
+                    if names[i] not in seen:
                         fresh.append(i)
-                        if len(seen) < 200_000:
-                            seen.add(node)
+                        if len(seen) < 100_000:
+                            seen.add(names[i])
+                nodes, fresh = nodes_of(names), np.array(fresh, np.int64)
                 keys = np.zeros((0, 2 * permutations // rows), np.int64)
-                if fresh:
-                    starts = np.concatenate([ends[full], ends[-1:]])
-                    keys = band_keys(min_max(items, starts, permutations, seed), rows)[np.searchsorted(full, fresh)]
-                many = np.zeros(b - a, np.int32)
-                many[fresh] = keys.shape[1]
-                lists = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(many)]).astype(np.int32)), pa.array(keys.ravel()))
-                yield pa.RecordBatch.from_arrays([batch.column(0).slice(a, b - a), batch.column(1).slice(a, b - a), pa.array(sizes.astype(np.int64)), pa.array(nodes), lists], ["doc_id", "mark", "n", "node", "bands"])
+                if len(fresh):
+                    ends = np.concatenate([[0], np.cumsum(sizes[fresh])])
+                    keys = band_keys(min_max(np.concatenate([sets[i] for i in fresh.tolist()]), ends, permutations, seed), rows)
+                columns = [pa.array(sizes), pa.array(names, pa.binary()), pa.array(nodes), *band_columns(b - a, fresh, nodes[fresh], keys)]
+                yield pa.RecordBatch.from_arrays([batch.column(0).slice(a, b - a), batch.column(1).slice(a, b - a), *columns], ["doc_id", "mark", "n", "name", "node", "bands", "near_keys", "near_heads"])
 
     return run
 
 
 def _set_batches(words: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        last = None  # rows that repeat an id and a text come one after the other
         for batch in batches:
-            data, bounds = text_bytes(batch.column(3))
+            names = batch.column(0).to_pylist()
+            new = np.array([x != y for x, y in zip(names, [last, *names[:-1]], strict=True)], bool)
+            last = names[-1] if names else last
+            data, bounds = text_bytes(batch.column(1))
             for a, b in blocks(bounds):
-                items, ends = distinct(*shingles(data, bounds[a : b + 1], words))
-                sets = [items[x:y].astype("<u8").tobytes() for x, y in zip(ends[:-1].tolist(), ends[1:].tolist(), strict=True)]
-                yield pa.RecordBatch.from_arrays([*(batch.column(k).slice(a, b - a) for k in range(3)), pa.array(sets, pa.binary())], ["node", "root", "blocks", "items"])
+                sets = distinct(*shingles(data, bounds[a : b + 1], words))
+                out = pa.RecordBatch.from_arrays([batch.column(0).slice(a, b - a), pa.array([len(x) for x in sets], pa.int64()), pa.array(_raw(sets), pa.binary())], ["name", "n", "body"])
+                yield out.filter(pa.array(new[a:b]))
 
     return run
 
 
+def _to_sets(bodies: pa.Array) -> list[np.ndarray]:
+    return [np.frombuffer(x, "<u8") for x in bodies.to_pylist()]
+
+
 def _classes(docs: DataFrame, words: int, share: int, permutations: int, rows: int, seed: int) -> tuple[DataFrame, DataFrame]:
-    """(marked, named): doc_id, mark, n and node of every row of docs, and the root of every node's component with its least doc_id."""
+    """(marked, named): doc_id, mark, n and name of every row of docs, and the root of every name's component with its least doc_id."""
     rows_in = docs.select("doc_id", F.xxhash64(text_or_empty("text")).alias("mark"), text_or_empty("text").alias("text"))
-    marked = save(in_batches(rows_in).mapInArrow(_signature_batches(words, permutations, rows, seed), "doc_id bigint, mark bigint, n bigint, node bigint, bands array<bigint>"), "neardup-marked")
-    clusters = candidate_clusters(marked.select("node", F.explode("bands").alias("key")))
-    reps = marked.where("n > 0").join(clusters, "node").groupBy("node", "root").agg(F.max("n").alias("n"), F.min(F.struct("doc_id", "mark")).alias("rep"))
-    reps = save(reps, "neardup-reps")
-    wanted = planned(reps).select("node", "root", "blocks", "rep.doc_id", "rep.mark")
-    texts = found_texts(rows_in, wanted, ["doc_id", "mark"]).select("node", "root", "blocks", "text")
-    sets = texts.mapInArrow(_set_batches(words), "node bigint, root bigint, blocks int, items binary")
-    roots = true_components(sets, share)
-    classes = marked.where("n > 0").groupBy("node").agg(F.min("doc_id").alias("least"))
-    named = save(classes.join(roots, "node", "left").select("node", F.coalesce("root", "node").alias("root"), "least"), "neardup-classes")
+    schema = f"doc_id bigint, mark bigint, n bigint, name binary, node bigint, {BANDS}"
+    marked = save(rows_in.mapInArrow(_signature_batches(words, permutations, rows, seed), schema), "neardup-marked", **HASHES)
+    found = buckets(marked)
+    classes = marked.where("n > 0").groupBy("name", "node").agg(F.min("doc_id").alias("least"), F.min(F.struct("doc_id", "mark")).alias("rep"))
+    classes = save(classes, "neardup-classes")
+    nodes = found.select("node").unionAll(found.select("head")).distinct()
+    members = save(merged(classes, nodes, "node").select("node", "name", F.col("rep.doc_id").alias("w_id"), F.col("rep.mark").alias("w_mark")), "neardup-members")
+    texts = matched(rows_in, members, rows_in["doc_id"].eqNullSafe(members["w_id"]) & (rows_in["mark"] == members["w_mark"])).select("name", "text")
+    content = save(texts.mapInArrow(_set_batches(words), "name binary, n bigint, body binary"), "neardup-sets")
+    roots = true_components(found, members.select("node", "name"), content, _to_sets, share)
+    named = merged(classes, roots.select(F.col("node").alias("name"), "root"), "name", "left").select("name", F.coalesce("root", "name").alias("root"), "least")
+    named = save(named, "neardup-named")
+    forget(found, classes, members, content, roots)
     return marked, named
 
 
@@ -129,8 +129,9 @@ def near_duplicates(docs: DataFrame, words: int = 3, share: int = 85, permutatio
     """
     marked, named = _classes(docs, words, share, permutations, rows, seed)
     least = named.groupBy("root").agg(F.min("least").alias("component_id"))
-    names = save(named.join(least, "root").select("node", "component_id"), "neardup-names")
-    linked = marked.where("n > 0").select("doc_id", "mark", "n", "node").join(names, "node").select("doc_id", "mark", "n", "component_id")
+    names = save(merged(named, least, "root").select("name", "component_id"), "neardup-names")
+    forget(named)
+    linked = merged(marked.where("n > 0").select("doc_id", "mark", "n", "name"), names, "name").select("doc_id", "mark", "n", "component_id")
     alone = marked.where("n = 0").select("doc_id", "mark", "n", F.col("doc_id").alias("component_id"))
     return linked.unionAll(alone).select("doc_id", F.col("n").alias("n_shingles"), "component_id", F.col("doc_id").eqNullSafe(F.col("component_id")).alias("kept"), "mark")
 
@@ -143,17 +144,21 @@ def one_of_each(docs: DataFrame, words: int = 3, share: int = 85, permutations:
     null or without words all stay.
     """
     marked, named = _classes(docs, words, share, permutations, rows, seed)
-    members = marked.where("n > 0").select("doc_id", "mark", "node").join(named.select("node", "root"), "node")
+    members = merged(marked.where("n > 0").select("doc_id", "mark", "name"), named.select("name", "root"), "name")
     texts = save(members.groupBy("root", "doc_id", "mark").agg(F.count("*").alias("times")), "neardup-texts")
     first = texts.groupBy("root").agg(F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "mark")).alias("first"), F.sum("times").alias("rows"))
     first = first.where("rows > 1").select("root", F.col("first.doc_id").alias("first_id"), F.col("first.mark").alias("first_mark"))
     is_first = F.col("doc_id").eqNullSafe(F.col("first_id")) & (F.col("mark") == F.col("first_mark"))
     # an id and a mark are one text, so in one component: texts to leave out, and those to thin out as several rows hold them
-    listed = texts.join(first, "root").withColumn("again", is_first).where("NOT again OR times > 1")
-    listed = save(listed.select(F.col("doc_id").alias("__near_id"), F.col("mark").alias("__near_mark"), "again"), "neardup-gone")
+    listed = merged(texts, first, "root").withColumn("again", is_first).where("NOT again OR times > 1")
+    listed = save(listed.select(F.col("doc_id").alias("__near_id"), F.col("mark").alias("__near_mark"), F.col("again").alias("__near_again")), "neardup-gone")
+    forget(marked, named, texts)
     held = docs.withColumn("__near_own", F.xxhash64(text_or_empty("text")))
     on = held["doc_id"].eqNullSafe(listed["__near_id"]) & (held["__near_own"] == listed["__near_mark"])
-    clear = held.join(listed, on, "left_anti").select(*docs.columns)
-    several = held.join(listed.where("again"), on, "left_semi")
-    thinned = several.groupBy("doc_id", "__near_own").agg(F.min(F.struct(*docs.columns)).alias("row")).select("row.*")
-    return clear.unionByName(thinned)
+    clear = matched(held, listed, on, "left_anti").select(*docs.columns)
+    again = listed.where("__near_again")
+    if again.isEmpty():
+        return clear
+    rank = F.row_number().over(Window.partitionBy("doc_id", "__near_own").orderBy(*docs.columns))
+    several = matched(held, again, on, "left_semi").withColumn("__near_rank", rank).where("__near_rank = 1")
+    return clear.unionByName(several.select(*docs.columns))

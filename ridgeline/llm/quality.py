@@ -10,7 +10,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import blocks, in_batches, mix64, run_hashes, text_bytes, text_or_empty
+from .common import blocks, mix64, run_hashes, save, settings, text_bytes, text_or_empty
 
 BUCKETS, WIDTH, GRAMS, RECENT = 1 << 18, 16, (3, 5), 8
 #: At most so many labelled rows are learnt from, those whose hashed ids come first: their features, a few kB each, are all that reaches the driver.
@@ -124,8 +124,9 @@ def train(docs: DataFrame, labels: DataFrame, rows: int = TRAIN_ROWS) -> Model:
     usable = labels.where(F.col("quality").isin(0, 1) & F.col("doc_id").isNotNull() & ~is_held_out()).groupBy("doc_id").agg(F.min("quality").alias("quality"))
     sample = usable.orderBy(F.xxhash64("doc_id"), "doc_id").limit(rows)
     # the sample has `rows` rows of 12 bytes at most
-    joined = in_batches(docs).select("doc_id", text_or_empty("text").alias("text")).join(F.broadcast(sample), "doc_id").select("doc_id", F.col("quality").cast("int"), "text")
-    got = joined.mapInArrow(_feature_batches, "doc_id bigint, quality int, found binary, times binary").toArrow()
+    joined = docs.select("doc_id", text_or_empty("text").alias("text")).join(F.broadcast(sample), "doc_id").select("doc_id", F.col("quality").cast("int"), "text")
+    with settings(docs.sparkSession, spark__sql__execution__arrow__maxRecordsPerBatch="1000"):
+        got = joined.mapInArrow(_feature_batches, "doc_id bigint, quality int, found binary, times binary").toArrow()
     order = np.argsort(got.column("doc_id").to_numpy(), kind="stable")
     found, times, quality = (got.column(c).to_pylist() for c in ("found", "times", "quality"))
     return fit([(np.frombuffer(found[i], "<u4").astype(np.int64), np.frombuffer(times[i], "<u4"), quality[i]) for i in order])
@@ -147,7 +148,7 @@ def _score_batches(model: Model):
 
 def score_documents(docs: DataFrame, model: Model) -> DataFrame:
     """doc_id and score (higher: label 1 likelier) of every whole text, from its bytes alone; null and blank texts have the model's bias."""
-    return in_batches(docs).select("doc_id", text_or_empty("text").alias("text")).mapInArrow(_score_batches(model), "doc_id bigint, score double")
+    return save(docs.select("doc_id", text_or_empty("text").alias("text")).mapInArrow(_score_batches(model), "doc_id bigint, score double"), "scores")
 
 
 def _keep_batches(model: Model, threshold: float, at: int):
@@ -165,7 +166,7 @@ def _keep_batches(model: Model, threshold: float, at: int):
 
 def keep_good(docs: DataFrame, model: Model, threshold: float = 0.5) -> DataFrame:
     """The rows of docs, all columns, whose text scores at least threshold; each row is judged by itself, so ids may repeat or be null."""
-    return in_batches(docs).mapInArrow(_keep_batches(model, threshold, docs.columns.index("text")), docs.schema)
+    return save(docs.mapInArrow(_keep_batches(model, threshold, docs.columns.index("text")), docs.schema), "good")
 
 
 def classify(docs: DataFrame, labels: DataFrame) -> DataFrame:

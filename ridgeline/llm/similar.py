@@ -1,25 +1,28 @@
-"""Near-duplicate sets: min-max signatures, banding, candidate clusters, and exact verification in blocks.
+"""Near-duplicate sets: min-max signatures, banding, and exact verification of what shares a bucket.
 
-Sets are arrays of 64-bit item hashes. Nothing here emits pairs: a bucket's members are chained, chained members form candidate
-clusters, and a block of a cluster is compared at once inside a task, which returns a spanning forest of the true links. Tasks stream over sorted groups, as most are tiny.
+A set has a name, its 128-bit digest, and a node, the first 64 bits of it, under which candidates are found. Nothing here emits
+pairs of a bucket: each member is first compared with the bucket's least member (a star), which settles tight families in one comparison a
+member. Only buckets whose members then still lie in several components go on, and there only sets outside the head's component are
+compared with the others, in blocks. All comparisons are on full sets, and every two sets that share a bucket end in one component if they are linked.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import mix64, save
+from .common import HASHES, forget, merged, mix64, save
 from .components import components
 
-#: A block holds about so many sets and items, whatever the cluster's size.
-BLOCK_SETS, BLOCK_ITEMS = 768, 1 << 20
-#: Up to so many candidate sets their keys (under 100 bytes a row) are broadcast to find their texts; beyond, texts are shuffled to them.
-BROADCAST_SETS = 400_000
+#: A block holds about so many sets and items, whatever the family's size; a star's head meets so many members in one task.
+BLOCK_SETS, BLOCK_ITEMS, STAR = 768, 1 << 20, 1024
+
+#: Gives the sets (sorted distinct 64-bit items) of a column of bodies.
+ToSets = Callable[[pa.Array], list[np.ndarray]]
 
 
 def multipliers(n: int, seed: int) -> np.ndarray:
@@ -27,7 +30,7 @@ def multipliers(n: int, seed: int) -> np.ndarray:
 
 
 def min_max(items: np.ndarray, bounds: np.ndarray, permutations: int, seed: int) -> np.ndarray:
-    """Signatures (one row per set, 2 * permutations columns) of sets items[bounds[i]:bounds[i + 1]], none empty.
+    """Signatures (one row per set; all minima, then all maxima) of sets items[bounds[i]:bounds[i + 1]], none empty.
 
     A permutation multiplies 32 bits of an item by an odd number; each set keeps both its least and its greatest image,
     so a multiplication yields two values, and two sets agree in each with the probability of their Jaccard similarity."""
@@ -37,13 +40,15 @@ def min_max(items: np.ndarray, bounds: np.ndarray, permutations: int, seed: int)
     images = np.empty_like(low)
     for k, m in enumerate(multipliers(permutations, seed)):
         np.multiply(low, m, out=images)
-        out[:, 2 * k] = np.minimum.reduceat(images, starts)
-        out[:, 2 * k + 1] = np.maximum.reduceat(images, starts)
+        out[:, k] = np.minimum.reduceat(images, starts)
+        out[:, permutations + k] = np.maximum.reduceat(images, starts)
     return out
 
 
 def band_keys(signatures: np.ndarray, rows: int) -> np.ndarray:
-    """One 64-bit key per set and band of `rows` signature values; the band's number is part of the key."""
+    """One 64-bit key per set and band of `rows` signature values; the band's number is part of the key.
+
+    Minima and maxima of one permutation stand far apart in a signature, so a band holds values of different permutations only."""
     n, width = signatures.shape
     keys = np.empty((n, width // rows), np.uint64)
     for b in range(width // rows):
@@ -54,26 +59,56 @@ def band_keys(signatures: np.ndarray, rows: int) -> np.ndarray:
     return keys.view(np.int64)
 
 
-def candidate_clusters(banded: DataFrame) -> DataFrame:
-    """(node, root) for nodes that share a bucket with others; banded has node and key, one row per set and band.
+BANDS = "bands array<bigint>, near_keys array<bigint>, near_heads array<bigint>"
+
+
+def band_columns(rows: int, fresh: np.ndarray, nodes: np.ndarray, keys: np.ndarray) -> list[pa.Array]:
+    """The columns BANDS of `rows` rows, of which `fresh` have the given nodes and keys.
+
+    Within a chunk only the first set of a bucket carries the bucket's key on (bands); others are tied to it here (near_keys, near_heads), so a
+    bucket that holds a third of all rows comes to its shuffle with one row per chunk."""
+    flat, m = keys.ravel(), keys.shape[1] if len(keys) else 0
+    order = np.argsort(flat, kind="stable")
+    new = np.ones(len(flat), bool)
+    new[order[1:]] = flat[order[1:]] != flat[order[:-1]]
+    head = np.empty(len(flat), np.int64)
+    head[order] = order[np.maximum.accumulate(np.where(new[order], np.arange(len(flat)), 0))]
+    owner = np.repeat(fresh, m)
 
-    Rows of a bucket are chained in order of node, so a bucket of n members gives n - 1 edges."""
-    before = F.lag("node").over(Window.partitionBy("key").orderBy("node"))
-    return components(banded.select(F.col("node").alias("a"), before.alias("b")).where("b IS NOT NULL AND a <> b"))
+    def lists(mask: np.ndarray, values: np.ndarray) -> pa.Array:
+        ends = np.cumsum(np.bincount(owner[mask], minlength=rows))
+        return pa.ListArray.from_arrays(pa.array(np.concatenate([[0], ends]).astype(np.int32)), pa.array(values[mask]))
 
+    heads = nodes[head // m] if m else np.zeros(0, np.int64)
+    return [lists(new, flat), lists(~new, flat), lists(~new, heads)]
 
-def planned(members: DataFrame) -> DataFrame:
-    """members (node, root, n and whatever else) with the number of blocks of their cluster."""
-    sizes = members.groupBy("root").agg(F.count("*").alias("sets"), F.sum("n").alias("items"))
-    blocks = F.greatest(F.ceil(F.col("sets") / BLOCK_SETS), F.ceil(F.col("items") / BLOCK_ITEMS)).cast("int")
-    return members.join(sizes.select("root", blocks.alias("blocks")), "root")
 
+def distinct(items: np.ndarray, bounds: np.ndarray) -> list[np.ndarray]:
+    """Each set's items, sorted and once."""
+    sets = []
+    for a, b in zip(bounds[:-1].tolist(), bounds[1:].tolist(), strict=True):
+        own = np.sort(items[a:b])
+        new = np.ones(len(own), bool)
+        np.not_equal(own[1:], own[:-1], out=new[1:])
+        sets.append(own[new])
+    return sets
 
-def _links(items: list[np.ndarray], left: int, share: int) -> np.ndarray:
-    """The local root (an index) of each set. Sets before `left` are compared with all others; if left is 0, all with all."""
-    m = len(items)
-    sizes = np.array([len(x) for x in items], np.int64)
-    codes, inverse = np.unique(np.concatenate(items), return_inverse=True)
+
+def buckets(banded: DataFrame) -> DataFrame:
+    """(key, node, head): members of buckets of several nodes with one that stands for the bucket in their comparison. banded has node and BANDS.
+
+    Written once; a bucket's rows come sorted, so no bucket is held in memory."""
+    head = F.first("node").over(Window.partitionBy("key").orderBy("node"))
+    far = banded.select("node", F.explode("bands").alias("key")).select("key", "node", head.alias("head"))
+    near = banded.where(F.size("near_keys") > 0).select("node", F.explode(F.arrays_zip("near_keys", "near_heads")).alias("x")).select("x.near_keys", "node", "x.near_heads")
+    return save(far.unionAll(near).where("node <> head"), "buckets", **HASHES)
+
+
+def _forest(sets: list[np.ndarray], left: int, share: int) -> np.ndarray:
+    """The local root (an index) of each set. Sets before `left` are compared with the others; if left is 0, all with all."""
+    m = len(sets)
+    sizes = np.array([len(x) for x in sets], np.int64)
+    codes, inverse = np.unique(np.concatenate(sets), return_inverse=True)
     order = np.argsort(inverse, kind="stable")
     owner = np.repeat(np.arange(m), sizes)[order]
     first = np.concatenate([[0], np.cumsum(np.bincount(inverse, minlength=len(codes)))])
@@ -95,67 +130,131 @@ def _links(items: list[np.ndarray], left: int, share: int) -> np.ndarray:
     return roots
 
 
-def _forest(nodes: np.ndarray, blocks: np.ndarray, items: list[np.ndarray], share: int) -> tuple[np.ndarray, np.ndarray]:
-    """Edges (node, root) of a spanning forest of the true links among one group's sets, sorted by block and node.
+def _pairs(found: list[tuple[bytes, bytes]]) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array([x[k] for x in found], pa.binary()) for k in (0, 1)], ["a", "b"])
+
 
-    A group of one block compares all with all; a group of two blocks only sets of one with sets of the other."""
-    once = np.flatnonzero(np.append(True, nodes[1:] != nodes[:-1]))
-    nodes, blocks, items = nodes[once], blocks[once], [items[k] for k in once]
-    left = int((blocks == blocks[0]).sum()) % len(nodes)
-    if len(nodes) == 2:
-        common = len(np.intersect1d(*items, assume_unique=True))
-        roots = np.array([0, 0 if 100 * common >= share * (len(items[0]) + len(items[1]) - common) else 1])
-    else:
-        roots = _links(items, left, share)
-    at = np.flatnonzero(roots != np.arange(len(roots)))
-    return nodes[at], nodes[roots[at]]
+def _star_batches(to_sets: ToSets, share: int):
+    """Rows group (binary), name and body, sorted so that a group's head, whose name is the group, comes first."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        group, head = None, None
+        for batch in batches:
+            groups, names, found = batch.column(0).to_pylist(), batch.column(1).to_pylist(), []
+            for g, name, items in zip(groups, names, to_sets(batch.column(2)), strict=True):
+                if g == name:
+                    group, head = g, items
+                elif g == group:
+                    # sizes alone rule many pairs out
+                    if 100 * min(len(items), len(head)) >= share * max(len(items), len(head)):
+                        both = np.concatenate([items, head])
+                        both.sort(kind="stable")  # merges two sorted runs
+                        common = int(np.count_nonzero(both[1:] == both[:-1]))
+                        if 100 * common >= share * (len(items) + len(head) - common):
+                            found.append((g, name))
+                else:
+                    raise ValueError("a group came without its head")
+            if found:
+                yield _pairs(found)
+
+    return run
 
 
-def _verify_batches(share: int):
+def _block_batches(to_sets: ToSets, share: int):
+    """Rows key, kind, i, j, side, name and body, sorted by these; a group is what shares key, kind, i and j."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: list[tuple[np.ndarray, list[np.ndarray]]] = []  # parts of the group that may go on in the next batch
+        held: list[tuple[int, bytes, np.ndarray]] = []
+        at, alone = None, False
 
-        def close() -> tuple[np.ndarray, np.ndarray]:
-            numbers, items = np.concatenate([n for n, _ in held]), [x for _, part in held for x in part]
+        def close() -> list[tuple[bytes, bytes]]:
+            once = [x for k, x in enumerate(held) if not k or held[k - 1][:2] != x[:2]]
             held.clear()
-            if len(items) < 2 or (numbers[0, 1] != numbers[0, 2] and len(np.unique(numbers[:, 3])) < 2):
-                return np.zeros(0, np.int64), np.zeros(0, np.int64)
-            return _forest(numbers[:, 4], numbers[:, 3], items, share)
+            left = 0 if alone else sum(side == 0 for side, *_ in once)
+            if len(once) < 2 or not (alone or 0 < left < len(once)):
+                return []
+            roots = _forest([x[2] for x in once], left, share)
+            return [(once[int(roots[k])][1], once[k][1]) for k in np.flatnonzero(roots != np.arange(len(roots)))]
 
         for batch in batches:
-            numbers = np.stack([np.asarray(batch.column(k)).astype(np.int64) for k in range(5)], 1)
-            cuts = np.flatnonzero((numbers[1:, :3] != numbers[:-1, :3]).any(1)) + 1
-            sets = batch.column(5).to_pylist()
-            edges = []
-            for a, b in zip([0, *cuts.tolist()], [*cuts.tolist(), len(numbers)], strict=True):
-                if held and (held[-1][0][0, :3] != numbers[a, :3]).any():
-                    edges.append(close())
-                held.append((numbers[a:b], [np.frombuffer(x, "<u8") for x in sets[a:b]]))
-            if edges:
-                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(x)) for x in zip(*edges, strict=True)], ["a", "b"])
-        if held:
-            yield pa.RecordBatch.from_arrays([pa.array(x) for x in close()], ["a", "b"])
+            numbers = list(zip(*(batch.column(k).to_pylist() for k in range(4)), strict=True))
+            found = []
+            for number, side, name, items in zip(numbers, batch.column(4).to_pylist(), batch.column(5).to_pylist(), to_sets(batch.column(6)), strict=True):
+                if number != at:
+                    found += close()
+                    at, alone = number, number[1] == 1 and number[2] == number[3]
+                held.append((side, name, items))
+            if found:
+                yield _pairs(found)
+        if held and (found := close()):
+            yield _pairs(found)
 
     return run
 
 
-def true_components(sets: DataFrame, share: int) -> DataFrame:
-    """(node, root) over links with 100 * intersection >= share * union.
+def _stars(pairs: DataFrame, content: DataFrame, to_sets: ToSets, share: int) -> DataFrame:
+    """The pairs (a head, b) that are linked. A head of many is compared in several tasks."""
+    salts = F.ceil(F.count("*") / STAR).cast("int")
+    parts = merged(pairs, pairs.groupBy("a").agg(salts.alias("salts")), "a").select("a", "b", F.pmod(F.xxhash64("b"), F.col("salts").cast("bigint")).cast("int").alias("salt"))
+    parts = save(parts, "star-pairs")
+    heads = parts.select("a", "salt", F.col("a").alias("name"), F.lit(0).alias("role")).distinct()
+    rows = merged(heads.unionAll(parts.select("a", "salt", F.col("b").alias("name"), F.lit(1).alias("role"))), content.select("name", "body"), "name")
+    rows = rows.repartition("a", "salt").sortWithinPartitions("a", "salt", "role", "name").select("a", "name", "body")
+    out = save(rows.mapInArrow(_star_batches(to_sets, share), "a binary, b binary"), "star-links")
+    forget(parts)
+    return out
 
-    sets has node, root (its candidate cluster), blocks and items (sorted distinct 64-bit hashes as bytes). Sets of a cluster
-    are dealt to its blocks by a hash; every two blocks meet in one task, so each pair of a cluster is compared once on full sets, and a set is
-    sent to as many tasks as its cluster has blocks."""
-    block = F.pmod(F.xxhash64("node"), F.col("blocks").cast("bigint")).cast("int")
-    met = sets.withColumn("block", block).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-    met = met.select("root", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"), "block", "node", "items")
-    groups = met.repartition("root", "i", "j").sortWithinPartitions("root", "i", "j", "block", "node")
-    return components(groups.mapInArrow(_verify_batches(share), "a bigint, b bigint"))
 
+def _residue(found: DataFrame, apart: DataFrame, names: DataFrame, roots: DataFrame, content: DataFrame, to_sets: ToSets, share: int) -> DataFrame | None:
+    """Links (a, b) between sets that share a bucket and are not all tied to its head; None if there is no such bucket.
+
+    apart has the pairs of head and node that are not linked: only buckets with one of these, and a third member, are open."""
+    keys = merged(found, apart, ["head", "node"], "left_semi").select("key").distinct()
+    open_ = save(merged(found, keys, "key", "left_semi"), "bucket-apart")
+    members = open_.select("key", "node").unionAll(open_.select("key", F.col("head").alias("node"))).distinct()
+    comp = merged(merged(members, names, "node"), roots.select(F.col("node").alias("name"), "root"), "name", "left").select("key", "node", "name", F.coalesce("root", "name").alias("comp"))
+    comp = save(comp, "bucket-members")
+    forget(open_)
+    marks = [F.bit_xor(F.xxhash64("name")).alias("x"), F.bit_xor(F.xxhash64(F.lit(1), "name")).alias("y")]
+    per = comp.groupBy("key").agg(F.count("*").alias("sets"), F.min("comp").alias("lo"), F.max("comp").alias("hi"), F.min(F.struct("node", "name", "comp")).alias("first"), *marks)
+    per = per.where("lo <> hi AND sets > 2")
+    # buckets of the same members are one
+    open_ = save(per.groupBy("x", "y", "sets").agg(F.min("key").alias("key"), F.min("first.comp").alias("main")).select("key", "main"), "bucket-open")
+    if open_.isEmpty():
+        forget(comp, open_)
+        return None
+    rows = merged(merged(comp, open_, "key"), content.select("name", "n"), "name").select("key", "name", "n", (F.col("comp") != F.col("main")).alias("far"))
+    rows = save(rows, "bucket-rows")
+    count = lambda far: F.greatest(F.ceil(F.count_if(far) / BLOCK_SETS), F.ceil(F.coalesce(F.sum(F.when(far, F.col("n"))), F.lit(0)) / BLOCK_ITEMS)).cast("int")
+    sizes = rows.groupBy("key").agg(count(F.col("far")).alias("fars"), count(~F.col("far")).alias("nears"))
+    rows = merged(rows, sizes, "key").withColumn("own", F.pmod(F.xxhash64("name"), F.when(F.col("far"), F.col("fars")).otherwise(F.col("nears")).cast("bigint")).cast("int"))
+    upto = lambda n: F.when(F.col(n) > 0, F.sequence(F.lit(0), F.col(n) - 1)).otherwise(F.array().cast("array<int>"))
+    group = lambda kind, i, j, side: F.struct(F.lit(kind).alias("kind"), i.alias("i"), j.alias("j"), side.alias("side"))
+    own, zero, one = F.col("own"), F.lit(0), F.lit(1)
+    far = F.concat(F.transform(upto("nears"), lambda x: group(0, own, x, zero)), F.transform(upto("fars"), lambda x: group(1, F.least(own, x), F.greatest(own, x), F.when(own <= x, 0).otherwise(1))))
+    near = F.transform(upto("fars"), lambda x: group(0, x, own, one))
+    met = rows.select("key", "name", F.explode(F.when(F.col("far"), far).otherwise(near)).alias("g")).select("key", "g.kind", "g.i", "g.j", "g.side", "name")
+    met = merged(met, content.select("name", "body"), "name").select("key", "kind", "i", "j", "side", "name", "body")
+    met = met.repartition("key", "kind", "i", "j").sortWithinPartitions("key", "kind", "i", "j", "side", "name")
+    out = save(met.mapInArrow(_block_batches(to_sets, share), "a binary, b binary"), "bucket-links")
+    forget(comp, open_, rows)
+    return out
 
-def found_texts(docs: DataFrame, wanted: DataFrame, keys: list[str], sets: int | None = None) -> DataFrame:
-    """docs joined with wanted on keys (null-safe): wanted is broadcast if its counted rows (or `sets`, what they hold) are few, else both are shuffled."""
-    wanted = save(wanted, "wanted")
-    side = F.broadcast(wanted) if (wanted.count() if sets is None else sets) <= BROADCAST_SETS else wanted
-    side = side.select([F.col(c).alias(f"__w_{c}") if c in keys else F.col(c) for c in side.columns])
-    on = [docs[k].eqNullSafe(side[f"__w_{k}"]) for k in keys]
-    return docs.join(side, on).drop(*[f"__w_{k}" for k in keys])
+
+def true_components(found: DataFrame, names: DataFrame, content: DataFrame, to_sets: ToSets, share: int) -> DataFrame:
+    """(node, root), both names of sets, over links with 100 * intersection >= share * union.
+
+    found comes from buckets(); names has node and name of every set in it (two names of one node stay apart), content has
+    name, n (the number of items) and body, which to_sets turns into sets."""
+    of = lambda c, to: names.select(F.col("node").alias(c), F.col("name").alias(to))
+    pairs = save(merged(merged(found.select("head", "node").distinct(), of("head", "a"), "head"), of("node", "b"), "node"), "bucket-pairs")
+    links = _stars(pairs.select("a", "b"), content, to_sets, share)
+    roots = components(links)
+    apart = merged(pairs, links, ["a", "b"], "left_anti").select("head", "node").distinct()
+    more = _residue(found, apart, names, roots, content, to_sets, share)
+    forget(pairs, links)
+    if more is None:
+        return roots
+    out = components(roots.select(F.col("node").alias("a"), F.col("root").alias("b")).unionAll(more))
+    forget(roots, more)
+    return out

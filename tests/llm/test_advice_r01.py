@@ -71,9 +71,8 @@ def test_near_unique_keeps_one_row_of_each_group(spark, rows):
     assert corpus_pipeline.near_unique(spark, docs.limit(0), None).count() == 0
 
 
-@pytest.mark.parametrize("local", [lines.LOCAL_DECISIONS, 0])
-def test_short_lines_are_deduplicated(spark, local):
+def test_short_lines_are_deduplicated(spark):
     texts = ["All rights reserved.\nand ornd.\n-\n\none", "x\n ALL RIGHTS RESERVED. \n\n-\nand ornd.\ntwo", None, "-", "and ornd!\n\n\nthree"]
     docs = spark.createDataFrame(list(enumerate(texts)), "doc_id bigint, text string")
-    got = {r["doc_id"]: (r["text"], r["n_dropped"]) for r in lines.dedup_lines(docs, local).collect()}
+    got = {r["doc_id"]: (r["text"], r["n_dropped"]) for r in lines.dedup_lines(docs).collect()}
     assert got == {0: (texts[0], 0), 1: ("x\n\ntwo", 3), 2: (None, 0), 3: ("", 1), 4: (texts[4], 0)}

@@ -146,8 +146,8 @@ def test_near_duplicates(odd, empty, spark, sf_dir, k, share, monkeypatch):
     docs = table(spark, sf_dir, "documents")
     want = near_by_force([(r["doc_id"], r["text"]) for r in docs.collect()], k, share)
     assert got(docs) == want
-    monkeypatch.setattr(similar, "BLOCK_SETS", 2)  # clusters of several blocks, and texts found by a shuffle
-    monkeypatch.setattr(similar, "BROADCAST_SETS", 0)
+    monkeypatch.setattr(similar, "BLOCK_SETS", 2)  # residues of several blocks, and stars in several tasks
+    monkeypatch.setattr(similar, "STAR", 3)
     assert got(docs) == want
 
 
@@ -178,7 +178,7 @@ def lines_by_force(rows):
             if len(x) >= lines.LEAST:
                 where[x].append((d is not None, d or 0, mark, i))
     texts = list(where)
-    comps = linked([frozenset(x[i : i + 8] for i in range(max(1, len(x) - 7))) for x in texts], lines.SHARE)
+    comps = linked([frozenset(x[i : i + lines.SHINGLE] for i in range(max(1, len(x) - lines.SHINGLE + 1))) for x in texts], lines.SHARE)
     kept = {}
     for c, x in zip(comps, texts, strict=True):
         kept[c] = min([*where[x], *([kept[c]] if c in kept else [])])
@@ -190,21 +190,24 @@ def lines_by_force(rows):
     return out
 
 
-@pytest.mark.parametrize("local", [lines.LOCAL_DECISIONS, 0])
-def test_lines(odd, empty, spark, sf_dir, local):
+@pytest.mark.parametrize("blocks", [similar.BLOCK_SETS, 2])
+def test_lines(odd, empty, spark, sf_dir, blocks, monkeypatch):
+    monkeypatch.setattr(similar, "BLOCK_SETS", blocks)
     for docs in (odd, table(spark, sf_dir, "documents")):
         rows = [tuple(r) for r in docs.selectExpr("doc_id", "xxhash64(coalesce(text, ''))", "text").collect()]
-        assert as_tuples(lines.dedup_lines(docs, local).select("doc_id", "text", "n_dropped")) == lines_by_force(rows)
-    assert lines.dedup_lines(empty, local).count() == 0
+        assert as_tuples(lines.dedup_lines(docs).select("doc_id", "text", "n_dropped")) == lines_by_force(rows)
+    assert lines.dedup_lines(empty).count() == 0
 
 
 def test_encoder():
     rng = random.Random(1)
     pool = "aAbBzZéÉßñÑüÜ'stTrevmlld''  \n\n\t\r\x0b\x0c.,!?-_#$%&*|<>0129²¹½ªº\x00\x1f\x85\xa0 “”’ΣςİıŉﬁÅ日本語кКд😀́̈"
-    texts = ["".join(rng.choice(pool[: rng.choice([30, len(pool)])]) for _ in range(rng.randint(0, 40))) for _ in range(5000)] + ["<|endoftext|> a", ""]
+    texts = ["".join(rng.choice(pool[: rng.choice([30, len(pool)])]) for _ in range(rng.randint(0, 40))) for _ in range(5000)] + ["<|endoftext|> a", "", "x <|startoftext|>y"]
     for path, spaces in ((BYTES, True), (WORDS, False)):
         e = encoding.Encoder(path, spaces)
-        assert e.encode(texts) == e.whole(texts)
+        ids, bounds = e.encode(texts)
+        want, ends = e.whole(texts)
+        assert (ids == want).all() and (bounds == [0, *ends]).all()
 
 
 def ids_of(path, text, end):
