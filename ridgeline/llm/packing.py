@@ -18,7 +18,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import in_batches, save, text_or_empty
+from .common import save, text_or_empty
 from .encoding import encoder, groups
 
 CAPACITY, BINS, PARTS = 4096, 64, 4
@@ -189,7 +189,7 @@ def _ranks(made: list) -> tuple[np.ndarray, int]:
 
 
 def _piece_batches(path: str, end_id: int, capacity: int):
-    tail = np.array([end_id], "<u4").tobytes()
+    tail = np.array([end_id], "<u4")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         part, seen = TaskContext.get().partitionId(), np.zeros(capacity + 1, np.int64)
@@ -197,12 +197,13 @@ def _piece_batches(path: str, end_id: int, capacity: int):
             names, texts = batch.column(0).to_pylist(), batch.column(1).to_pylist()
             for a, b in groups(texts):
                 rows = []
-                for name, ids in zip(names[a:b], encoder(path, False).encode(texts[a:b]), strict=True):
-                    ids += tail
-                    for k, at in enumerate(range(0, len(ids), 4 * capacity)):
-                        bit = ids[at : at + 4 * capacity]
-                        n = len(bit) // 4
-                        rows.append((name, k, at // 4, n, zlib.crc32(bit), part, int(seen[n])))
+                values, bounds = encoder(path, False).encode(texts[a:b])
+                for name, x, y in zip(names[a:b], bounds[:-1].tolist(), bounds[1:].tolist(), strict=True):
+                    ids = np.append(values[x:y], tail)
+                    for k, at in enumerate(range(0, len(ids), capacity)):
+                        bit = ids[at : at + capacity]
+                        n = len(bit)
+                        rows.append((name, k, at, n, zlib.crc32(bit), part, int(seen[n])))
                         seen[n] += 1
                 kinds = (pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.int64())
                 yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), kinds, strict=True)], ["doc_id", "piece", "start", "length", "ids_crc32", "part", "nth"])
@@ -214,7 +215,7 @@ def cut_pieces(docs: DataFrame, tokenizer: str, end_id: int = 1, capacity: int =
     """One row per piece of each whole text (null: empty) with end_id appended: longer ones are cut every `capacity` ids.
 
     part and nth number the pieces of one length within a task, from which pack() counts ranks without a sort."""
-    return in_batches(docs).select("doc_id", text_or_empty("text").alias("text")).mapInArrow(_piece_batches(tokenizer, end_id, capacity), PIECES)
+    return docs.select("doc_id", text_or_empty("text").alias("text")).mapInArrow(_piece_batches(tokenizer, end_id, capacity), PIECES)
 
 
 def _placed(table: np.ndarray):

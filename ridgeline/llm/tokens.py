@@ -11,7 +11,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import in_batches, new_path, text_or_empty
+from .common import new_path, save, text_or_empty
 from .encoding import encoder, groups
 
 COLUMNS = "doc_id bigint, part int, local_start bigint, n_tokens bigint, ids array<int>"
@@ -30,18 +30,16 @@ FILE_OPTIONS = {
 
 
 def _encode_batches(path: str, end_id: int):
-    tail = np.array([end_id], "<u4").tobytes()
-
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         part, start = TaskContext.get().partitionId(), 0
         for batch in batches:
             names, texts = batch.column(0), batch.column(1).to_pylist()
             for a, b in groups(texts):
-                ids = [x + tail for x in encoder(path, True).encode(texts[a:b])]
-                counts = np.array([len(x) // 4 for x in ids], np.int64)
+                values, bounds = encoder(path, True).encode(texts[a:b])
+                values = np.insert(values.astype(np.int32), bounds[1:], end_id)
+                counts = np.diff(bounds) + 1
                 ends = np.cumsum(counts)
-                values = pa.array(np.frombuffer(b"".join(ids), "<u4").astype(np.int32))
-                lists = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], ends]).astype(np.int32)), values)
+                lists = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], ends]).astype(np.int32)), pa.array(values))
                 yield pa.RecordBatch.from_arrays(
                     [names.slice(a, b - a), pa.array(np.full(b - a, part, np.int32)), pa.array(start + ends - counts), pa.array(counts), lists],
                     ["doc_id", "part", "local_start", "n_tokens", "ids"],
@@ -58,9 +56,9 @@ def write_tokens(docs: DataFrame, path: str, tokenizer: str, end_id: int = 0) ->
     doc_id, its own number (part), the count of ids before the document in it, n_tokens and ids. Null ids come first, equal ids
     go by text. Only doc_id and text are read; an empty table writes files without rows.
     """
-    rows = in_batches(docs).select("doc_id", text_or_empty("text").alias("text"))
+    rows = docs.select("doc_id", text_or_empty("text").alias("text"))
     ordered = rows.repartitionByRange("doc_id").sortWithinPartitions("doc_id", "text")
-    ordered.mapInArrow(_encode_batches(tokenizer, end_id), COLUMNS).write.options(**FILE_OPTIONS).parquet(path)
+    save(ordered.mapInArrow(_encode_batches(tokenizer, end_id), COLUMNS), path=path, **FILE_OPTIONS)
 
 
 def _with_start(spark: SparkSession, path: str, rows: DataFrame) -> DataFrame:
@@ -93,7 +91,7 @@ def token_digests(spark: SparkSession, path: str) -> DataFrame:
     """doc_id, start, n_tokens and the crc32 of a document's ids, all read back from the files at path."""
     rows = spark.read.schema(COLUMNS).parquet(path)
     crcs = rows.mapInArrow(_crc_batches, "doc_id bigint, part int, local_start bigint, n_tokens bigint, ids_crc32 bigint")
-    return _with_start(spark, path, crcs).select("doc_id", "start", "n_tokens", "ids_crc32")
+    return _with_start(spark, path, save(crcs, "token-crcs")).select("doc_id", "start", "n_tokens", "ids_crc32")
 
 
 def token_table(docs: DataFrame, tokenizer: str, end_id: int = 0) -> DataFrame:
