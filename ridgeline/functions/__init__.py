@@ -63,10 +63,11 @@ def z_index(path: Column, position: Column) -> Column:
 
 
 def natural_key(path: Column) -> Column:
-    """A string that sorts names as people do: text in lower case, runs of digits by value."""
+    """A string that sorts names as people do: text in lower case, runs of digits by value (their count of digits goes before them)."""
     name = F.lower(F.substring_index(F.replace(path, F.lit("\\"), F.lit("/")), "/", -1))
+    digits = lambda x: F.regexp_replace(x, "^0+(?=\\d)", "")
     parts = F.regexp_extract_all(name, F.lit("(\\d+|\\D+)"), F.lit(1))
-    return F.array_join(F.transform(parts, lambda x: F.when(x.rlike("^\\d"), F.lpad(F.regexp_replace(x, "^0+(?=\\d)", ""), 20, "0")).otherwise(x)), "")
+    return F.array_join(F.transform(parts, lambda x: F.when(x.rlike("^\\d"), F.concat(F.lpad(F.length(digits(x)).cast("string"), 10, "0"), digits(x))).otherwise(x)), "")
 
 
 def reason_list(**flags: Column) -> Column:

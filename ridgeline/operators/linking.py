@@ -95,7 +95,10 @@ def link(d: DataFrame, p: Params, linker: str = "overlap_first") -> DataFrame:
     The joins find all edges in parallel; a stack's fold then sees ids and edges only. Slices that aren't there are passed over;
     an empty table gives no rows. A stack is one group: it is ordered by nature, and its fold holds its edges."""
     edges_of, how = LINKERS[linker]
-    keyed = d.withColumn("id", F.row_number().over(Window.partitionBy("stack_id").orderBy("z_slice", "sperm_id", *[c for c in ("event_id",) if c in d.columns])).cast("bigint"))
+    # ids follow slices and places, numbered within each slice: no stack is sorted as a whole
+    tied = [c for c in ("event_id", "centroid_y", "centroid_x", "area_px") if c in d.columns]
+    place = F.row_number().over(Window.partitionBy("stack_id", "z_slice").orderBy("sperm_id", *tied))
+    keyed = d.withColumn("id", F.col("z_slice").cast("bigint") * (1 << 32) + place)
     small = keyed.select("stack_id", "z_slice", "sperm_id", "id")
     edges = edges_of(keyed, p)
     tracks = small.groupBy("stack_id").cogroup(edges.groupBy("stack_id")).applyInPandas(_fold_stack(p, how), "stack_id int, id bigint, track_no bigint")
@@ -103,8 +106,10 @@ def link(d: DataFrame, p: Params, linker: str = "overlap_first") -> DataFrame:
 
 
 def with_track_ids(linked: DataFrame, per_stack: int = 10_000_000) -> DataFrame:
-    """track_id unique over stacks, as summaries need."""
-    return linked.withColumn("track_id", F.col("stack_id").cast("bigint") * per_stack + F.col("track_no")).drop("track_no")
+    """track_id unique over stacks, as summaries need; a stack of more tracks than per_stack fails rather than running into the next one's."""
+    over = F.raise_error(F.lit(f"a stack has more than {per_stack} tracks")).cast("bigint")
+    number = F.when(F.col("track_no") >= per_stack, over).otherwise(F.col("track_no"))
+    return linked.withColumn("track_id", F.col("stack_id").cast("bigint") * per_stack + number).drop("track_no")
 
 
 def link_faults(linked: DataFrame, p: Params) -> DataFrame:

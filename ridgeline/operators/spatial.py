@@ -9,6 +9,8 @@ from ..functions import boxes_touch, inconsistency
 from ..lineage import settled
 from ..params import Params
 
+#: The grid's cell for boxes and reaches of candidates; any size is right, one of about their extent lists each in few cells.
+CELL = 32.0
 BOX = ["bbox_min_y", "bbox_min_x", "bbox_max_y", "bbox_max_x"]
 
 
@@ -52,21 +54,22 @@ def candidate_edges(d: DataFrame, p: Params, consistent: bool = True) -> DataFra
     overlap, distance and score (overlap always beats distance); only consistent ones unless asked otherwise (then with reason).
 
     d has a unique `id` per stack. A track's state is its last detection's, so whether it can go on is a fact about two detections,
-    all settled here in parallel; the linker only has to choose."""
-    ahead = d.withColumn("z_next", next_slices(p))
-    after = d.withColumn("z_next", F.col("z_slice"))
-    keys = ["stack_id", "z_next"]
-    both = [F.col("a.stack_id").alias("stack_id"), F.col("a.id").alias("a"), F.col("b.id").alias("b")]
-    touch = touching_pairs(ahead, after, keys, p.track_bbox_padding_px).select(*both)
-    near = near_pairs(ahead, after, keys, p.max_dist_px).select(*both)
-    pairs = touch.withColumn("overlap", F.lit(True)).unionAll(near.withColumn("overlap", F.lit(False))).groupBy("stack_id", "a", "b").agg(F.bool_or("overlap").alias("overlap"))
-    wide = pairs.alias("p").join(d.alias("a"), (F.col("p.stack_id") == F.col("a.stack_id")) & (F.col("p.a") == F.col("a.id")))
-    wide = wide.join(d.alias("b"), (F.col("p.stack_id") == F.col("b.stack_id")) & (F.col("p.b") == F.col("b.id")))
+    all settled here in parallel, by one join over grid cells that carries the measures along; the linker only has to choose."""
+    pad, reach = p.track_bbox_padding_px, p.max_dist_px
+    # what two detections that touch or are near must share: their grown boxes, widened to half the reach around the centroids
+    grown = [F.least(F.col(f"bbox_min_{c}") - pad, F.col(f"centroid_{c}") - reach / 2) for c in "xy"] + [F.greatest(F.col(f"bbox_max_{c}") + pad, F.col(f"centroid_{c}") + reach / 2) for c in "xy"]
+    rows = d.withColumns(dict(zip(("lo_x", "lo_y", "hi_x", "hi_y"), grown, strict=True)))
+    for axis in "xy":
+        rows = rows.withColumn(f"g{axis}", F.explode(F.sequence(_cell(f"lo_{axis}", CELL), _cell(f"hi_{axis}", CELL))))
+    a, b = rows.withColumn("z_next", next_slices(p)).alias("a"), rows.withColumn("z_next", F.col("z_slice")).alias("b")
+    met = a.join(b, [F.col(f"a.{k}") == F.col(f"b.{k}") for k in ("stack_id", "z_next", "gx", "gy")])
+    for axis in "xy":  # in the one cell of the lower corner of what they share
+        met = met.where(F.col(f"a.g{axis}") == _cell(F.greatest(F.col(f"a.lo_{axis}"), F.col(f"b.lo_{axis}")), CELL))
     distance = F.hypot(F.col("b.centroid_x") - F.col("a.centroid_x"), F.col("b.centroid_y") - F.col("a.centroid_y"))
-    overlap = F.col("p.overlap")
-    edges = wide.select(
-        F.col("p.stack_id").alias("stack_id"), F.col("p.a").alias("a"), F.col("p.b").alias("b"), F.col("a.z_slice").alias("z_a"), F.col("b.z_slice").alias("z_b"), overlap.alias("overlap"),
-        distance.alias("distance"), F.when(overlap, distance - 10000).otherwise(distance).alias("score"), inconsistency("a", "b", p, overlap, distance).alias("reason"),
+    met = met.withColumns({"overlap": boxes_touch("a", "b", pad), "distance": distance}).where(F.col("overlap") | (F.col("distance") <= reach))
+    edges = met.select(
+        F.col("a.stack_id").alias("stack_id"), F.col("a.id").alias("a"), F.col("b.id").alias("b"), F.col("a.z_slice").alias("z_a"), F.col("b.z_slice").alias("z_b"), "overlap",
+        "distance", F.when(F.col("overlap"), F.col("distance") - 10000).otherwise(F.col("distance")).alias("score"), inconsistency("a", "b", p, F.col("overlap"), F.col("distance")).alias("reason"),
     )
     return edges.where("reason IS NULL").drop("reason") if consistent else edges
 
@@ -92,7 +95,7 @@ def nearest_in_previous_slice(d: DataFrame, p: Params) -> DataFrame:
 def nearest_other(points: DataFrame, first: float = 16.0) -> DataFrame:
     """points (stack_id, id, x, y, z) with nearest_um, the distance to the nearest other point of the stack; null if it is alone.
 
-    Cells double in size from round to round. What is found within one cell size of a point is certain; only points without
+    Cells grow fourfold from round to round. What is found within one cell size of a point is certain; only points without
     such a find go on, against all points, until a stack fits in the cells around. A cell's points count in its own row of the grid, so a round is one join."""
     points = settled(points)  # every round reads them
     spread = points.groupBy("stack_id").agg(*[(F.max(c) - F.min(c)).alias(f"d{c}") for c in "xyz"]).agg(F.max(F.greatest("dx", "dy", "dz"))).first()[0]
@@ -131,6 +134,14 @@ def near_with_other_label(ends: DataFrame, radius: float, keys: list[str], label
     return pairs.select(*[F.col(f"a.{k}").alias(k) for k in keys], F.col("a.id").alias("a"), F.col("b.id").alias("b"), "distance")
 
 
+def inside_region(d: DataFrame, mask: DataFrame, height: int, width: int) -> DataFrame:
+    """Rows whose centroid's pixel, rounded half to even and clamped into the image, is one of mask (y, x): a semi join on pixels."""
+    at = lambda c, size: F.least(F.greatest(F.bround(c).cast("int"), F.lit(0)), F.lit(size - 1))
+    own = d.withColumns({"__y": at("centroid_y", height), "__x": at("centroid_x", width)})
+    pixels = mask.select(F.col("y").alias("__y"), F.col("x").alias("__x")).distinct()
+    return own.join(pixels, ["__y", "__x"], "left_semi").select(*d.columns)
+
+
 def inside_polygon(d: DataFrame, corners: list[tuple[float, float]]) -> DataFrame:
     """Rows whose rounded centroid is inside the polygon (even-odd rule): one expression over its edges, no join."""
     if len(corners) < 3:

@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import holds, reason_list
+from ..lineage import settled
 from ..params import Params
 
 SUMMARY = [
@@ -175,6 +176,25 @@ def of_class(t: DataFrame, flag: str) -> DataFrame:
     return rows.orderBy(F.desc_nulls_last(metric), "track_id") if metric else rows.orderBy("track_id")
 
 
+def of_classes(t: DataFrame) -> DataFrame:
+    """track_id, class and badness of every flagged track, once for each of its classes; single slices are the worse the fewer they have."""
+    badness = {"long": F.col("total_3d_length_um"), "tortuous": F.col("tortuosity_3d"), "thick": F.col("thickness_um"), "taper": F.col("taper_ratio"), "single_slice": -F.col("n_slices").cast("double")}
+    classes = F.array(*[F.when(F.col(f"flag_{n}"), F.struct(F.lit(n).alias("class"), badness[n].alias("badness"))) for n in FLAGS])
+    return t.select("track_id", F.inline(F.array_compact(classes)))
+
+
+def positions_by(df: DataFrame, group: str, *order) -> DataFrame:
+    """df with position, each row's place from 1 in its group by order, without sorting a group in one task: rows are dealt to
+    tasks by ranges of group and order and written so, and what crosses tasks is a count per task and group."""
+    ranged = df.repartitionByRange(group, *order).sortWithinPartitions(group, *order)
+    at = settled(ranged.withColumn("__at", F.monotonically_increasing_id()).withColumn("__task", F.shiftright("__at", 33)))
+    counts = at.groupBy(group, "__task").agg(F.count("*").alias("__n"), F.min("__at").alias("__first"))
+    before = F.coalesce(F.sum("__n").over(Window.partitionBy(group).orderBy("__task").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    counts = counts.withColumn("__before", before).select(group, "__task", "__first", "__before")
+    joined = at.join(counts, [group, "__task"])
+    return joined.withColumn("position", F.col("__before") + F.col("__at") - F.col("__first") + 1).select(*df.columns, "position")
+
+
 def accept(objects: DataFrame, p: Params) -> DataFrame:
     """Measured objects with reject_reason, the first rule that an object fails, or null."""
     c = F.col

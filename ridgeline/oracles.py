@@ -8,7 +8,7 @@ det AS (
          6.0::double + k::double / 10 AS length_um_geodesic, 1.0::double + (k % 20)::double / 40 AS tortuosity, 0.8::double + (event_id % 7)::double / 10 AS width_um,
          5::double + floor(value / 10) AS area_px, ((event_id % 314)::double - 157) / 100 AS orientation, centroid_x, centroid_y,
          centroid_y - (2 + k::double / 20) AS bbox_min_y, centroid_x - (2 + k::double / 20) AS bbox_min_x, centroid_y + (2 + k::double / 20) AS bbox_max_y, centroid_x + (2 + k::double / 20) AS bbox_max_x
-  FROM (SELECT event_id, cast(user_id % 4 AS int) AS stack_id, cast(date_diff('day', date '2024-01-01', cast(ts AS date)) AS int) AS z_slice, cast(json_extract(props, '$.k') AS int) AS k, value,
+  FROM (SELECT event_id, cast(user_id % (SELECT greatest(4, cast(floor(count(DISTINCT user_id) / 37.5) AS bigint)) FROM events) AS int) AS stack_id, cast(date_diff('day', date '2024-01-01', cast(ts AS date)) AS int) AS z_slice, cast(json_extract(props, '$.k') AS int) AS k, value,
                cast((event_id*event_id*31 + event_id*17) % 257 AS double) AS centroid_x, cast((event_id*event_id*37 + event_id*101) % 251 AS double) AS centroid_y FROM events))"""
 CELL = DET + """,
 cel AS (SELECT *, stack_id*100000 + cast(floor(centroid_x/12) AS int)*1000 + cast(floor(centroid_y/12) AS int) AS track_id, length_um_geodesic / tortuosity AS euc FROM det)"""
@@ -84,7 +84,7 @@ SQL = {
     "src_zidx": f"WITH {DET} SELECT event_id, CASE WHEN event_id % 3 = 2 THEN NULL WHEN event_id % 3 = 0 THEN z_slice ELSE event_id::int END AS z_index FROM det WHERE event_id % 3 <> 2 UNION ALL SELECT event_id, -1 FROM det WHERE event_id % 3 = 2",
     "src_one": f"WITH {DET} SELECT event_id, stack_id, z_slice, sperm_id FROM det WHERE z_slice = 15",
     "src_slices": f"WITH {DET} SELECT stack_id, z_slice, count(*) AS n FROM det WHERE z_slice IN (3, 5, 7, 8, 9, 10, 20, 21, 22) GROUP BY ALL",
-    "src_gapwarn": f"WITH {DET}, z AS (SELECT DISTINCT stack_id, z_slice FROM det WHERE event_id % 97 = 0), g AS (SELECT stack_id, lag(z_slice) OVER (PARTITION BY stack_id ORDER BY z_slice) AS previous, z_slice FROM z) SELECT * FROM g WHERE z_slice - previous > 1",
+    "src_gapwarn": f"WITH {DET}, z AS (SELECT DISTINCT stack_id, z_slice FROM det WHERE z_slice IN (0, 1, 2, 3, 4, 8, 10, 11, 12, 20, 21, 22, 29)), g AS (SELECT stack_id, lag(z_slice) OVER (PARTITION BY stack_id ORDER BY z_slice) AS previous, z_slice FROM z) SELECT * FROM g WHERE z_slice - previous > 1",
     "p_euc2d": f"WITH {DET} SELECT event_id, round(length_um_geodesic / tortuosity, 6) AS euc_um_2d FROM det",
     "a_track": f"WITH {TRK} SELECT track_id, n_slices, z_start, z_end, max_length_2d, round(max_euc_2d, 6) AS max_euc_2d, sum_area_px, round(mean_x, 6) AS mean_x, round(mean_y, 6) AS mean_y, round(mean_z, 6) AS mean_z, x0, x1, y0, y1, a0, a1 FROM agg",
     "p_metrics": f"WITH {TRK} SELECT track_id, {_cols} FROM trk",
@@ -93,9 +93,12 @@ SQL = {
     "f_viz": f"WITH {TRK} SELECT track_id, round(tortuosity_3d, 5) AS tortuosity_3d FROM trk WHERE tortuosity_3d BETWEEN 0.95 AND 3.0",
     "p_tonum": "SELECT event_id, try_cast(CASE WHEN event_id % 5 = 0 THEN 'n/a' ELSE value::varchar END AS double) AS x FROM events WHERE event_id % 5 <> 0",
     "f_accept": f"WITH {DET} SELECT event_id, CASE WHEN area_px < 6.02 THEN 'short' WHEN length_um_geodesic * 4 < 6.02 THEN 'short' WHEN length_um_geodesic * 4 > 60 THEN 'long' WHEN width_um * 7 > 8.94 THEN 'wide' WHEN length_um_geodesic * 4 / (width_um * 7 + 1e-9) < 4.5 THEN 'ratio' WHEN event_id % 11 > 8 THEN 'branches' WHEN tortuosity > 1.4 THEN 'tortuous' WHEN event_id % 13 > 10 THEN 'endpoints' END AS reject_reason FROM det",
-    "p_rows": f"WITH {DET} SELECT event_id, round(length_um_geodesic * 4, 3) AS length_px_geodesic, round(length_um_geodesic * 4 * 0.756836::double, 3) AS length_um_geodesic, round(width_um * 7, 2) AS width_px, round(tortuosity, 3) AS tortuosity, round(orientation, 3) AS orientation, cast(row_number() OVER (PARTITION BY stack_id, z_slice ORDER BY event_id) AS int) AS sperm_id FROM det",
+    "p_rows": f"WITH {DET} SELECT event_id, round(length_um_geodesic * 4, 3) AS length_px_geodesic, round(length_um_geodesic * 4 * 0.756836::double, 3) AS length_um_geodesic, round(area_px, 1) AS length_px_count, round(area_px * 0.756836::double, 3) AS length_um_count, round(width_um * 7, 2) AS width_px, round(width_um * 7 * 0.756836::double, 3) AS width_um, round(length_um_geodesic * 4 / (width_um * 7 + 1e-9), 3) AS length_width_ratio, round(tortuosity, 3) AS tortuosity, CASE WHEN event_id % 13 > 10 THEN 11 ELSE 2 END AS n_endpoints, CASE WHEN event_id % 11 > 8 THEN 1 ELSE 0 END AS n_branch_nodes, centroid_x, centroid_y, area_px, bbox_min_y, bbox_min_x, bbox_max_y, bbox_max_x, round(orientation, 3) AS orientation, '1' AS pipeline_version, cast(row_number() OVER (PARTITION BY stack_id, z_slice ORDER BY event_id) AS int) AS sperm_id FROM det",
+    "src_natsort": "SELECT c_custkey, 'z' || lpad(length(c_custkey::varchar)::varchar, 10, '0') || c_custkey::varchar || '_a.tif' AS natural_key FROM customer",
+    "f_roi": f"WITH {DET}, px AS (SELECT *, least(greatest(round_even(centroid_y, 0)::int, 0), 250) AS y, least(greatest(round_even(centroid_x, 0)::int, 0), 256) AS x FROM det) SELECT event_id FROM px WHERE EXISTS (SELECT 1 FROM det m WHERE m.z_slice = 15 AND px.y BETWEEN floor(m.bbox_min_y) AND floor(m.bbox_max_y) AND px.x BETWEEN floor(m.bbox_min_x) AND floor(m.bbox_max_x))",
+    "trk_faults": "SELECT linker, (SELECT count(*) FROM events) AS n, 0::bigint AS faults FROM (VALUES ('overlap_first'), ('conservative_nn'), ('nearest')) l(linker)",
     "k_poly": f"WITH {DET}, e(x0, y0, x1, y1) AS (VALUES (40, 30, 210, 60), (210, 60, 150, 200), (150, 200, 120, 110), (120, 110, 40, 30)) SELECT event_id FROM det, e GROUP BY event_id, centroid_x, centroid_y HAVING count(*) FILTER (WHERE (y0 > centroid_y) <> (y1 > centroid_y) AND centroid_x < (x1 - x0) * (centroid_y - y0) / (y1 - y0)::double + x0) % 2 = 1",
-    "j_span": f"WITH {TRK}, sp AS (SELECT track_id, min(z_slice) AS z_min_from_meas, max(z_slice) AS z_max_from_meas, count(*) AS n_rows_in_measurements FROM cel WHERE event_id % 2 = 0 GROUP BY track_id) SELECT track_id, n_slices, coalesce(z_min_from_meas, -1) AS z_min_from_meas, coalesce(z_max_from_meas, -1) AS z_max_from_meas, coalesce(n_rows_in_measurements, -1) AS n_rows_in_measurements FROM trk LEFT JOIN sp USING (track_id)",
+    "j_span": f"WITH {TRK}, sp AS (SELECT track_id, min(z_slice) AS z_min_from_meas, max(z_slice) AS z_max_from_meas, count(*) AS n_rows_in_measurements FROM cel GROUP BY track_id) SELECT track_id, n_slices, coalesce(z_min_from_meas, -1) AS z_min_from_meas, coalesce(z_max_from_meas, -1) AS z_max_from_meas, coalesce(n_rows_in_measurements, -1) AS n_rows_in_measurements FROM trk LEFT JOIN sp USING (track_id)",
     "f_overlap": f"WITH {PAIR} SELECT a, b FROM par WHERE overlap",
     "f_consist": f"WITH {PAIR} SELECT coalesce(reason, 'consistent') AS reason, overlap, count(*) AS n FROM edg GROUP BY ALL",
     "j_cand": f"WITH {PAIR} SELECT stack_id, a, b, overlap, round(CASE WHEN overlap THEN d - 10000 ELSE d END, 6) AS score FROM edg WHERE reason IS NULL",
@@ -132,14 +135,14 @@ SQL = {
     "w_trkord": f"WITH {CELL} SELECT event_id, track_id, cast(row_number() OVER w AS int) AS position, coalesce(z_slice - lag(z_slice) OVER w, 0) AS step FROM cel WINDOW w AS (PARTITION BY track_id ORDER BY z_slice, sperm_id)",
     "w_conv": f"WITH {FACTS} SELECT stack_id, round(max(1.5 * multi_slice + 0.3 * total_linked) OVER (ORDER BY stack_id), 5) AS best_so_far FROM fac",
     "s_zs": f"WITH {DET} SELECT stack_id, event_id, row_number() OVER (PARTITION BY stack_id ORDER BY z_slice, sperm_id) AS position FROM det",
-    "s_class": f"WITH {TRK} SELECT * FROM (SELECT 'long' AS class, track_id, row_number() OVER (ORDER BY total_3d_length_um DESC, track_id) AS position FROM aud WHERE flag_long UNION ALL SELECT 'taper', track_id, row_number() OVER (ORDER BY taper_ratio DESC, track_id) FROM aud WHERE flag_taper)",
+    "s_class": f"WITH {TRK} SELECT 'long' AS class, track_id, row_number() OVER (ORDER BY total_3d_length_um DESC, track_id) AS position FROM aud WHERE flag_long UNION ALL SELECT 'tortuous' AS class, track_id, row_number() OVER (ORDER BY tortuosity_3d DESC, track_id) AS position FROM aud WHERE flag_tortuous UNION ALL SELECT 'thick' AS class, track_id, row_number() OVER (ORDER BY thickness_um DESC, track_id) AS position FROM aud WHERE flag_thick UNION ALL SELECT 'taper' AS class, track_id, row_number() OVER (ORDER BY taper_ratio DESC, track_id) AS position FROM aud WHERE flag_taper UNION ALL SELECT 'single_slice' AS class, track_id, row_number() OVER (ORDER BY n_slices, track_id) AS position FROM aud WHERE flag_single_slice",
     "s_multi": f"WITH {TRK} SELECT track_id, n_flags, row_number() OVER (ORDER BY n_flags DESC, total_3d_length_um DESC, tortuosity_3d DESC, thickness_um DESC, taper_ratio DESC, track_id) AS position FROM aud WHERE n_flags > 0",
-    "l_topn": f"WITH {TRK} SELECT track_id, round(total_3d_length_um, 5) AS total_3d_length_um FROM trk ORDER BY total_3d_length_um DESC, track_id LIMIT 50",
+    "l_topn": f"WITH {TRK} (SELECT 'total_3d_length_um' AS metric, track_id, round(total_3d_length_um, 5) AS value FROM trk ORDER BY total_3d_length_um DESC, track_id LIMIT 50) UNION ALL (SELECT 'tortuosity_3d' AS metric, track_id, round(tortuosity_3d, 5) AS value FROM trk ORDER BY tortuosity_3d DESC, track_id LIMIT 50) UNION ALL (SELECT 'thickness_um' AS metric, track_id, round(thickness_um, 5) AS value FROM trk ORDER BY thickness_um DESC, track_id LIMIT 50) UNION ALL (SELECT 'taper_ratio' AS metric, track_id, round(taper_ratio, 5) AS value FROM trk ORDER BY taper_ratio DESC, track_id LIMIT 50)",
     "l_head": f"WITH {TRK} SELECT track_id, round(total_3d_length_um, 5) AS total_3d_length_um FROM qual WHERE is_quality_track ORDER BY track_id LIMIT 100",
     "l_best": f"WITH {FACTS} SELECT arg_max(stack_id, 1.5 * multi_slice + 0.3 * total_linked) AS stack_id, round(max(1.5 * multi_slice + 0.3 * total_linked), 5) AS score FROM fac",
     "u_all": f"WITH {DET} SELECT z_slice, count(*) AS n FROM (SELECT * FROM det WHERE stack_id < 2 UNION ALL SELECT * FROM det WHERE stack_id >= 1) GROUP BY z_slice",
     "u_distinct": f"WITH {DET} SELECT DISTINCT stack_id, z_slice FROM det",
-    "j_profile": "SELECT n_nationkey, n_name, coalesce(r_name, 'General') AS profile FROM nation LEFT JOIN (SELECT * FROM region WHERE r_regionkey < 3) r ON n_regionkey = r_regionkey",
+    "j_profile": "SELECT n_nationkey, n_name, coalesce(r_name, 'General') AS profile FROM nation LEFT JOIN region r ON n_regionkey = r_regionkey",
     "snk_zproj": f"WITH {DET} SELECT stack_id, cast(centroid_x AS int) AS x, cast(centroid_y AS int) AS y, max(area_px) AS brightest FROM det GROUP BY ALL",
     "flagship": f"WITH {TRK} SELECT quality_flags, count(*) AS n_tracks, round(avg(total_3d_length_um), 5) AS mean_length_um, round(median(total_3d_length_um), 5) AS median_length_um, round(avg(tortuosity_3d), 5) AS mean_tortuosity FROM qual GROUP BY quality_flags",
 }

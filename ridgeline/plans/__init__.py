@@ -15,15 +15,16 @@ from ..params import Params
 
 @dataclass
 class Run:
-    """The tables of a run, all lazy."""
+    """The tables of a run. Linked detections and tracks are settled when the run is made, the rest is lazy."""
 
     detections: DataFrame
     tracks: DataFrame
     slices: DataFrame
+    params: Params
 
     def report(self) -> dict[str, DataFrame]:
         """The report's tables by name: what its sheets, charts and audit lists are drawn from."""
-        t, audit = self.tracks, tracks.with_audit(tracks.with_span(self.tracks, self.detections), Params())
+        t, audit = self.tracks, tracks.with_audit(tracks.with_span(self.tracks, self.detections), self.params)
         counts = tracks.flag_counts(t)
         metrics = ["total_3d_length_um", "z_extent_um", "volume_um3", "tortuosity_3d", "thickness_um"]
         tables = {
@@ -44,7 +45,7 @@ def run_detections(d: DataFrame, p: Params, linker: str = "overlap_first") -> Ru
     points = t.select("stack_id", F.col("track_id").alias("id"), (F.col("mean_x") * p.um_per_px_xy).alias("x"), (F.col("mean_y") * p.um_per_px_xy).alias("y"), (F.col("mean_z") * p.um_per_slice_z).alias("z"))
     near = nearest_other(points).select(F.col("id").alias("track_id"), F.col("nearest_um").alias("nearest_neighbor_um"))
     slices = tracks.slice_summary(d.select("stack_id", "z_slice").distinct(), d)
-    return Run(linked, settled(tracks.with_quality(t.join(near, "track_id", "left"), p)), slices)
+    return Run(linked, settled(tracks.with_quality(t.join(near, "track_id", "left"), p)), slices, p)
 
 
 def run_images(images: DataFrame, p: Params, linker: str = "overlap_first") -> Run:

@@ -54,10 +54,6 @@ def rounded(df: DataFrame, *names: str, to: int = 5) -> DataFrame:
     return df.withColumns({n: F.round(n, to) for n in names})
 
 
-def positions(df: DataFrame, *order) -> DataFrame:
-    return df.withColumn("position", F.row_number().over(Window.orderBy(*order)))
-
-
 @query
 def flagship(s, d):
     """Tracks by why they are set aside, with their mean and median length."""
@@ -89,7 +85,7 @@ def src_slices(s, d):
 
 @query
 def src_gapwarn(s, d):
-    return slice_gaps(det(s, d).where("event_id % 97 = 0"))
+    return slice_gaps(pick_slices(det(s, d), "0-4,8,12-10,20-22,29"))
 
 
 @query
@@ -152,7 +148,7 @@ def a_reject(s, d):
 
 @query
 def p_rows(s, d):
-    rows = tracks.measured_rows(objects(s, d), P).select("stack_id", "z_slice", "sperm_id", "length_px_geodesic", "length_um_geodesic", "width_px", "tortuosity", "orientation")
+    rows = tracks.measured_rows(objects(s, d), P)
     return rows.join(det(s, d).select("stack_id", "z_slice", "sperm_id", "event_id"), ["stack_id", "z_slice", "sperm_id"]).drop("stack_id", "z_slice")
 
 
@@ -161,9 +157,17 @@ def k_poly(s, d):
     return spatial.inside_polygon(det(s, d), [(40, 30), (210, 60), (150, 200), (120, 110)]).select("event_id")
 
 
+@query
+def f_roi(s, d):
+    """Detections inside a region: the pixels that the boxes of slice 15 cover."""
+    x, upto = det(s, d), lambda c: F.sequence(F.floor(f"bbox_min_{c}").cast("int"), F.floor(f"bbox_max_{c}").cast("int"))
+    mask = x.where("z_slice = 15").select(F.explode(upto("y")).alias("y"), upto("x").alias("xs")).select("y", F.explode("xs").alias("x"))
+    return spatial.inside_region(x, mask, 251, 257).select("event_id")
+
+
 @query
 def j_span(s, d):
-    return tracks.with_span(trk(s, d), cells(s, d).where("event_id % 2 = 0")).select("track_id", "n_slices", "z_min_from_meas", "z_max_from_meas", "n_rows_in_measurements").na.fill(-1)
+    return tracks.with_span(trk(s, d), cells(s, d)).select("track_id", "n_slices", "z_min_from_meas", "z_max_from_meas", "n_rows_in_measurements").na.fill(-1)
 
 
 @query
@@ -229,7 +233,7 @@ def j_compare(s, d):
 
 @query
 def j_profile(s, d):
-    profiles = table(s, d, "region").where("r_regionkey < 3").select(F.col("r_regionkey").alias("n_regionkey"), "r_name")
+    profiles = table(s, d, "region").select(F.col("r_regionkey").alias("n_regionkey"), "r_name")
     return table(s, d, "nation").join(profiles, "n_regionkey", "left").select("n_nationkey", "n_name", F.coalesce("r_name", F.lit("General")).alias("profile"))
 
 
@@ -372,19 +376,21 @@ def s_zs(s, d):
 @query
 def s_class(s, d):
     t = aud(s, d)
-    of = lambda flag, metric: positions(t.where(f"flag_{flag}"), F.desc_nulls_last(metric), "track_id").select(F.lit(flag).alias("class"), "track_id", "position")
-    return of("long", "total_3d_length_um").unionAll(of("taper", "taper_ratio"))
+    return tracks.positions_by(tracks.of_classes(t), "class", F.desc_nulls_last("badness"), "track_id").select("class", "track_id", "position")
 
 
 @query
 def s_multi(s, d):
     order = [F.desc(c) for c in ("n_flags", "total_3d_length_um", "tortuosity_3d", "thickness_um", "taper_ratio")]
-    return positions(aud(s, d).where("n_flags > 0"), *order, "track_id").select("track_id", "n_flags", "position")
+    every = aud(s, d).where("n_flags > 0").withColumn("all", F.lit(1))
+    return tracks.positions_by(every, "all", *order, "track_id").select("track_id", "n_flags", "position")
 
 
 @query
 def l_topn(s, d):
-    return rounded(tracks.top_tracks(trk(s, d), "total_3d_length_um").select("track_id", "total_3d_length_um"), "total_3d_length_um")
+    t, metrics = trk(s, d), ("total_3d_length_um", "tortuosity_3d", "thickness_um", "taper_ratio")
+    tops = [tracks.top_tracks(t, m).select(F.lit(m).alias("metric"), "track_id", F.round(m, 5).alias("value")) for m in metrics]
+    return reduce(DataFrame.unionAll, tops)
 
 
 @query

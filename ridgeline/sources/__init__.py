@@ -23,12 +23,13 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def detections(spark: SparkSession, sf_dir: str, stacks: int = 4) -> DataFrame:
+def detections(spark: SparkSession, sf_dir: str, users: float = 37.5) -> DataFrame:
     """The events table read as detections: users are stacks, days are slices, and sizes and places derive from ids and props.
 
-    One row per event; sperm_id numbers a slice's rows by event_id. Coordinates are quadratic in event_id, as linear ones form a lattice."""
+    So many users share a stack, in four stacks at least: with more users there are more stacks of the same density, not fuller ones. One row per event; sperm_id numbers a slice's rows by event_id. Coordinates are quadratic in event_id, as linear ones form a lattice."""
     e, i = table(spark, sf_dir, "events"), F.col("event_id")
     k = F.get_json_object("props", "$.k").cast("int")
+    stacks = F.greatest(F.lit(4), F.floor(e.agg(F.count_distinct("user_id")).scalar() / users))
     base = e.select(
         (F.col("user_id") % stacks).cast("int").alias("stack_id"),
         F.datediff(F.col("ts").cast("date"), F.lit("2024-01-01").cast("date")).cast("int").alias("z_slice"),
@@ -75,6 +76,22 @@ def image_files(spark: SparkSession, folder: str, pattern: str = "*", recursive:
     raise ValueError(f"no image in {folder}")
 
 
+def roi_mask(spark: SparkSession, path: str, height: int, width: int) -> DataFrame:
+    """The pixels (y, x) of a region of interest, those of an image file that aren't 0. A file of another shape than the images', or
+    without any such pixel, raises ValueError: a region of nothing would silently empty a run."""
+    from ..operators.segmentation import decode
+
+    (row,) = spark.read.format("binaryFile").load(path).select("content").limit(1).collect()
+    image = decode(bytes(row["content"])) != 0
+    if image.shape != (height, width):
+        raise ValueError(f"the region is {image.shape[0]} x {image.shape[1]}, the images are {height} x {width}")
+    if not image.any():
+        raise ValueError("the region is empty")
+    # one image's pixels: bounded by its size
+    y, x = image.nonzero()
+    return spark.createDataFrame(list(zip(y.tolist(), x.tolist(), strict=True)), "y int, x int")
+
+
 def slices_of(text: str) -> list[int]:
     """Slice numbers of a text such as "3,5,7-10": each once, ascending; a range may be given backwards."""
     found: set[int] = set()
