@@ -10,7 +10,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import save
+from .common import forget, merged, save
 
 DATE = "2024-01-01T00:00:00Z"
 PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
@@ -27,6 +27,10 @@ def _record_id(page_id: Column) -> Column:
     return F.concat(F.lit("<urn:page:"), F.coalesce(page_id.cast("string"), F.lit("none")), F.lit(">"))
 
 
+#: A payload of many pages is joined to them in so many tasks, from so many pages on.
+SALTS, SALT_FROM = 16, 1000
+
+
 def _uri(url: Column) -> Column:
     """The URL with blanks and control characters percent-encoded, so that it cannot end a header line."""
     for code in [*range(33), 127]:
@@ -80,15 +84,20 @@ def write_archive(pages: DataFrame, least: int = 0) -> tuple[DataFrame, DataFram
 
 
 def read_records(payloads: DataFrame, headers: DataFrame) -> DataFrame:
-    """page_id, header and payload of every record: headers find their payload by digest; for a revisit it is what it revisits."""
-    return headers.join(payloads.select("sha256", "payload"), "sha256").select("page_id", "sha256", "header", "payload")
+    """page_id, header and payload of every record: headers find their payload by digest; for a revisit it is what it revisits.
+
+    A payload of more than SALT_FROM pages is copied to SALTS tasks, among which its pages are dealt."""
+    many = headers.groupBy("sha256").agg(F.when(F.count("*") > SALT_FROM, SALTS).otherwise(1).alias("salts"))
+    spread = merged(payloads.select("sha256", "payload"), many, "sha256").withColumn("salt", F.explode(F.sequence(F.lit(0), F.col("salts") - 1)))
+    dealt = merged(headers, many, "sha256").withColumn("salt", F.pmod(F.xxhash64("header"), F.col("salts").cast("bigint")).cast("int"))
+    return merged(dealt, spread.drop("salts"), ["sha256", "salt"]).select("page_id", "sha256", "header", "payload")
 
 
 def record_bytes(records: DataFrame) -> DataFrame:
-    """page_id and the exact bytes of each WARC record."""
+    """page_id, the exact bytes of each WARC record, and for a revisit, whose record has no payload, the payload that it revisits."""
     revisit = F.contains(F.col("header"), F.lit(f"{CRLF}WARC-Refers-To: ").cast("binary"))
     body = F.when(revisit, F.lit("").cast("binary")).otherwise(F.col("payload"))
-    return records.select("page_id", F.concat("header", body, F.lit(CRLF + CRLF).cast("binary")).alias("record"))
+    return records.select("page_id", "sha256", F.concat("header", body, F.lit(CRLF + CRLF).cast("binary")).alias("record"), F.when(revisit, F.col("payload")).alias("revisited"))
 
 
 def parse_header(header: bytes) -> dict[str, str]:
@@ -99,6 +108,15 @@ def parse_header(header: bytes) -> dict[str, str]:
     return {k.lower(): v for k, _, v in (x.partition(": ") for x in lines[1:])}
 
 
+def parse_record(record: bytes) -> tuple[dict[str, str], bytes]:
+    """The WARC header's fields of one record and its payload, cut out by the length that the header gives."""
+    fields, start = parse_header(record), record.index(b"\r\n\r\n") + 4
+    end = start + int(fields["content-length"])
+    if record[end:] != b"\r\n\r\n":
+        raise ValueError(f"record {fields['warc-record-id']} does not end where its header says")
+    return fields, record[record.index(b"\r\n\r\n", start) + 4 : end]
+
+
 def _page_of(uri: str | None) -> int | None:
     name = uri[len("<urn:page:") : -1] if uri else "none"
     return None if name == "none" else int(name)
@@ -107,12 +125,15 @@ def _page_of(uri: str | None) -> int | None:
 def _verify_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         rows = []
-        for key, header, payload in zip(*(batch.column(k).to_pylist() for k in (1, 2, 3)), strict=True):
-            fields = parse_header(header)
+        for key, record, revisited in zip(*(batch.column(k).to_pylist() for k in (1, 2, 3)), strict=True):
+            fields, payload = parse_record(record)
+            kind = fields["warc-type"]
+            if kind == "revisit":
+                if payload or revisited is None:
+                    raise ValueError(f"record {fields['warc-record-id']} is no revisit")
+                payload = revisited
             digest = base64.b32encode(hashlib.sha1(payload).digest()).decode()
-            kind, length = fields["warc-type"], int(fields["content-length"])
-            http = len(header) - header.index(b"\r\n\r\n") - 4
-            if hashlib.sha256(payload).digest() != key or fields["warc-payload-digest"] != f"sha1:{digest}" or length != http + (len(payload) if kind == "response" else 0):
+            if hashlib.sha256(payload).digest() != key or fields["warc-payload-digest"] != f"sha1:{digest}":
                 raise ValueError(f"record {fields['warc-record-id']} does not hold what its header says")
             rows.append((_page_of(fields["warc-record-id"]), len(payload), digest, kind, _page_of(fields.get("warc-refers-to")), fields.get("warc-target-uri")))
         names = ["page_id", "payload_bytes", "payload_digest", "record_type", "refers_to", "target_uri"]
@@ -121,13 +142,16 @@ def _verify_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatc
 
 
 def index_records(records: DataFrame) -> DataFrame:
-    """What rebuilt records say of themselves; each payload is checked against its key, its header's digest and its length."""
-    return records.select("page_id", "sha256", "header", "payload").mapInArrow(_verify_batches, "page_id bigint, payload_bytes bigint, payload_digest string, record_type string, refers_to bigint, target_uri string")
+    """What records, rebuilt byte for byte and parsed again, say of themselves; each payload is checked against its key, its header's digest and its length."""
+    return record_bytes(records).select("page_id", "sha256", "record", "revisited").mapInArrow(_verify_batches, "page_id bigint, payload_bytes bigint, payload_digest string, record_type string, refers_to bigint, target_uri string")
 
 
 def archive_pages(pages: DataFrame, least: int = 0) -> DataFrame:
     """pages archived in the shared folder, read back and verified; what the query returns."""
-    return index_records(read_records(*write_archive(pages, least))).drop("target_uri")
+    payloads, headers = write_archive(pages, least)
+    out = save(index_records(read_records(payloads, headers)).drop("target_uri"), "warc-index")
+    forget(payloads, headers)
+    return out
 
 
 SQL = r"""

@@ -15,8 +15,6 @@ from .common import WORD, save, text_or_empty
 WEIGHTS, SHARE, CAP, BLOCK_WORDS, SEED = (5.0, 2.0, 1.0), 1.5, 2.0, 64, 20240601
 #: A source of n documents is dealt to shards of about SHARD + sqrt(n) of them: tasks and shards both grow as the root of a hot source.
 SHARD = 256
-#: Up to so many sources their table (under 100 bytes a row) is broadcast; beyond, it is joined like any other.
-BROADCAST_SOURCES = 10_000
 
 
 def water_fill(sizes: Sequence[float], weights: Sequence[float], total: float, cap: float) -> np.ndarray:
@@ -140,8 +138,6 @@ def mix_sources(docs: DataFrame, weights: Sequence[float] = WEIGHTS, share: floa
     seats = sainte_lague(targets, blocks, np.ceil(cap * np.asarray(words, float) / block_words))
     rows = [(r["key"], r["words"], float(t), int(s), max(1, int(np.ceil(r["docs"] / (SHARD + r["docs"] ** 0.5))))) for r, t, s in zip(found, targets, seats, strict=True)]
     sources = spark.createDataFrame(rows, "key string, source_size bigint, target double, seats bigint, shards int")
-    if len(rows) <= BROADCAST_SOURCES:
-        sources = F.broadcast(sources)
     place = F.xxhash64(F.lit(seed), F.coalesce("doc_id", F.lit(-1)))
     dealt = sized.join(sources.select("key", "shards"), "key").select("doc_id", "key", "size", F.pmod(place, F.col("shards").cast("bigint")).alias("shard"), F.xxhash64(F.lit(seed + 1), place).alias("place"))
     totals = dealt.groupBy("key", "shard").agg(F.sum("size").alias("words")).join(sources.select("key", "seats"), "key")
