@@ -168,9 +168,10 @@ def repeated_lines(docs: DataFrame, shingle: int = SHINGLE, share: int = SHARE,
 
 def without_lines(text: Column, gone: Column) -> Column:
     """text without the lines whose numbers gone lists."""
-    parts = F.split(text, "\n", -1)
-    left = F.array_except(F.sequence(F.lit(0), F.size(parts) - 1), gone)
-    return F.array_join(F.transform(F.array_sort(left), lambda i: F.get(parts, i)), "\n")
+    left = lambda parts: F.array_sort(F.array_except(F.sequence(F.lit(0), F.size(parts) - 1), gone))
+    joined = lambda parts: F.array_join(F.transform(left(parts), lambda i: F.get(parts, i)), "\n")
+    # the parts are an outer lambda's variable, so that the text is split once and not for each line
+    return F.get(F.transform(F.array(F.split(text, "\n", -1)), joined), 0)
 
 
 def dedup_lines(docs: DataFrame, counts: bool = True, **how: int) -> DataFrame:
@@ -193,6 +194,6 @@ def dedup_lines(docs: DataFrame, counts: bool = True, **how: int) -> DataFrame:
     new = F.when(gone.isNull(), text).otherwise(without_lines(text, gone)).alias("text")
     columns = [new if c == "text" else marked[c] for c in docs.columns if not (counts and c in ("n_lines", "n_dropped"))]
     if counts:
-        n = F.when(F.length(text) > 0, F.size(F.split(text, "\n", -1))).otherwise(0)
+        n = F.when(F.length(text) > 0, F.length(text) - F.length(F.replace(text, F.lit("\n"), F.lit(""))) + 1).otherwise(0)
         columns += [n.cast("int").alias("n_lines"), F.coalesce(F.size(gone), F.lit(0)).cast("int").alias("n_dropped")]
     return joined.select(*columns)
