@@ -238,3 +238,31 @@ def test_nearest_other(spark):
     for s, i, *a in points:
         others = [math.dist(a, b) for t, j, *b in points if t == s and j != i]
         assert (got[i] is None) if not others else abs(got[i] - min(others)) < 1e-9
+
+
+def test_region_of_interest(spark, tmp_path):
+    def stored(name, image):
+        np.save(tmp_path / name, image)
+        return str(tmp_path / name)
+
+    region = np.zeros((6, 8), np.uint8)
+    region[2:4, 5:8] = 255
+    mask = sources.roi_mask(spark, stored("roi.npy", region), 6, 8)
+    assert {(r["y"], r["x"]) for r in mask.collect()} == {(y, x) for y in (2, 3) for x in (5, 6, 7)}
+    points = spark.createDataFrame([(1, 2.5, 6.5), (2, 1.4, 5.0), (3, 3.0, 99.0), (4, -7.0, 5.0), (5, None, 5.0)], "id int, centroid_y double, centroid_x double")
+    assert {r["id"] for r in spatial.inside_region(points, mask, 6, 8).collect()} == {1, 3}  # half to even, and clamped
+    for image in (region[:, :7], np.zeros((6, 8), np.uint8)):
+        with pytest.raises(ValueError):
+            sources.roi_mask(spark, stored("bad.npy", image), 6, 8)
+
+
+def test_positions_by_group(spark):
+    rng = random.Random(8)
+    rows = [(rng.choice("ab"), rng.choice([None, 1.0, 2.0, rng.random()]), i) for i in range(500)]
+    from pyspark.sql import functions as F
+
+    got = tracks.positions_by(spark.createDataFrame(rows, "g string, v double, i int").repartition(5), "g", F.desc_nulls_last("v"), "i").collect()
+    for g in "ab":
+        want = sorted((r for r in rows if r[0] == g), key=lambda r: (r[1] is None, -(r[1] or 0), r[2]))
+        assert [r["i"] for r in sorted((r for r in got if r["g"] == g), key=lambda r: r["position"])] == [r[2] for r in want]
+        assert sorted(r["position"] for r in got if r["g"] == g) == list(range(1, len(want) + 1))
