@@ -62,7 +62,7 @@ def _headers() -> Column:
 def write_archive(pages: DataFrame, least: int = 0) -> tuple[DataFrame, DataFrame]:
     """(payloads, headers) as tables in the shared folder.
 
-    payloads: sha256, payload, response_id, one row per distinct payload. Rows are grouped by digest and whole content, each task
+    payloads: sha256, payload, response_id and pages (how many hold it), one row per distinct payload. Rows are grouped by digest and whole content, each task
     combining its copies before the shuffle; should two contents share a digest, the job fails. headers: page_id, sha256, header,
     one row per page. Of pages with one payload of at least `least` bytes the largest page_id is the response and the others
     revisit it; smaller payloads make responses only.
@@ -73,7 +73,7 @@ def write_archive(pages: DataFrame, least: int = 0) -> tuple[DataFrame, DataFram
     """
     payload = F.coalesce(F.col("html"), F.lit("")).cast("binary")
     pages = pages.select("page_id", "url", payload.alias("payload")).withColumn("sha256", F.unhex(F.sha2("payload", 256)))
-    payloads = save(pages.groupBy("sha256", "payload").agg(F.max("page_id").alias("response_id")), "warc-payloads", **{"parquet.block.size": str(32 << 20)})
+    payloads = save(pages.groupBy("sha256", "payload").agg(F.max("page_id").alias("response_id"), F.count("*").alias("pages")), "warc-payloads", **{"parquet.block.size": str(32 << 20)})
     if payloads.groupBy("sha256").count().where("count > 1").limit(1).count():
         raise ValueError("two payloads share a SHA-256 digest")
     records = pages.select("page_id", "url", "sha256", base32_of_hex(F.sha1("payload")).alias("sha1"), F.octet_length("payload").cast("bigint").alias("bytes"))
@@ -87,10 +87,10 @@ def read_records(payloads: DataFrame, headers: DataFrame) -> DataFrame:
     """page_id, header and payload of every record: headers find their payload by digest; for a revisit it is what it revisits.
 
     A payload of more than SALT_FROM pages is copied to SALTS tasks, among which its pages are dealt."""
-    many = headers.groupBy("sha256").agg(F.when(F.count("*") > SALT_FROM, SALTS).otherwise(1).alias("salts"))
-    spread = merged(payloads.select("sha256", "payload"), many, "sha256").withColumn("salt", F.explode(F.sequence(F.lit(0), F.col("salts") - 1)))
-    dealt = merged(headers, many, "sha256").withColumn("salt", F.pmod(F.xxhash64("header"), F.col("salts").cast("bigint")).cast("int"))
-    return merged(dealt, spread.drop("salts"), ["sha256", "salt"]).select("page_id", "sha256", "header", "payload")
+    salts = F.when(F.col("pages") > SALT_FROM, SALTS).otherwise(1)
+    spread = payloads.select("sha256", "payload", F.explode(F.sequence(F.lit(0), salts - 1)).alias("salt"))
+    dealt = merged(headers, payloads.select("sha256", "pages"), "sha256").withColumn("salt", F.pmod(F.xxhash64("header"), salts.cast("bigint")).cast("int"))
+    return merged(dealt, spread, ["sha256", "salt"]).select("page_id", "sha256", "header", "payload")
 
 
 def record_bytes(records: DataFrame) -> DataFrame:
