@@ -122,11 +122,13 @@ def blocks(bounds: np.ndarray, most: int = 1 << 18):
 
 def mix64(x: np.ndarray) -> np.ndarray:
     """A 64-bit finaliser (xor-shift and multiply), so that all bits of a hash depend on all of its input."""
-    x = x ^ (x >> np.uint64(30))
-    x = x * np.uint64(0xBF58476D1CE4E5B9)
-    x = x ^ (x >> np.uint64(27))
-    x = x * np.uint64(0x94D049BB133111EB)
-    return x ^ (x >> np.uint64(31))
+    shifted = x >> np.uint64(30)
+    out = x ^ shifted
+    for factor, shift in ((0xBF58476D1CE4E5B9, 27), (0x94D049BB133111EB, 31)):
+        out *= np.uint64(factor)
+        np.right_shift(out, np.uint64(shift), out=shifted)
+        out ^= shifted
+    return out
 
 
 def run_hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray, longest: int = 256) -> np.ndarray:

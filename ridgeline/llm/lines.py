@@ -9,7 +9,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import HASHES, digest, forget, matched, merged, mix64, nodes_of, save, text_or_empty
+from .common import HASHES, blocks, digest, forget, matched, merged, mix64, nodes_of, save, text_or_empty
 from .similar import BANDS, band_columns, band_keys, buckets, distinct, min_max, true_components
 
 #: Lines are compared by their shingles of SHINGLE characters and linked at a Jaccard similarity of SHARE percent. Lines of fewer than
@@ -18,27 +18,38 @@ SHINGLE, SHARE, LEAST = 5, 80, 1
 #: 56 permutations give 112 values: 16 bands of 7. Unrelated lines of one language have a similarity of 0.01 on average and 0.13 at most, which
 #: 7 values in a row keep apart.
 PERMUTATIONS, ROWS, SEED = 56, 7, 23
-CHUNK = 1 << 18
+#: Characters of texts whose lines are named and banded together, and of lines whose signatures are made at once, in arrays that fit a core's cache.
+CHUNK, BLOCK = 1 << 18, 1 << 16
 
 
 def character_shingles(data: np.ndarray, starts: np.ndarray, ends: np.ndarray, size: int) -> tuple[np.ndarray, np.ndarray]:
     """Hashes of the shingles of runs of code points data[start:end], in order and with repeats, and each run's bounds.
 
     A run shorter than a shingle is one. Three code points at a time are packed into 63 bits and mixed in, so nothing is lost before the mix."""
-    counts = np.maximum(ends - starts - size + 1, 1)
+    data = data if len(data) else np.zeros(1, np.uint32)
+    lengths = ends - starts
+    counts = np.maximum(lengths - size + 1, 1)
     bounds = np.concatenate([[0], np.cumsum(counts)])
-    at = np.repeat(starts - bounds[:-1], counts) + np.arange(bounds[-1])
-    short = np.flatnonzero(ends - starts < size)
-    code = np.zeros(len(at), np.uint64)
-    padded = np.concatenate([data, np.zeros(size, data.dtype)]).astype(np.uint64)
+    # the runs alone, one after the other and each at least a shingle long, so that shingles are windows of one array
+    room = counts + size - 1
+    places = np.cumsum(room) - room
+    letters = np.zeros(int(room.sum()) + size, np.uint64)
+    within = np.repeat(starts - places, room) + np.arange(len(letters) - size)
+    letters[: len(letters) - size] = data[np.minimum(within, len(data) - 1, out=within)]
+    for i in np.flatnonzero(lengths < size).tolist():
+        letters[places[i] + lengths[i] : places[i] + size] = 0x1FFFFF
+    n = len(letters) - size
+    code = None
     for k in range(0, size, 3):
-        block = np.zeros(len(at), np.uint64)
-        for j in range(k, min(k + 3, size)):
-            letter = padded[at + j]
-            letter[bounds[short]] = np.where(starts[short] + j < ends[short], letter[bounds[short]], 0x1FFFFF)
-            block = block << np.uint64(21) | letter
-        code = mix64(code * np.uint64(0x9E3779B97F4A7C15) + block)
-    return code, bounds
+        block = letters[k : k + n].copy()
+        for j in range(k + 1, min(k + 3, size)):
+            block <<= np.uint64(21)
+            block |= letters[j : j + n]
+        if code is not None:
+            code *= np.uint64(0x9E3779B97F4A7C15)
+            block += code
+        code = mix64(block)
+    return code[np.repeat(places - bounds[:-1], counts) + np.arange(bounds[-1])], bounds
 
 
 class Lines:
@@ -100,8 +111,12 @@ def _line_batches(shingle: int, least: int, permutations: int, rows: int, seed:
                 fresh = np.array(fresh, np.int64)
                 keys = np.zeros((0, 2 * permutations // rows), np.int64)
                 if len(fresh):
-                    items, ends = character_shingles(lines.data, lines.start[fresh], lines.end[fresh], shingle)
-                    keys = band_keys(min_max(items, ends, permutations, seed), rows)
+                    starts, stops = lines.start[fresh], lines.end[fresh]
+                    parts = []
+                    for i, j in blocks(np.concatenate([[0], np.cumsum(stops - starts)]), BLOCK):
+                        items, ends = character_shingles(lines.data, starts[i:j], stops[i:j], shingle)
+                        parts.append(min_max(items, ends, permutations, seed))
+                    keys = band_keys(np.concatenate(parts), rows)
                 at = pa.array(lines.doc + a)
                 yield pa.RecordBatch.from_arrays(
                     [batch.column(0).take(at), batch.column(1).take(at), pa.array(lines.number.astype(np.int32)), pa.array(names, pa.binary()), pa.array(nodes), *band_columns(len(names), fresh, nodes[fresh], keys)],

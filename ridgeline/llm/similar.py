@@ -36,13 +36,14 @@ def min_max(items: np.ndarray, bounds: np.ndarray, permutations: int, seed: int)
     so a multiplication yields two values, and two sets agree in each with the probability of their Jaccard similarity."""
     low = (items >> np.uint64(32)).astype(np.uint32)
     starts = bounds[:-1]
-    out = np.empty((len(starts), 2 * permutations), np.uint32)
+    # a permutation's values stand together in memory: they are written, and later read, one permutation at a time
+    out = np.empty((2 * permutations, len(starts)), np.uint32)
     images = np.empty_like(low)
     for k, m in enumerate(multipliers(permutations, seed)):
         np.multiply(low, m, out=images)
-        out[:, k] = np.minimum.reduceat(images, starts)
-        out[:, permutations + k] = np.maximum.reduceat(images, starts)
-    return out
+        np.minimum.reduceat(images, starts, out=out[k])
+        np.maximum.reduceat(images, starts, out=out[permutations + k])
+    return out.T
 
 
 def band_keys(signatures: np.ndarray, rows: int) -> np.ndarray:
@@ -85,13 +86,15 @@ def band_columns(rows: int, fresh: np.ndarray, nodes: np.ndarray, keys: np.ndarr
 
 def distinct(items: np.ndarray, bounds: np.ndarray) -> list[np.ndarray]:
     """Each set's items, sorted and once."""
-    sets = []
+    items = items.copy()
     for a, b in zip(bounds[:-1].tolist(), bounds[1:].tolist(), strict=True):
-        own = np.sort(items[a:b])
-        new = np.ones(len(own), bool)
-        np.not_equal(own[1:], own[:-1], out=new[1:])
-        sets.append(own[new])
-    return sets
+        items[a:b].sort()
+    new = np.ones(len(items), bool)
+    np.not_equal(items[1:], items[:-1], out=new[1:])
+    new[bounds[:-1][bounds[:-1] < bounds[1:]]] = True
+    ends = np.concatenate([[0], np.cumsum(new)])[bounds].tolist()
+    once = items[new]
+    return [once[a:b] for a, b in zip(ends[:-1], ends[1:], strict=True)]
 
 
 def buckets(banded: DataFrame) -> DataFrame:
