@@ -115,8 +115,8 @@ def _line_batches(shingle: int, least: int, permutations: int, rows: int, seed:
                     parts = []
                     for i, j in blocks(np.concatenate([[0], np.cumsum(stops - starts)]), BLOCK):
                         items, ends = character_shingles(lines.data, starts[i:j], stops[i:j], shingle)
-                        parts.append(min_max(items, ends, permutations, seed))
-                    keys = band_keys(np.concatenate(parts), rows)
+                        parts.append(band_keys(min_max(items, ends, permutations, seed), rows))
+                    keys = np.concatenate(parts)
                 at = pa.array(lines.doc + a)
                 yield pa.RecordBatch.from_arrays(
                     [batch.column(0).take(at), batch.column(1).take(at), pa.array(lines.number.astype(np.int32)), pa.array(names, pa.binary()), pa.array(nodes), *band_columns(len(names), fresh, nodes[fresh], keys)],
@@ -183,7 +183,7 @@ def repeated_lines(docs: DataFrame, shingle: int = SHINGLE, share: int = SHARE,
 
 def without_lines(text: Column, gone: Column) -> Column:
     """text without the lines whose numbers gone lists."""
-    left = lambda parts: F.array_sort(F.array_except(F.sequence(F.lit(0), F.size(parts) - 1), gone))
+    left = lambda parts: F.sort_array(F.array_except(F.sequence(F.lit(0), F.size(parts) - 1), gone))
     joined = lambda parts: F.array_join(F.transform(left(parts), lambda i: F.get(parts, i)), "\n")
     # the parts are an outer lambda's variable, so that the text is split once and not for each line
     return F.get(F.transform(F.array(F.split(text, "\n", -1)), joined), 0)

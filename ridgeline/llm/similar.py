@@ -20,6 +20,8 @@ from .components import components
 
 #: A block holds about so many sets and items, whatever the family's size; a star's head meets so many members in one task.
 BLOCK_SETS, BLOCK_ITEMS, STAR = 768, 1 << 20, 1024
+#: Up to so many pairs of a block are compared one by one.
+FEW = 24
 
 #: Gives the sets (sorted distinct 64-bit items) of a column of bodies.
 ToSets = Callable[[pa.Array], list[np.ndarray]]
@@ -49,15 +51,16 @@ def min_max(items: np.ndarray, bounds: np.ndarray, permutations: int, seed: int)
 def band_keys(signatures: np.ndarray, rows: int) -> np.ndarray:
     """One 64-bit key per set and band of `rows` signature values; the band's number is part of the key.
 
-    Minima and maxima of one permutation stand far apart in a signature, so a band holds values of different permutations only."""
+    A band's values, each times an odd number of its own place, are added up and mixed: two sets meet by chance in some 2^-64 of cases, and what meets is
+    compared on full sets anyway. Minima and maxima of one permutation stand far apart, so a band holds values of different permutations only."""
     n, width = signatures.shape
-    keys = np.empty((n, width // rows), np.uint64)
-    for b in range(width // rows):
-        code = np.full(n, b + 1, np.uint64)
-        for k in range(rows):
-            code = mix64(code * np.uint64(0x9E3779B97F4A7C15) + signatures[:, b * rows + k])
-        keys[:, b] = code
-    return keys.view(np.int64)
+    bands = width // rows
+    factors = mix64(np.arange(1, bands * rows + 1, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15)) | np.uint64(1)
+    values = signatures.T[: bands * rows].astype(np.uint64)
+    values *= factors[:, None]
+    codes = values.reshape(bands, rows, n).sum(axis=1, dtype=np.uint64)
+    codes += mix64(np.arange(bands * rows + 1, bands * rows + bands + 1, dtype=np.uint64))[:, None]
+    return np.ascontiguousarray(mix64(codes).T).view(np.int64)
 
 
 BANDS = "bands array<bigint>, near_keys array<bigint>, near_heads array<bigint>"
@@ -100,13 +103,33 @@ def distinct(items: np.ndarray, bounds: np.ndarray) -> list[np.ndarray]:
 def buckets(banded: DataFrame) -> DataFrame:
     """(key, node, head): members of buckets of several nodes with one that stands for the bucket in their comparison. banded has node and BANDS.
 
-    Written once; a bucket's rows come sorted, so no bucket is held in memory."""
-    head = F.first("node").over(Window.partitionBy("key").orderBy("node"))
+    Keys are sorted alone, one long a row, which goes by radix; nothing orders a bucket's members, and Spark spills a bucket that is too large."""
+    head = F.min("node").over(Window.partitionBy("key"))
     far = banded.select("node", F.explode("bands").alias("key")).select("key", "node", head.alias("head"))
     near = banded.where(F.size("near_keys") > 0).select("node", F.explode(F.arrays_zip("near_keys", "near_heads")).alias("x")).select("x.near_keys", "node", "x.near_heads")
     return save(far.unionAll(near).where("node <> head"), "buckets", **HASHES)
 
 
+def _linked(a: np.ndarray, b: np.ndarray, share: int) -> bool:
+    # sizes alone rule many pairs out
+    if 100 * min(len(a), len(b)) < share * max(len(a), len(b)):
+        return False
+    both = np.concatenate([a, b])
+    both.sort(kind="stable")  # merges two sorted runs
+    common = int(np.count_nonzero(both[1:] == both[:-1]))
+    return 100 * common >= share * (len(a) + len(b) - common)
+
+
+def _few(sets: list[np.ndarray], left: int, share: int) -> np.ndarray:
+    """What _forest gives, pair by pair: for so few sets that its table of items costs more than it saves."""
+    roots = np.arange(len(sets))
+    for i in range(left or len(sets)):
+        for j in range(left or i + 1, len(sets)):
+            if roots[i] != roots[j] and _linked(sets[i], sets[j], share):
+                roots[roots == max(roots[i], roots[j])] = min(roots[i], roots[j])
+    return roots
+
+
 def _forest(sets: list[np.ndarray], left: int, share: int) -> np.ndarray:
     """The local root (an index) of each set. Sets before `left` are compared with the others; if left is 0, all with all."""
     m = len(sets)
@@ -148,13 +171,8 @@ def _star_batches(to_sets: ToSets, share: int):
                 if g == name:
                     group, head = g, items
                 elif g == group:
-                    # sizes alone rule many pairs out
-                    if 100 * min(len(items), len(head)) >= share * max(len(items), len(head)):
-                        both = np.concatenate([items, head])
-                        both.sort(kind="stable")  # merges two sorted runs
-                        common = int(np.count_nonzero(both[1:] == both[:-1]))
-                        if 100 * common >= share * (len(items) + len(head) - common):
-                            found.append((g, name))
+                    if _linked(items, head, share):
+                        found.append((g, name))
                 else:
                     raise ValueError("a group came without its head")
             if found:
@@ -176,7 +194,8 @@ def _block_batches(to_sets: ToSets, share: int):
             left = 0 if alone else sum(side == 0 for side, *_ in once)
             if len(once) < 2 or not (alone or 0 < left < len(once)):
                 return []
-            roots = _forest([x[2] for x in once], left, share)
+            pairs = left * (len(once) - left) or len(once) * (len(once) - 1) // 2
+            roots = (_few if pairs <= FEW else _forest)([x[2] for x in once], left, share)
             return [(once[int(roots[k])][1], once[k][1]) for k in np.flatnonzero(roots != np.arange(len(roots)))]
 
         for batch in batches:

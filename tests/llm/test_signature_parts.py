@@ -3,7 +3,7 @@
 import numpy as np
 
 from ridgeline.llm.lines import PERMUTATIONS, SEED, character_shingles
-from ridgeline.llm.similar import distinct, min_max
+from ridgeline.llm.similar import _few, _forest, band_keys, distinct, min_max
 
 NONE = np.zeros(0, np.int64)
 
@@ -38,3 +38,35 @@ def test_sets_and_signatures_in_parts():
     whole = min_max(*character_shingles(data, starts, starts + 60, 5), PERMUTATIONS, SEED)
     parts = [min_max(*character_shingles(data, starts[k : k + 7], starts[k : k + 7] + 60, 5), PERMUTATIONS, SEED) for k in range(0, len(starts), 7)]
     assert (np.concatenate(parts) == whole).all()
+
+
+def test_band_keys_in_plain_python():
+    rng = np.random.default_rng(3)
+    signatures = rng.integers(0, 1 << 32, (9, 112)).astype(np.uint32)
+    signatures[4, :7] = signatures[2, :7]
+    keys, mask = band_keys(signatures, 7), (1 << 64) - 1
+
+    def mix(x):
+        for factor, shift in ((1, 30), (0xBF58476D1CE4E5B9, 27), (0x94D049BB133111EB, 31)):
+            x = x * factor & mask
+            x ^= x >> shift
+        return x
+
+    factors = [mix(k * 0x9E3779B97F4A7C15 & mask) | 1 for k in range(1, 113)]
+    for row, found in zip(signatures.tolist(), keys.view(np.uint64).tolist(), strict=True):
+        sums = [sum(row[7 * b + k] * factors[7 * b + k] for k in range(7)) + mix(113 + b) for b in range(16)]
+        assert found == [mix(x & mask) for x in sums]
+    assert len(np.unique(keys)) == keys.size - 1 and keys[4, 0] == keys[2, 0]
+
+
+def test_few_sets_and_blocks_are_compared_alike():
+    rng = np.random.default_rng(4)
+    for _ in range(200):
+        base = rng.choice(1000, 40, replace=False)
+        sets = []
+        for _ in range(rng.integers(2, 7)):
+            some = base.copy()
+            some[: rng.integers(0, 8)] += 1000
+            sets.append(np.unique(some[: rng.integers(30, 41)]).astype(np.uint64))
+        for left in range(len(sets)):
+            assert _few(sets, left, 80).tolist() == _forest(sets, left, 80).tolist()
