@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from . import archive, chat, exact, lines, media, mixing, neardup, packing, quality, tokens
+from . import archive, audit, bestfit, chat, exact, lines, media, mixing, neardup, packing, quality, runs, tokens
 from .common import save, table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -54,9 +54,25 @@ def op10_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact.exact_groups(table(spark, sf_dir, "documents"))
 
 
+def op11_best_fit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return bestfit.pack_best_fit(table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"))
+
+
+def op12_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return runs.digests(runs.periodic_runs(runs.with_planted_repeats(table(spark, sf_dir, "documents"))))
+
+
+def op13_filter_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return audit.audit_filters(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 def queries() -> dict[str, Query]:
-    return {f.__name__: f for f in (op1_warc, op2_quality, op3_minmax_neardup, op4_fuzzy_lines, op5_chat_format, op6_token_ids, op7_pattern_packing, op8_iso_media, op9_mix_sources, op10_exact_dedup)}
+    ops = (
+        op1_warc, op2_quality, op3_minmax_neardup, op4_fuzzy_lines, op5_chat_format, op6_token_ids, op7_pattern_packing, op8_iso_media, op9_mix_sources, op10_exact_dedup,
+        op11_best_fit, op12_periodic_runs, op13_filter_audit,
+    )
+    return {f.__name__: f for f in ops}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op1_warc": archive.SQL, "op5_chat_format": chat.SQL, "op10_exact_dedup": exact.SQL}
+    return {"op1_warc": archive.SQL, "op5_chat_format": chat.SQL, "op10_exact_dedup": exact.SQL, "op13_filter_audit": audit.SQL}
