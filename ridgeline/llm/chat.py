@@ -11,14 +11,15 @@ backslash stands only in these two forms, so undoing them in the order `<\n>`, `
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .common import text_or_empty
 
 START, CONT, END = "<|im_start|>", "<|im_cont|>", "<|im_end|>\n"
-MESSAGES = "array<struct<role:string,texts:array<string>>>"
 SPANS = "array<struct<start:bigint,end:bigint>>"
+#: Code points of a formatted string that are looked through at once for a span, which keeps reading spans linear.
+STEP = 4096
 
 
 def _swap(c: Column, old: str, new: str) -> Column:
@@ -41,46 +42,31 @@ def _unescape_role(c: Column) -> Column:
     return unescape(_swap(c, "<\\n>", "\n"))
 
 
-def _merged(acc: Column, turn: Column) -> Column:
-    last = F.element_at(acc, -1)
-    same = (F.size(acc) > 0) & (F.try_element_at(acc, F.lit(-1))["role"] == turn["role"])
-    longer = F.struct(turn["role"].alias("role"), F.concat(last["texts"], F.array(turn["text"])).alias("texts"))
-    fresh = F.struct(turn["role"].alias("role"), F.array(turn["text"]).alias("texts"))
-    return F.when(same, F.concat(F.slice(acc, 1, F.size(acc) - 1), F.array(longer))).otherwise(F.concat(acc, F.array(fresh)))
-
-
-def _spans(acc: Column, message: Column) -> Column:
-    begin = acc["pos"] + len(START) + F.char_length(message["role"]) + 1
-
-    def step(a: Column, text: Column) -> Column:
-        end = a["pos"] + F.char_length(text)
-        span = F.struct(a["pos"].alias("start"), end.alias("end"))
-        return F.struct(
-            (end + len(CONT)).alias("pos"),
-            F.when(message["role"] == "assistant", F.concat(a["spans"], F.array(span))).otherwise(a["spans"]).alias("spans"),
-        )
-
-    inner = F.aggregate(message["texts"], F.struct(begin.alias("pos"), acc["spans"].alias("spans")), step)
-    return F.struct((inner["pos"] - len(CONT) + len(END)).alias("pos"), inner["spans"].alias("spans"))
-
-
 def format_conversations(rows: DataFrame) -> DataFrame:
     """conv_id, formatted (the string above) and loss_spans (code-point bounds of the assistant texts in it) per conversation.
 
     rows has conv_id, turn, role, text; other columns are not read. Turns go by turn, then role, then text, so ties and repeated
     rows have one result; null turns come first; null roles and texts count as empty; rows without a conv_id form one conversation. An
-    empty table gives no rows. A conversation is one output row, so its turns are collected; nothing else is.
+    empty table gives no rows. Runs of one role and the places of texts come from running sums over the sorted turns, so work grows with the
+    turns and not with their square. A conversation is one output row, so its turns, and very long texts, are held together once; nothing else is.
     """
-    turn = F.struct(F.col("turn"), _escape_role(text_or_empty("role")).alias("role"), escape(text_or_empty("text")).alias("text"))
-    turns = rows.groupBy("conv_id").agg(F.sort_array(F.collect_list(turn)).alias("turns"))
-    messages = turns.select("conv_id", F.aggregate("turns", F.array().cast(MESSAGES), _merged).alias("messages"))
-    shown = lambda m: F.concat(F.lit(START), m["role"], F.lit("\n"), F.array_join(m["texts"], CONT), F.lit(END))
-    zero = F.struct(F.lit(0).cast("bigint").alias("pos"), F.array().cast(SPANS).alias("spans"))
-    return messages.select(
-        "conv_id",
-        F.array_join(F.transform("messages", shown), "").alias("formatted"),
-        F.aggregate("messages", zero, _spans)["spans"].alias("loss_spans"),
-    )
+    turns = rows.select("conv_id", "turn", _escape_role(text_or_empty("role")).alias("role"), escape(text_or_empty("text")).alias("text"))
+    order = Window.partitionBy("conv_id").orderBy(F.col("turn").asc_nulls_first(), "role", "text")
+    upto = order.rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    before = F.lag("role").over(order)
+    turns = turns.withColumns({"number": F.row_number().over(order), "fresh": before.isNull() | (before != F.col("role"))})
+    head = F.when(F.col("number") > 1, len(END)).otherwise(0) + len(START) + F.char_length("role") + 1
+    taken = F.when(F.col("fresh"), head).otherwise(len(CONT)) + F.char_length("text")
+    placed = turns.withColumns({"message": F.count_if("fresh").over(upto), "end": F.sum(taken.cast("bigint")).over(upto)})
+    # all of this is dealt by conv_id, so neither grouping shuffles again
+    turn = F.struct("number", "text", "end")
+    messages = placed.groupBy("conv_id", "message", "role").agg(F.sort_array(F.collect_list(turn)).alias("turns"))
+    span = lambda t: F.struct((t["end"] - F.char_length(t["text"])).alias("start"), t["end"].alias("end"))
+    spans = F.when(F.col("role") == "assistant", F.transform("turns", span)).otherwise(F.array().cast(SPANS))
+    shown = F.concat(F.lit(START), "role", F.lit("\n"), F.array_join("turns.text", CONT), F.lit(END))
+    message = F.struct("message", shown.alias("shown"), spans.alias("spans"))
+    whole = messages.groupBy("conv_id").agg(F.sort_array(F.collect_list(message)).alias("messages"))
+    return whole.select("conv_id", F.array_join("messages.shown", "").alias("formatted"), F.flatten("messages.spans").alias("loss_spans"))
 
 
 def parse_conversations(formatted: DataFrame) -> DataFrame:
@@ -94,8 +80,17 @@ def parse_conversations(formatted: DataFrame) -> DataFrame:
         texts = cut(F.substr(b, F.char_length(role) + 2), CONT)
         return F.transform(texts, lambda t: F.struct(_unescape_role(role).alias("role"), unescape(t).alias("text")))
 
-    under = F.transform("loss_spans", lambda s: unescape(F.substr(F.col("formatted"), (s["start"] + 1).cast("int"), (s["end"] - s["start"]).cast("int"))))
-    return formatted.select("*", F.flatten(F.transform(body, turns)).alias("turns"), F.array_join(under, "").alias("loss_text"))
+    def under(steps: Column) -> Column:
+        def text(s: Column) -> Column:
+            first = F.floor(s["start"] / STEP)
+            near = F.array_join(F.slice(steps, (first + 1).cast("int"), (F.floor((s["end"] - 1) / STEP) - first + 1).cast("int")), "")
+            return unescape(F.substr(near, (s["start"] - first * STEP + 1).cast("int"), (s["end"] - s["start"]).cast("int")))
+
+        return F.array_join(F.transform(F.filter("loss_spans", lambda s: s["end"] > s["start"]), text), "")
+
+    # the steps are an outer lambda's variable, so that the string is cut once and not for each span
+    steps = F.array(F.regexp_extract_all("formatted", F.lit(f"(?s)(.{{1,{STEP}}})"), F.lit(1)))
+    return formatted.select("*", F.flatten(F.transform(body, turns)).alias("turns"), F.get(F.transform(steps, under), 0).alias("loss_text"))
 
 
 def digests(formatted: DataFrame) -> DataFrame:

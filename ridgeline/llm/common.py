@@ -28,6 +28,11 @@ def text_or_empty(name: str) -> Column:
     return F.coalesce(F.col(name), F.lit(""))
 
 
+def text_mark(name: str = "text") -> Column:
+    """128 bits of the text's SHA-256 (null: of the empty text): which of the rows under one id this is."""
+    return F.substring(F.unhex(F.sha2(text_or_empty(name), 256)), 1, 16)
+
+
 def shared_dir(spark: SparkSession) -> str:
     """The folder that driver and executors share: spark.checkpoint.dir, or in local mode, where it is unset, one of our own."""
     base = spark.conf.get("spark.checkpoint.dir", None)
@@ -74,14 +79,14 @@ def new_path(spark: SparkSession, name: str) -> str:
     return f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
 
 
-def save(df: DataFrame, name: str = "", path: str = "", **options: str) -> DataFrame:
+def save(df: DataFrame, name: str = "", path: str = "", batch_rows: int = BATCH_ROWS, **options: str) -> DataFrame:
     """Write df to the shared folder (or to path) and read it back: cuts lineage in a way that outlives any executor.
 
-    While it is written, Arrow batches hold BATCH_ROWS rows at most, which keeps both ends of the pipe to Python small where texts are
+    While it is written, Arrow batches hold batch_rows rows at most, which keeps both ends of the pipe to Python small where texts are
     long, and its shuffle files go when the write is done, as nothing can ask for them again."""
     spark = df.sparkSession
     path = path or new_path(spark, name)
-    with settings(spark, spark__sql__execution__arrow__maxRecordsPerBatch=str(BATCH_ROWS), spark__sql__classic__shuffleDependency__fileCleanup__enabled="true"):
+    with settings(spark, spark__sql__execution__arrow__maxRecordsPerBatch=str(batch_rows), spark__sql__classic__shuffleDependency__fileCleanup__enabled="true"):
         df.write.options(**({"compression": "zstd"} | options)).parquet(path)
     out = spark.read.schema(df.schema).parquet(path)
     out._ridgeline_path = path
@@ -134,7 +139,7 @@ def mix64(x: np.ndarray) -> np.ndarray:
 def run_hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray, longest: int = 256) -> np.ndarray:
     """A 64-bit hash of each run of bytes data[start:end]: eight bytes at a time are mixed in, and runs over `longest` bytes are digested.
 
-    Every step is a bijection of its eight bytes followed by a full mix, so no structure of the text makes two runs collide."""
+    For features that may share a bucket: whoever knows the constants can build two runs of one hash, so nothing is told apart by it."""
     lengths = ends - starts
     padded = np.concatenate([data, np.zeros(8, np.uint8)])
     eight = np.ndarray((len(data) + 1,), "<u8", padded, strides=(1,))
@@ -151,6 +156,40 @@ def run_hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray, longest:
     return out
 
 
+class WordHashes:
+    """64-bit blake2b hashes of words, one for each key; some KEPT words of up to LONGEST bytes are remembered.
+
+    Under a key that is drawn when a query starts, no text can have been made so that two of its words, or shingles of them, collide."""
+
+    KEPT, LONGEST = 200_000, 48
+
+    def __init__(self, *keys: bytes):
+        self.keys, self.known, self.count, self.values = keys, {}, 0, np.zeros((len(keys), 1 << 12), np.uint64)
+
+    def of(self, words: list[bytes]) -> np.ndarray:
+        """A row of hashes for each key."""
+        import pyarrow as pa
+
+        coded = pa.array(words, pa.large_binary()).dictionary_encode()
+        different = coded.dictionary.to_pylist()
+        if self.count > self.KEPT:
+            self.known, self.count = {}, 0
+        number_of, first = self.known.get, self.count
+        numbers = np.array([number_of(w, -1) for w in different], np.int64)
+        new = np.flatnonzero(numbers < 0)
+        if len(new):
+            while first + len(new) > self.values.shape[1]:
+                self.values = np.concatenate([self.values, np.zeros_like(self.values)], axis=1)
+            numbers[new] = np.arange(first, first + len(new))
+            fresh = [different[i] for i in new.tolist()]
+            self.known.update((w, k) for k, w in enumerate(fresh, first) if len(w) <= self.LONGEST)
+            self.count += len(new)
+            for k, key in enumerate(self.keys):
+                raw = b"".join(hashlib.blake2b(w, digest_size=8, key=key).digest() for w in fresh)
+                self.values[k, first : first + len(new)] = np.frombuffer(raw, "<u8")
+        return self.values[:, numbers[np.asarray(coded.indices)]]
+
+
 def digest(data: bytes) -> bytes:
     """A 128-bit name of a content: what is merged without another look must share it."""
     return hashlib.blake2b(data, digest_size=16).digest()

@@ -30,7 +30,9 @@ def components(pairs: DataFrame) -> DataFrame:
         up = save(both.groupBy("a").agg(F.min("b").alias("b")).select(F.col("a").alias("node"), F.least("a", "b").alias("root"), F.lit(True).alias("moved")), "cc-up")
         while True:
             above = up.select(F.col("node").alias("root"), F.col("root").alias("next"))
-            jumped = save(merged(up, above, "root").select("node", F.col("next").alias("root"), (F.col("next") != F.col("root")).alias("moved")), "cc-up")
+            # two steps up a write, so that paths shrink to a third and few tables are written
+            once = merged(up.select("node", "root"), above, "root").select("node", F.col("next").alias("root"))
+            jumped = save(merged(once, above, "root").select("node", F.col("next").alias("root"), (F.col("next") != F.col("root")).alias("moved")), "cc-up")
             forget(up)
             up = jumped
             if up.where("moved").isEmpty():

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import os
 from collections.abc import Iterator
 
 import numpy as np
@@ -9,8 +10,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import HASHES, blocks, digest, forget, matched, merged, mix64, nodes_of, save, text_or_empty
-from .similar import BANDS, band_columns, band_keys, buckets, distinct, min_max, true_components
+from .common import HASHES, blocks, digest, forget, matched, merged, mix64, nodes_of, save, text_mark, text_or_empty
+from .similar import BANDS, KnownHeads, band_columns, band_keys, buckets, distinct, min_max, true_components
 
 #: Lines are compared by their shingles of SHINGLE characters and linked at a Jaccard similarity of SHARE percent. Lines of fewer than
 #: LEAST characters would be left out; at 1 every line that is not blank takes part, headings and closing words too.
@@ -22,10 +23,11 @@ PERMUTATIONS, ROWS, SEED = 56, 7, 23
 CHUNK, BLOCK = 1 << 18, 1 << 16
 
 
-def character_shingles(data: np.ndarray, starts: np.ndarray, ends: np.ndarray, size: int) -> tuple[np.ndarray, np.ndarray]:
+def character_shingles(data: np.ndarray, starts: np.ndarray, ends: np.ndarray, size: int, secret: tuple[int, ...] = ()) -> tuple[np.ndarray, np.ndarray]:
     """Hashes of the shingles of runs of code points data[start:end], in order and with repeats, and each run's bounds.
 
-    A run shorter than a shingle is one. Three code points at a time are packed into 63 bits and mixed in, so nothing is lost before the mix."""
+    A run shorter than a shingle is one. Three code points at a time are packed into 63 bits and mixed in, so nothing is lost before the mix. Each
+    such block is combined with a number of `secret` first: without knowing them nobody can choose shingles that collide, as can be done for the fixed mix."""
     data = data if len(data) else np.zeros(1, np.uint32)
     lengths = ends - starts
     counts = np.maximum(lengths - size + 1, 1)
@@ -45,6 +47,8 @@ def character_shingles(data: np.ndarray, starts: np.ndarray, ends: np.ndarray, s
         for j in range(k + 1, min(k + 3, size)):
             block <<= np.uint64(21)
             block |= letters[j : j + n]
+        if secret:
+            block ^= np.uint64(secret[k // 3])
         if code is not None:
             code *= np.uint64(0x9E3779B97F4A7C15)
             block += code
@@ -97,6 +101,7 @@ def _chunks(texts: list[str]):
 def _line_batches(shingle: int, least: int, permutations: int, rows: int, seed: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen: set[bytes] = set()
+        known = KnownHeads()
         for batch in batches:
             texts = batch.column(2).to_pylist()
             for a, b in _chunks(texts):
@@ -119,7 +124,7 @@ def _line_batches(shingle: int, least: int, permutations: int, rows: int, seed:
                     keys = np.concatenate(parts)
                 at = pa.array(lines.doc + a)
                 yield pa.RecordBatch.from_arrays(
-                    [batch.column(0).take(at), batch.column(1).take(at), pa.array(lines.number.astype(np.int32)), pa.array(names, pa.binary()), pa.array(nodes), *band_columns(len(names), fresh, nodes[fresh], keys)],
+                    [batch.column(0).take(at), batch.column(1).take(at), pa.array(lines.number.astype(np.int32)), pa.array(names, pa.binary()), pa.array(nodes), *band_columns(len(names), fresh, nodes[fresh], keys, known)],
                     ["doc_id", "mark", "line", "name", "node", "bands", "near_keys", "near_heads"],
                 )
 
@@ -147,12 +152,12 @@ def _wanted_batches(least: int):
     return run
 
 
-def _to_sets(shingle: int):
+def _to_sets(shingle: int, secret: tuple[int, ...]):
     def run(bodies: pa.Array) -> list[np.ndarray]:
         texts = bodies.to_pylist()
         ends = np.cumsum([len(t) for t in texts], dtype=np.int64)
         data = np.frombuffer("".join(texts).encode("utf-32-le"), "<u4")
-        return distinct(*character_shingles(data, np.concatenate([[0], ends[:-1]]).astype(np.int64), ends, shingle))
+        return distinct(*character_shingles(data, np.concatenate([[0], ends[:-1]]).astype(np.int64), ends, shingle, secret))
 
     return run
 
@@ -162,8 +167,8 @@ def repeated_lines(docs: DataFrame, shingle: int = SHINGLE, share: int = SHARE,
 
     Equal lines (stripped, A-Z in lower case) have one name, a 128-bit digest, and cost one signature a task. decisions has name and
     the doc_id, mark and line of the component's first occurrence in order of these three, nulls first. Both are tables in the shared folder."""
-    rows_in = docs.select("doc_id", F.xxhash64(text_or_empty("text")).alias("mark"), text_or_empty("text").alias("text"))
-    schema = f"doc_id bigint, mark bigint, line int, name binary, node bigint, {BANDS}"
+    rows_in = docs.select("doc_id", text_mark().alias("mark"), text_or_empty("text").alias("text"))
+    schema = f"doc_id bigint, mark binary, line int, name binary, node bigint, {BANDS}"
     lines = save(rows_in.mapInArrow(_line_batches(shingle, least, permutations, rows, seed), schema), "lines", **HASHES)
     found = buckets(lines)
     classes = lines.groupBy("name", "node").agg(F.count("*").alias("times"), F.min(F.struct("doc_id", "mark", "line")).alias("first"))
@@ -172,7 +177,9 @@ def repeated_lines(docs: DataFrame, shingle: int = SHINGLE, share: int = SHARE,
     asked = members.where("met").groupBy("first.doc_id", "first.mark").agg(F.collect_list(F.struct("first.line", "name")).alias("wanted"))
     texts = matched(rows_in, asked.select(F.col("doc_id").alias("w_id"), F.col("mark").alias("w_mark"), "wanted"), rows_in["doc_id"].eqNullSafe(F.col("w_id")) & (F.col("mark") == F.col("w_mark")))
     content = save(texts.select("text", "wanted").mapInArrow(_wanted_batches(least), "name binary, n bigint, body string"), "line-texts")
-    roots = true_components(found, members.where("met").select("node", "name"), content, _to_sets(shingle), share)
+    # drawn for each call: texts cannot have been made to collide under it
+    secret = tuple(int.from_bytes(os.urandom(8), "little") for _ in range(-(-shingle // 3)))
+    roots = true_components(found, members.where("met").select("node", "name"), content, _to_sets(shingle, secret), share)
     again = merged(members, roots.select(F.col("node").alias("name"), "root"), "name", "left").where("times > 1 OR root IS NOT NULL")
     again = save(again.select("name", F.coalesce("root", "name").alias("root"), "first"), "line-repeats")
     firsts = again.groupBy("root").agg(F.min("first").alias("kept"))
@@ -203,7 +210,7 @@ def dedup_lines(docs: DataFrame, counts: bool = True, **how: int) -> DataFrame:
     gone = gone.where(~(F.col("doc_id").eqNullSafe(F.col("k_doc")) & (F.col("mark") == F.col("k_mark")) & (F.col("line") == F.col("k_line"))))
     lists = save(gone.groupBy(F.col("doc_id").alias("__line_doc"), F.col("mark").alias("__line_of")).agg(F.collect_set("line").alias("__line_gone")), "line-gone")
     forget(lines, decisions)
-    marked = docs.withColumn("__line_mark", F.xxhash64(text_or_empty("text")))
+    marked = docs.withColumn("__line_mark", text_mark())
     joined = matched(marked, lists, marked["doc_id"].eqNullSafe(lists["__line_doc"]) & (marked["__line_mark"] == lists["__line_of"]), "left")
     text, gone = marked["text"], F.col("__line_gone")
     new = F.when(gone.isNull(), text).otherwise(without_lines(text, gone)).alias("text")

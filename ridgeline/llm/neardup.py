@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import os
 from collections.abc import Iterator
 
 import numpy as np
@@ -9,55 +10,50 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import HASHES, blocks, digest, forget, matched, merged, mix64, nodes_of, run_hashes, save, text_bytes, text_or_empty
-from .similar import BANDS, band_columns, band_keys, buckets, distinct, min_max, true_components
+from .common import HASHES, WordHashes, blocks, digest, forget, matched, merged, mix64, nodes_of, save, text_bytes, text_mark, text_or_empty
+from .encoding import gathered
+from .similar import BANDS, KnownHeads, band_columns, band_keys, buckets, distinct, min_max, true_components
 
 #: 96 permutations give 192 values: 32 bands of 6, which few pairs of similarity 0.8 or more escape, and few unrelated ones meet.
 PERMUTATIONS, ROWS, SEED = 96, 6, 11
 
 
-def shingles(data: np.ndarray, bounds: np.ndarray, words: int) -> tuple[np.ndarray, np.ndarray]:
-    """Hashes of the shingles of each text, in order and with repeats, and the bounds of each text's.
+def shingles(data: np.ndarray, bounds: np.ndarray, words: int, hashes: WordHashes) -> tuple[np.ndarray, np.ndarray]:
+    """Hashes of the shingles of each text, in order and with repeats, a row for each key of hashes, and the bounds of each text's.
 
     A-Z are lower-cased; words stand between ASCII white space. A text of fewer words than a shingle has its whole
     sequence as one; a text without words has none."""
-    data = data[bounds[0] : bounds[-1]]
-    bounds = bounds - bounds[0]
-    texts = len(bounds) - 1
-    data = np.where((data >= 65) & (data <= 90), data + np.uint8(32), data)
-    word = ~((data == 32) | ((data >= 9) & (data <= 13)))
-    edge = np.zeros(len(data) + 1, bool)
-    edge[bounds] = True
-    first, last = word.copy(), word.copy()
-    if len(data):
-        first[1:] &= ~word[:-1] | edge[1:-1]
-        last[:-1] &= ~word[1:] | edge[1:-1]
-    begins, ends = np.flatnonzero(first), np.flatnonzero(last) + 1
-    hashes = run_hashes(data, begins, ends) if len(begins) else np.zeros(0, np.uint64)
-    first_word = np.searchsorted(begins, bounds)  # of each text, and the end
-    counts = np.diff(first_word)
+    # bytes.lower() and bytes.split() know ASCII letters and the six ASCII white-space characters only
+    found = [data[a:b].tobytes().lower().split() for a, b in zip(bounds[:-1].tolist(), bounds[1:].tolist(), strict=True)]
+    counts = np.array([len(w) for w in found], np.int64)
+    values = hashes.of([w for text in found for w in text])
     sizes = np.where(counts >= words, counts - words + 1, np.minimum(counts, 1))
     out_bounds = np.concatenate([[0], np.cumsum(sizes)])
-    at = np.repeat(first_word[:-1] - out_bounds[:-1], sizes) + np.arange(out_bounds[-1])
+    at = np.repeat(np.cumsum(counts) - counts - out_bounds[:-1], sizes) + np.arange(out_bounds[-1])
     span = np.repeat(np.minimum(counts, words), sizes)
-    code = np.zeros(len(at), np.uint64)
+    codes = np.zeros((len(values), len(at)), np.uint64)
     for k in range(words):
-        more = span > k
-        code[more] = mix64(code[more] * np.uint64(0x9E3779B97F4A7C15) + hashes[at[more] + k] + np.uint64(k + 1))
-    return code, out_bounds
+        more = np.flatnonzero(span > k)
+        for code, value in zip(codes, values, strict=True):
+            code[more] = mix64(code[more] * np.uint64(0x9E3779B97F4A7C15) + value[at[more] + k] + np.uint64(k + 1))
+    return codes, out_bounds
 
 
 def _raw(sets: list[np.ndarray]) -> list[bytes]:
     return [x.astype("<u8").tobytes() for x in sets]
 
 
-def _signature_batches(words: int, permutations: int, rows: int, seed: int):
+def _signature_batches(words: int, permutations: int, rows: int, seed: int, secret: bytes):
+    """Signatures are of hashes that are the same in every run, so that candidates are; names are of hashes under the secret."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen: set[bytes] = set()
+        known, hashes = KnownHeads(), WordHashes(b"", secret)
         for batch in batches:
             data, bounds = text_bytes(batch.column(2))
             for a, b in blocks(bounds):
-                sets = distinct(*shingles(data, bounds[a : b + 1], words))
+                (plain, secrets), ends = shingles(data, bounds[a : b + 1], words, hashes)
+                sets = distinct(secrets, ends)
                 sizes = np.array([len(x) for x in sets], np.int64)
                 full = np.flatnonzero(sizes)
                 names, fresh = [digest(x) for x in _raw(sets)], []
@@ -69,16 +65,16 @@ def _signature_batches(words: int, permutations: int, rows: int, seed: int):
                 nodes, fresh = nodes_of(names), np.array(fresh, np.int64)
                 keys = np.zeros((0, 2 * permutations // rows), np.int64)
                 if len(fresh):
-                    ends = np.concatenate([[0], np.cumsum(sizes[fresh])])
-                    keys = band_keys(min_max(np.concatenate([sets[i] for i in fresh.tolist()]), ends, permutations, seed), rows)
-                columns = [pa.array(sizes), pa.array(names, pa.binary()), pa.array(nodes), *band_columns(b - a, fresh, nodes[fresh], keys)]
+                    keys = band_keys(min_max(*gathered(plain, ends, fresh), permutations, seed), rows)
+                columns = [pa.array(sizes), pa.array(names, pa.binary()), pa.array(nodes), *band_columns(b - a, fresh, nodes[fresh], keys, known)]
                 yield pa.RecordBatch.from_arrays([batch.column(0).slice(a, b - a), batch.column(1).slice(a, b - a), *columns], ["doc_id", "mark", "n", "name", "node", "bands", "near_keys", "near_heads"])
 
     return run
 
 
-def _set_batches(words: int):
+def _set_batches(words: int, secret: bytes):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        hashes = WordHashes(secret)
         last = None  # rows that repeat an id and a text come one after the other
         for batch in batches:
             names = batch.column(0).to_pylist()
@@ -86,7 +82,8 @@ def _set_batches(words: int):
             last = names[-1] if names else last
             data, bounds = text_bytes(batch.column(1))
             for a, b in blocks(bounds):
-                sets = distinct(*shingles(data, bounds[a : b + 1], words))
+                (codes,), ends = shingles(data, bounds[a : b + 1], words, hashes)
+                sets = distinct(codes, ends)
                 out = pa.RecordBatch.from_arrays([batch.column(0).slice(a, b - a), pa.array([len(x) for x in sets], pa.int64()), pa.array(_raw(sets), pa.binary())], ["name", "n", "body"])
                 yield out.filter(pa.array(new[a:b]))
 
@@ -99,16 +96,17 @@ def _to_sets(bodies: pa.Array) -> list[np.ndarray]:
 
 def _classes(docs: DataFrame, words: int, share: int, permutations: int, rows: int, seed: int) -> tuple[DataFrame, DataFrame]:
     """(marked, named): doc_id, mark, n and name of every row of docs, and the root of every name's component with its least doc_id."""
-    rows_in = docs.select("doc_id", F.xxhash64(text_or_empty("text")).alias("mark"), text_or_empty("text").alias("text"))
-    schema = f"doc_id bigint, mark bigint, n bigint, name binary, node bigint, {BANDS}"
-    marked = save(rows_in.mapInArrow(_signature_batches(words, permutations, rows, seed), schema), "neardup-marked", **HASHES)
+    rows_in = docs.select("doc_id", text_mark().alias("mark"), text_or_empty("text").alias("text"))
+    schema = f"doc_id bigint, mark binary, n bigint, name binary, node bigint, {BANDS}"
+    secret = os.urandom(16)
+    marked = save(rows_in.mapInArrow(_signature_batches(words, permutations, rows, seed, secret), schema), "neardup-marked", **HASHES)
     found = buckets(marked)
     classes = marked.where("n > 0").groupBy("name", "node").agg(F.min("doc_id").alias("least"), F.min(F.struct("doc_id", "mark")).alias("rep"))
     classes = save(classes, "neardup-classes")
     nodes = found.select("node").unionAll(found.select("head")).distinct()
     members = save(merged(classes, nodes, "node").select("node", "name", F.col("rep.doc_id").alias("w_id"), F.col("rep.mark").alias("w_mark")), "neardup-members")
     texts = matched(rows_in, members, rows_in["doc_id"].eqNullSafe(members["w_id"]) & (rows_in["mark"] == members["w_mark"])).select("name", "text")
-    content = save(texts.mapInArrow(_set_batches(words), "name binary, n bigint, body binary"), "neardup-sets")
+    content = save(texts.mapInArrow(_set_batches(words, secret), "name binary, n bigint, body binary"), "neardup-sets")
     roots = true_components(found, members.select("node", "name"), content, _to_sets, share)
     named = merged(classes, roots.select(F.col("node").alias("name"), "root"), "name", "left").select("name", F.coalesce("root", "name").alias("root"), "least")
     named = save(named, "neardup-named")
@@ -117,11 +115,12 @@ def _classes(docs: DataFrame, words: int, share: int, permutations: int, rows: i
 
 
 def near_duplicates(docs: DataFrame, words: int = 3, share: int = 85, permutations: int = PERMUTATIONS, rows: int = ROWS, seed: int = SEED) -> DataFrame:
-    """doc_id, n_shingles, component_id, kept, and mark (a hash of the text) for every row of docs.
+    """doc_id, n_shingles, component_id, kept, and mark (128 bits of the text's digest) for every row of docs.
 
     Documents whose sets of word shingles have a Jaccard similarity of at least share / 100 are linked; component_id is the least
     doc_id of a component. Equal sets are one node from the start, so copies cost one signature a task; signatures find
-    candidate clusters; full sets, made again from the texts of one document per node, decide.
+    candidate clusters; full sets, made again from the texts of one document per node, decide. Sets are named and compared by 64-bit keyed hashes
+    of their shingles, whose key is drawn for each call, so that no texts can be made to collide.
 
     Texts that are null or without words have no shingles and are linked with nothing. A null doc_id takes part, but a component's
     id is null only if all its ids are; kept compares null-safely. Repeated rows are equal sets, and each is kept if its id is
@@ -153,7 +152,7 @@ def one_of_each(docs: DataFrame, words: int = 3, share: int = 85, permutations:
     listed = merged(texts, first, "root").withColumn("again", is_first).where("NOT again OR times > 1")
     listed = save(listed.select(F.col("doc_id").alias("__near_id"), F.col("mark").alias("__near_mark"), F.col("again").alias("__near_again")), "neardup-gone")
     forget(marked, named, texts)
-    held = docs.withColumn("__near_own", F.xxhash64(text_or_empty("text")))
+    held = docs.withColumn("__near_own", text_mark())
     on = held["doc_id"].eqNullSafe(listed["__near_id"]) & (held["__near_own"] == listed["__near_mark"])
     clear = matched(held, listed, on, "left_anti").select(*docs.columns)
     again = listed.where("__near_again")

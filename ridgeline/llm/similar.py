@@ -66,24 +66,46 @@ def band_keys(signatures: np.ndarray, rows: int) -> np.ndarray:
 BANDS = "bands array<bigint>, near_keys array<bigint>, near_heads array<bigint>"
 
 
-def band_columns(rows: int, fresh: np.ndarray, nodes: np.ndarray, keys: np.ndarray) -> list[pa.Array]:
+class KnownHeads:
+    """The first node of buckets that a task met: one place for each value of a key's low bits, where the latest key stands.
+
+    A bucket that is met often is nearly always there, so it leaves the task with one row however many of its rows it holds; one that
+    has been pushed out leaves with another row, which changes no result."""
+
+    def __init__(self, places: int = 1 << 19):
+        self.nodes, self.keys = np.zeros(places, np.int64), ~np.arange(places)  # no key stands where its low bits don't point
+
+    def look(self, keys: np.ndarray, nodes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Which keys are known, and each key's node: the known one, or the one given, which is known from now on."""
+        at = keys & (len(self.keys) - 1)
+        hit = self.keys[at] == keys
+        found = np.where(hit, self.nodes[at], nodes)
+        new = np.flatnonzero(~hit)
+        self.keys[at[new]], self.nodes[at[new]] = keys[new], nodes[new]
+        return hit, found
+
+
+def band_columns(rows: int, fresh: np.ndarray, nodes: np.ndarray, keys: np.ndarray, known: KnownHeads) -> list[pa.Array]:
     """The columns BANDS of `rows` rows, of which `fresh` have the given nodes and keys.
 
-    Within a chunk only the first set of a bucket carries the bucket's key on (bands); others are tied to it here (near_keys, near_heads), so a
-    bucket that holds a third of all rows comes to its shuffle with one row per chunk."""
+    Within a chunk, and mostly within a task, only the first set of a bucket carries the bucket's key on (bands); others are tied to it here
+    (near_keys, near_heads), so a bucket that holds a third of all rows comes to its shuffle with some row per task."""
     flat, m = keys.ravel(), keys.shape[1] if len(keys) else 0
     order = np.argsort(flat, kind="stable")
     new = np.ones(len(flat), bool)
     new[order[1:]] = flat[order[1:]] != flat[order[:-1]]
     head = np.empty(len(flat), np.int64)
     head[order] = order[np.maximum.accumulate(np.where(new[order], np.arange(len(flat)), 0))]
+    firsts, heads = np.flatnonzero(new), np.zeros(len(flat), np.int64)
+    hit, heads[firsts] = known.look(flat[firsts], nodes[firsts // m]) if m else (np.zeros(0, bool), heads)
+    heads = heads[head]
+    new[firsts[hit]] = False
     owner = np.repeat(fresh, m)
 
     def lists(mask: np.ndarray, values: np.ndarray) -> pa.Array:
         ends = np.cumsum(np.bincount(owner[mask], minlength=rows))
         return pa.ListArray.from_arrays(pa.array(np.concatenate([[0], ends]).astype(np.int32)), pa.array(values[mask]))
 
-    heads = nodes[head // m] if m else np.zeros(0, np.int64)
     return [lists(new, flat), lists(~new, flat), lists(~new, heads)]
 
 

@@ -4,10 +4,12 @@ from collections import Counter
 import numpy as np
 
 import pytest
+from pyspark.sql import functions as F
 from test_operators import ROWS, linked, shingles_of
 
 import corpus_pipeline
 from ridgeline.llm import lines, mixing
+from ridgeline.llm.common import text_mark
 
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
 
@@ -56,7 +58,7 @@ ALIKE = [
 @pytest.mark.parametrize("rows", [ALIKE, ROWS, [*ROWS, *ALIKE]])
 def test_near_unique_keeps_one_row_of_each_group(spark, rows):
     docs = spark.createDataFrame(rows, "doc_id bigint, text string, lang string, source string")
-    marks = {r["text"]: r["mark"] for r in docs.selectExpr("text", "xxhash64(coalesce(text, '')) AS mark").distinct().collect()}
+    marks = {r["text"]: r["mark"] for r in docs.select("text", F.hex(text_mark()).alias("mark")).distinct().collect()}
     order = lambda r: (r[0] is None, r[0] or 0, marks[r[1]], *((x is not None, x or "") for x in r[1:]))
     sets = [shingles_of(r[1], 5) for r in rows]
     kept = {}

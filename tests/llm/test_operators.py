@@ -9,10 +9,11 @@ import duckdb
 import numpy as np
 import public_tokenizers
 import pytest
+from pyspark.sql import functions as F
 
 import corpus_pipeline
 from ridgeline.llm import archive, chat, components, encoding, exact, lines, media, mixing, neardup, packing, quality, registry, similar, tokens
-from ridgeline.llm.common import table
+from ridgeline.llm.common import table, text_mark
 
 BYTES, WORDS = public_tokenizers.path("byte_bpe_50k.json"), public_tokenizers.path("word_bpe_49k.json")
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
@@ -194,7 +195,7 @@ def lines_by_force(rows):
 def test_lines(odd, empty, spark, sf_dir, blocks, monkeypatch):
     monkeypatch.setattr(similar, "BLOCK_SETS", blocks)
     for docs in (odd, table(spark, sf_dir, "documents")):
-        rows = [tuple(r) for r in docs.selectExpr("doc_id", "xxhash64(coalesce(text, ''))", "text").collect()]
+        rows = [tuple(r) for r in docs.select("doc_id", F.hex(text_mark()), "text").collect()]
         assert as_tuples(lines.dedup_lines(docs).select("doc_id", "text", "n_dropped")) == lines_by_force(rows)
     assert lines.dedup_lines(empty).count() == 0
 
@@ -367,7 +368,7 @@ def test_pipeline(spark, sf_dir):
             scores = {r["doc_id"]: r["predicted"] for r in quality.classify(before, table(spark, sf_dir, "labels")).collect()}
             assert {r["doc_id"] for r in rows} == {d for d, p in scores.items() if p}
         if name == "lines":
-            force = lines_by_force([tuple(r) for r in before.selectExpr("doc_id", "xxhash64(coalesce(text, ''))", "text").collect()])
+            force = lines_by_force([tuple(r) for r in before.select("doc_id", F.hex(text_mark()), "text").collect()])
             assert Counter((r["doc_id"], r["text"]) for r in rows) == Counter({(d, t): n for (d, t, _), n in force.items()})
             assert all(r["n_chars"] == len(r["text"]) for r in rows)
         if name == "near duplicates":

@@ -4,6 +4,7 @@ import hashlib
 import itertools
 import random
 import re
+import time
 import zlib
 from collections import Counter
 
@@ -12,7 +13,8 @@ import public_tokenizers
 import pytest
 from test_operators import CLASHING, ROWS
 
-from ridgeline.llm import audit, bestfit, registry, runs
+from ridgeline.llm import audit, bestfit, chat, lines, neardup, registry, runs, similar
+from ridgeline.llm.common import WordHashes
 
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
 WORDS = public_tokenizers.path("word_bpe_49k.json")
@@ -254,3 +256,60 @@ def test_filter_audit(spark, hot, monkeypatch):
 def test_filter_masks_of_odd_rows(spark):
     docs = spark.createDataFrame([(*r, *[None] * 11) for r in ROWS], CLASHING).repartition(3)
     assert Counter(map(tuple, audit.filter_masks(docs).collect())) == Counter(masks_by_force([(d, part, t) for d, t, part, _ in ROWS]))
+
+
+def test_words_and_lines_made_to_collide_stay_apart(spark):
+    words = ["ieqh524yng5by1a2", "2mljbd5i/$c`/h~x"]
+    docs = spark.createDataFrame([(i, f"{w} x y") for i, w in enumerate(words, 1)], "doc_id bigint, text string")
+    assert Counter((r["doc_id"], r["component_id"], r["kept"]) for r in neardup.near_duplicates(docs).collect()) == Counter({(1, 1, True): 1, (2, 2, True): 1})
+    points = [[19969, 19970, 19971, 19973, 19974], [28297, 31062, 29614, 863969, 789708]]
+    rows = [(i, "".join(map(chr, p))) for i, p in enumerate(points)]
+    got = lines.dedup_lines(spark.createDataFrame(rows, "doc_id bigint, text string")).collect()
+    assert {(r["doc_id"], r["text"], r["n_dropped"]) for r in got} == {(i, t, 0) for i, t in rows}
+    data, starts = np.array(sum(points, []), np.uint32), np.array([0, 5])
+    alike, _ = lines.character_shingles(data, starts, starts + 5, 5)
+    apart, _ = lines.character_shingles(data, starts, starts + 5, 5, (3, 4))
+    assert alike[0] == alike[1] and apart[0] != apart[1]
+
+
+def test_word_hashes(monkeypatch):
+    monkeypatch.setattr(WordHashes, "KEPT", 50)
+    rng, hashes = random.Random(5), WordHashes(b"", b"key")
+    for _ in range(40):
+        words = [bytes(rng.choice(b"abc") for _ in range(rng.choice([1, 2, 3, 60]))) for _ in range(30)]
+        got = hashes.of(words)
+        for k, key in enumerate((b"", b"key")):
+            assert got[k].tolist() == [int.from_bytes(hashlib.blake2b(w, digest_size=8, key=key).digest(), "little") for w in words]
+    assert WordHashes(b"").of([]).shape == (1, 0)
+
+
+def test_buckets_are_whole_whatever_a_task_remembers():
+    rng = np.random.default_rng(6)
+    for places in (1, 4, 1 << 10):
+        known, ties, far = similar.KnownHeads(places), [], []
+        for _ in range(30):
+            n = rng.integers(0, 6)
+            nodes, keys = rng.integers(1, 1000, n), rng.integers(0, 12, (n, 3)) * 7 - 20
+            bands, near_keys, near_heads = (c.to_pylist() for c in similar.band_columns(n, np.arange(n), nodes, keys, known))
+            for i in range(n):
+                assert sorted(bands[i] + near_keys[i]) == sorted(keys[i].tolist())
+                far += [(k, int(nodes[i])) for k in bands[i]]
+                ties += [(k, int(nodes[i]), h) for k, h in zip(near_keys[i], near_heads[i], strict=True)]
+        assert all((k, h) in set(far) for k, _, h in ties)
+
+
+def test_long_conversations_take_time_in_proportion(spark):
+    schema = "conv_id bigint, turn bigint, role string, text string, number int, message string, end string, fresh boolean, turns int"
+    said = lambda i: f"turn {i} <|im_end|> \\ é"
+    seconds = {}
+    for n in (2000, 20000):
+        rows = spark.range(n).selectExpr("1L AS conv_id", "id AS turn", "if(id % 3 = 0, 'user', 'assistant') AS role", "concat('turn ', id, ' <|im_end|> \\\\ é') AS text", "1 AS number", "'m' AS message", "'e' AS end", "true AS fresh", "2 AS turns")
+        assert rows.schema.simpleString() == spark.createDataFrame([], schema).schema.simpleString()
+        began = time.time()
+        (got,) = chat.digests(chat.format_conversations(rows)).collect()
+        seconds[n] = time.time() - began
+        loss = "".join(said(i) for i in range(n) if i % 3)
+        turns = "".join(f"{'assistant' if i % 3 else 'user'}\n{said(i)}\n" for i in range(n))
+        assert (got["n_turns"], got["loss_chars"]) == (n, len(loss))
+        assert (got["loss_sha256"], got["turns_sha256"]) == tuple(hashlib.sha256(x.encode()).hexdigest() for x in (loss, turns))
+    assert seconds[20000] < 10
