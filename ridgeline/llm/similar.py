@@ -12,7 +12,7 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import HASHES, forget, merged, mix64, save
@@ -23,6 +23,9 @@ BLOCK_SETS, BLOCK_ITEMS, STAR = 768, 1 << 20, 1024
 #: Up to so many pairs of a block are compared one by one.
 FEW = 24
 
+#: Rows in an Arrow batch of a few numbers each.
+NUMBER_ROWS = 1 << 16
+
 #: Gives the sets (sorted distinct 64-bit items) of a column of bodies.
 ToSets = Callable[[pa.Array], list[np.ndarray]]
 
@@ -122,14 +125,31 @@ def distinct(items: np.ndarray, bounds: np.ndarray) -> list[np.ndarray]:
     return [once[a:b] for a, b in zip(ends[:-1], ends[1:], strict=True)]
 
 
+def _bucket_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Rows node, key of one partition, two numbers each, to (key, node, head) of keys with several nodes."""
+    parts = [[np.asarray(c) for c in batch.columns] for batch in batches]
+    if not parts:
+        return
+    nodes, keys = (np.concatenate([p[k] for p in parts]) for k in (0, 1))
+    del parts
+    order = np.argsort(keys)
+    keys, nodes = keys[order], nodes[order]
+    starts = np.flatnonzero(np.concatenate([[True], keys[1:] != keys[:-1]]))
+    heads = np.repeat(np.minimum.reduceat(nodes, starts), np.diff(np.append(starts, len(keys))))
+    other = np.flatnonzero(nodes != heads)
+    for i in range(0, len(other), 1 << 16):
+        at = other[i : i + (1 << 16)]
+        yield pa.RecordBatch.from_arrays([pa.array(x[at]) for x in (keys, nodes, heads)], ["key", "node", "head"])
+
+
 def buckets(banded: DataFrame) -> DataFrame:
     """(key, node, head): members of buckets of several nodes with one that stands for the bucket in their comparison. banded has node and BANDS.
 
-    Keys are sorted alone, one long a row, which goes by radix; nothing orders a bucket's members, and Spark spills a bucket that is too large."""
-    head = F.min("node").over(Window.partitionBy("key"))
-    far = banded.select("node", F.explode("bands").alias("key")).select("key", "node", head.alias("head"))
+    Nearly all keys are met once, so a partition's keys are sorted as plain numbers, 16 bytes a row; a key that a third of all rows share comes with
+    some row per task that made it (KnownHeads), not with one per row."""
+    far = banded.select("node", F.explode("bands").alias("key")).repartition("key").mapInArrow(_bucket_batches, "key bigint, node bigint, head bigint")
     near = banded.where(F.size("near_keys") > 0).select("node", F.explode(F.arrays_zip("near_keys", "near_heads")).alias("x")).select("x.near_keys", "node", "x.near_heads")
-    return save(far.unionAll(near).where("node <> head"), "buckets", **HASHES)
+    return save(far.unionAll(near).where("node <> head"), "buckets", batch_rows=NUMBER_ROWS, **HASHES)
 
 
 def _linked(a: np.ndarray, b: np.ndarray, share: int) -> bool:
