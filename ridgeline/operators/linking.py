@@ -1,78 +1,18 @@
-"""Linking detections into tracks: edges come from parallel joins, a stack's choices from a small ordered fold."""
+"""Linking detections into tracks: edges come from one join over grid cells, choices from rounds of dominant edges (matching)."""
 
 from __future__ import annotations
 
-from collections import defaultdict
-from collections.abc import Callable, Iterable
+from collections.abc import Callable
 
-import numpy as np
-import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import inconsistency
+from ..lineage import settled
 from ..params import Params
+from .matching import PLACE_BITS, matched_pairs, numbered_tracks
 from .spatial import candidate_edges, near_pairs, nearest_in_previous_slice, next_slices
 
-#: Edge: (score, z of the later detection's track state, earlier id).
-Edges = dict[int, list[tuple[int, float, bool]]]
-
-
-def choose(slice_ids: list[int], edges: Edges, tail_of: dict[int, int], nearest_only: bool, by_score_only: bool) -> dict[int, int]:
-    """Greedy one-to-one choice for one slice: detection -> track.
-
-    edges lists, for a detection, (earlier detection, score, allowed); tail_of maps a track's last detection to the track.
-    Ties go to the earlier detection, then the lower track. nearest_only: a detection has its nearest track or none."""
-    offers = []
-    for place, b in enumerate(slice_ids):
-        mine = sorted((score, tail_of[a], ok) for a, score, ok in edges.get(b, ()) if a in tail_of)
-        offers += [(score, place, track, ok) for score, track, ok in (mine[:1] if nearest_only else mine)]
-    offers = [o for o in offers if o[3]]
-    offers.sort(key=(lambda o: o[0]) if by_score_only else (lambda o: o[:3]))
-    got: dict[int, int] = {}
-    taken: set[int] = set()
-    for _, place, track, _ in offers:
-        if slice_ids[place] not in got and track not in taken:
-            got[slice_ids[place]] = track
-            taken.add(track)
-    return got
-
-
-def fold(dets: Iterable[tuple[int, int]], edges: Edges, max_gap: int, nearest_only: bool = False, by_score_only: bool = True, many_to_one: bool = False) -> dict[int, int]:
-    """Track of every detection; dets are (slice, id) in order of slice and number. New tracks are numbered from 1 as they open."""
-    slices: dict[int, list[int]] = defaultdict(list)
-    for z, i in dets:
-        slices[z].append(i)
-    track_of: dict[int, int] = {}
-    tail: dict[int, tuple[int, int]] = {}
-    opened = 0
-    for z in sorted(slices):
-        if many_to_one:
-            got = {b: track_of[min(edges[b], key=lambda e: (e[1], e[0]))[0]] for b in slices[z] if b in edges}
-        else:
-            tail = {t: (last, i) for t, (last, i) in tail.items() if z - last <= max_gap + 1}
-            got = choose(slices[z], edges, {i: t for t, (_, i) in tail.items()}, nearest_only, by_score_only)
-        for b in slices[z]:
-            if b not in got:
-                opened += 1
-                got[b] = opened
-            track_of[b] = got[b]
-            tail[got[b]] = (z, b)
-    return track_of
-
-
-def _fold_stack(p: Params, how: dict) -> Callable[[pd.DataFrame, pd.DataFrame], pd.DataFrame]:
-    def run(dets: pd.DataFrame, pairs: pd.DataFrame) -> pd.DataFrame:
-        dets = dets.sort_values(["z_slice", "sperm_id", "id"], kind="stable")
-        edges: Edges = defaultdict(list)
-        for a, b, score, ok in zip(pairs["a"], pairs["b"], pairs["score"], pairs["allowed"], strict=True):
-            edges[b].append((a, score, ok))
-        tracks = fold(zip(dets["z_slice"], dets["id"], strict=True), dict(edges), p.track_max_gap_slices, **how)
-        return pd.DataFrame({"stack_id": dets["stack_id"], "id": dets["id"], "track_no": [tracks[i] for i in dets["id"]]}).astype({"track_no": np.int64})
-
-    return run
-
-
 def _all_near(d: DataFrame, p: Params, checked: bool) -> DataFrame:
     ahead = d.withColumn("z_next", next_slices(p))
     pairs = near_pairs(ahead, d.withColumn("z_next", F.col("z_slice")), ["stack_id", "z_next"], p.max_dist_px)
@@ -82,8 +22,8 @@ def _all_near(d: DataFrame, p: Params, checked: bool) -> DataFrame:
 
 LINKERS: dict[str, tuple[Callable[[DataFrame, Params], DataFrame], dict]] = {
     "overlap_first": (lambda d, p: candidate_edges(d, p).select("stack_id", "a", "b", "score", F.lit(True).alias("allowed")), {}),
-    "conservative_nn": (lambda d, p: _all_near(d, p, True), {"nearest_only": True, "by_score_only": False}),
-    "nearest": (lambda d, p: _all_near(d, p, False), {"nearest_only": True, "by_score_only": False}),
+    "conservative_nn": (lambda d, p: _all_near(d, p, True), {"nearest_only": True}),
+    "nearest": (lambda d, p: _all_near(d, p, False), {"nearest_only": True}),
     "nearest_stable": (lambda d, p: _all_near(d, p, False), {"nearest_only": True}),
     "adjacent": (lambda d, p: nearest_in_previous_slice(d, p).select("stack_id", "a", "b", F.col("distance").alias("score"), F.lit(True).alias("allowed")), {"many_to_one": True}),
 }
@@ -92,17 +32,16 @@ LINKERS: dict[str, tuple[Callable[[DataFrame, Params], DataFrame], dict]] = {
 def link(d: DataFrame, p: Params, linker: str = "overlap_first") -> DataFrame:
     """Detections (stack_id, z_slice, sperm_id, centroids and measures) with track_no, numbered from 1 in each stack.
 
-    The joins find all edges in parallel; a stack's fold then sees ids and edges only. Slices that aren't there are passed over;
-    an empty table gives no rows. A stack is one group: it is ordered by nature, and its fold holds its edges."""
+    All edges come from joins; what is chosen is found for all slices and stacks at once, in rounds. Slices that aren't there are passed over;
+    an empty table gives no rows."""
     edges_of, how = LINKERS[linker]
     # ids follow slices and places, numbered within each slice: no stack is sorted as a whole
     tied = [c for c in ("event_id", "centroid_y", "centroid_x", "area_px") if c in d.columns]
     place = F.row_number().over(Window.partitionBy("stack_id", "z_slice").orderBy("sperm_id", *tied))
-    keyed = d.withColumn("id", F.col("z_slice").cast("bigint") * (1 << 32) + place)
-    small = keyed.select("stack_id", "z_slice", "sperm_id", "id")
+    keyed = settled(d.withColumn("id", F.shiftleft(F.col("z_slice").cast("bigint"), PLACE_BITS) + place))
     edges = edges_of(keyed, p)
-    tracks = small.groupBy("stack_id").cogroup(edges.groupBy("stack_id")).applyInPandas(_fold_stack(p, how), "stack_id int, id bigint, track_no bigint")
-    return keyed.join(tracks, ["stack_id", "id"]).drop("id")
+    pairs = edges.select("stack_id", "b", "a") if how.get("many_to_one") else matched_pairs(edges, **how)
+    return keyed.join(numbered_tracks(keyed, pairs), ["stack_id", "id"]).drop("id")
 
 
 def with_track_ids(linked: DataFrame, per_stack: int = 10_000_000) -> DataFrame:

@@ -9,7 +9,6 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 
-from ..operators.linking import choose
 from ..params import Params
 
 NEEDED = ["stack_id", "z_slice", "sperm_id", "event_id", "centroid_x", "centroid_y", "width_um", "length_um_geodesic", "area_px", "orientation", "bbox_min_y", "bbox_min_x", "bbox_max_y", "bbox_max_x"]
@@ -42,6 +41,17 @@ def pair_score(a: dict, b: dict, p: Params) -> float | None:
     return apart - 10000 if overlap else apart
 
 
+def choose(offers: list[tuple[float, int, int]]) -> dict[int, int]:
+    """Detection -> track: offers (score, detection, track) in order, each end once."""
+    got: dict[int, int] = {}
+    taken: set[int] = set()
+    for _, b, track in sorted(offers):
+        if b not in got and track not in taken:
+            got[b] = track
+            taken.add(track)
+    return got
+
+
 class StackLinker(StatefulProcessor):
     """State of a stack: its active tracks' last detections, the slice that still gathers rows, and the number of tracks so far."""
 
@@ -85,10 +95,7 @@ class StackLinker(StatefulProcessor):
             del tails[track]
         dets = [dict(zip(NEEDED[2:], h, strict=True)) for h in sorted(held, key=lambda h: (h[0], h[1]))]
         states = {t: dict(zip(_MEASURES, s[1:], strict=True)) for t, s in tails.items()}
-        edges = {}
-        for i, b in enumerate(dets):
-            edges[i] = [(t, score, True) for t in sorted(states) if (score := pair_score(states[t], b, self.p)) is not None]
-        got = choose(list(range(len(dets))), edges, {t: t for t in states}, False, True)
+        got = choose([(score, i, t) for i, b in enumerate(dets) for t, state in states.items() if (score := pair_score(state, b, self.p)) is not None])
         out = []
         for i, b in enumerate(dets):
             if i not in got:
