@@ -29,16 +29,21 @@ LINKERS: dict[str, tuple[Callable[[DataFrame, Params], DataFrame], dict]] = {
 }
 
 
+def with_ids(d: DataFrame) -> DataFrame:
+    """Detections with id, unique in a stack: it follows slices and places, numbered within each slice, so that no stack is sorted as a whole."""
+    tied = [c for c in ("event_id", "centroid_y", "centroid_x", "area_px") if c in d.columns]
+    place = F.row_number().over(Window.partitionBy("stack_id", "z_slice").orderBy("sperm_id", *tied))
+    return d.withColumn("id", F.shiftleft(F.col("z_slice").cast("bigint"), PLACE_BITS) + place)
+
+
 def link(d: DataFrame, p: Params, linker: str = "overlap_first") -> DataFrame:
     """Detections (stack_id, z_slice, sperm_id, centroids and measures) with track_no, numbered from 1 in each stack.
 
     All edges come from joins; what is chosen is found for all slices and stacks at once, in rounds. Slices that aren't there are passed over;
     an empty table gives no rows."""
     edges_of, how = LINKERS[linker]
-    # ids follow slices and places, numbered within each slice: no stack is sorted as a whole
-    tied = [c for c in ("event_id", "centroid_y", "centroid_x", "area_px") if c in d.columns]
-    place = F.row_number().over(Window.partitionBy("stack_id", "z_slice").orderBy("sperm_id", *tied))
-    keyed = settled(d.withColumn("id", F.shiftleft(F.col("z_slice").cast("bigint"), PLACE_BITS) + place))
+    edges_of, how = LINKERS[linker]
+    keyed = settled(with_ids(d))
     edges = edges_of(keyed, p)
     pairs = edges.select("stack_id", "b", "a") if how.get("many_to_one") else matched_pairs(edges, **how)
     return keyed.join(numbered_tracks(keyed, pairs), ["stack_id", "id"]).drop("id")

@@ -49,12 +49,10 @@ def touching_pairs(left: DataFrame, right: DataFrame, keys: list[str], pad: floa
     return joined.where(corner[0] & corner[1] & boxes_touch("a", "b", pad))
 
 
-def candidate_edges(d: DataFrame, p: Params, consistent: bool = True) -> DataFrame:
-    """Which detections of a stack may continue which, up to the allowed gap of slices: stack_id, a, b (event or row ids), z_a, z_b,
-    overlap, distance and score (overlap always beats distance); only consistent ones unless asked otherwise (then with reason).
+def candidate_pairs(d: DataFrame, p: Params) -> DataFrame:
+    """Pairs (aliases a and b) of a stack's detections, b in one of the slices in which a's track may go on, that touch or are near; with distance.
 
-    d has a unique `id` per stack. A track's state is its last detection's, so whether it can go on is a fact about two detections,
-    all settled here in parallel, by one join over grid cells that carries the measures along; the linker only has to choose."""
+    d has a unique `id` per stack. One join over grid cells that carries the measures along."""
     pad, reach = p.track_bbox_padding_px, p.max_dist_px
     # what two detections that touch or are near must share: their grown boxes, widened to half the reach around the centroids
     grown = [F.least(F.col(f"bbox_min_{c}") - pad, F.col(f"centroid_{c}") - reach / 2) for c in "xy"] + [F.greatest(F.col(f"bbox_max_{c}") + pad, F.col(f"centroid_{c}") + reach / 2) for c in "xy"]
@@ -66,11 +64,23 @@ def candidate_edges(d: DataFrame, p: Params, consistent: bool = True) -> DataFra
     for axis in "xy":  # in the one cell of the lower corner of what they share
         met = met.where(F.col(f"a.g{axis}") == _cell(F.greatest(F.col(f"a.lo_{axis}"), F.col(f"b.lo_{axis}")), CELL))
     distance = F.hypot(F.col("b.centroid_x") - F.col("a.centroid_x"), F.col("b.centroid_y") - F.col("a.centroid_y"))
-    met = met.withColumns({"overlap": boxes_touch("a", "b", pad), "distance": distance}).where(F.col("overlap") | (F.col("distance") <= reach))
-    edges = met.select(
-        F.col("a.stack_id").alias("stack_id"), F.col("a.id").alias("a"), F.col("b.id").alias("b"), F.col("a.z_slice").alias("z_a"), F.col("b.z_slice").alias("z_b"), "overlap",
+    return met.withColumn("distance", distance).where(boxes_touch("a", "b", pad) | (F.col("distance") <= reach))
+
+
+def judged_pairs(pairs: DataFrame, p: Params, *more: Column | str) -> DataFrame:
+    """candidate_pairs as edges: stack_id, a, b, z_a, z_b, overlap, distance, score (overlap always beats distance) and reason (null if consistent). p's values may be columns."""
+    met = pairs.withColumn("overlap", boxes_touch("a", "b", p.track_bbox_padding_px)).where(F.col("overlap") | (F.col("distance") <= p.max_dist_px))
+    return met.select(
+        *more, F.col("a.stack_id").alias("stack_id"), F.col("a.id").alias("a"), F.col("b.id").alias("b"), F.col("a.z_slice").alias("z_a"), F.col("b.z_slice").alias("z_b"), "overlap",
         "distance", F.when(F.col("overlap"), F.col("distance") - 10000).otherwise(F.col("distance")).alias("score"), inconsistency("a", "b", p, F.col("overlap"), F.col("distance")).alias("reason"),
     )
+
+
+def candidate_edges(d: DataFrame, p: Params, consistent: bool = True) -> DataFrame:
+    """Which detections of a stack may continue which, up to the allowed gap of slices, as judged_pairs gives them; only consistent ones, without reason, unless asked otherwise.
+
+    A track's state is its last detection's, so whether it can go on is a fact about two detections, all settled here in parallel; the linker only has to choose."""
+    edges = judged_pairs(candidate_pairs(d, p), p)
     return edges.where("reason IS NULL").drop("reason") if consistent else edges
 
 

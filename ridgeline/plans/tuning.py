@@ -1,15 +1,17 @@
-"""Tuning of linking parameters: many parameter sets over one table of detections, as one Spark job per generation."""
+"""Tuning of linking parameters: parameter sets are rows that meet one table of candidate pairs, so a generation is one plan however many sets it has."""
 
 from __future__ import annotations
 
-from dataclasses import replace
-from functools import reduce
+from dataclasses import asdict, replace
 
 import numpy as np
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..lineage import settled
 from ..operators import linking, scores, tracks
+from ..operators.matching import matched_pairs, numbered_tracks
+from ..operators.spatial import candidate_pairs, judged_pairs
 from ..params import Params
 
 # The searched parameters and their bounds.
@@ -26,12 +28,53 @@ BOUNDS = {
 }
 
 
-def evaluate(d: DataFrame, sets: list[Params]) -> DataFrame:
-    """set_id, facts and score of each parameter set; the linkers of all sets run as one plan over the same detections.
+class _SetColumns:
+    """Params whose differing values are fields of the column `set`, for expressions that are built from Params."""
+
+    def __init__(self, sets: list[Params]):
+        every = [asdict(q) for q in sets]
+        self.base, self.names = sets[0], [n for n in every[0] if any(e[n] != every[0][n] for e in every)]
+
+    def __getattr__(self, name: str):
+        return F.col(f"set.{name}") if name in self.names else getattr(self.base, name)
+
+    @property
+    def max_dist_px(self) -> Column | float:
+        return self.track_max_dist_um / (self.um_per_px_xy + 1e-9)
+
+    def rows(self, sets: list[Params]) -> Column:
+        """The sets as an array of structs: set_id and what differs."""
+        return F.array(*[F.struct(F.lit(i).alias("set_id"), *[F.lit(getattr(q, n)).alias(n) for n in self.names]) for i, q in enumerate(sets)])
+
 
-    Segmentation doesn't depend on what is searched, so detections are made once, by the caller."""
-    parts = [tracks.summarise(linking.with_track_ids(linking.link(d, p)), p).withColumn("set_id", F.lit(i)) for i, p in enumerate(sets)]
-    return scores.score_tuned(scores.run_facts(reduce(DataFrame.unionByName, parts), ["set_id"]))
+def _widest(sets: list[Params]) -> Params:
+    """Reaches that hold every set's candidates."""
+    return replace(sets[0], **{n: max(getattr(q, n) for q in sets) for n in ("track_max_dist_um", "track_bbox_padding_px", "track_max_gap_slices")}, um_per_px_xy=min(q.um_per_px_xy for q in sets))
+
+
+def linked_by_sets(d: DataFrame, sets: list[Params]) -> DataFrame:
+    """Detections with set_id and track_no by every parameter set: one join finds the pairs for the widest reach, each set judges them by its own rules, and (set, stack) is what is linked.
+
+    Segmentation doesn't depend on what is searched, so detections are made once, by the caller. sets is a list that a person or a search wrote, some hundreds at most."""
+    values, keyed = _SetColumns(sets), settled(linking.with_ids(d))
+    stacks = (keyed.agg(F.max("stack_id")).first()[0] or 0) + 1
+    own = lambda set_id, stack: (F.col(set_id).cast("bigint") * stacks + F.col(stack)).alias("stack_id")
+    pairs = candidate_pairs(keyed, _widest(sets)).withColumn("set", F.explode(values.rows(sets)))
+    pairs = pairs.where(F.col("b.z_slice") - F.col("a.z_slice") <= values.track_max_gap_slices + 1)
+    edges = judged_pairs(pairs, values, "set.set_id").where("reason IS NULL").select(own("set_id", "stack_id"), "a", "b", "score", F.lit(True).alias("allowed"))
+    every = keyed.select("stack_id", "id", F.explode(F.sequence(F.lit(0), F.lit(len(sets) - 1))).alias("set_id")).select(own("set_id", "stack_id"), "id")
+    numbers = numbered_tracks(every, matched_pairs(edges)).select(F.floor(F.col("stack_id") / stacks).cast("int").alias("set_id"), (F.col("stack_id") % stacks).cast("int").alias("stack_id"), "id", "track_no")
+    return keyed.join(numbers, ["stack_id", "id"]).drop("id")
+
+
+def evaluate(d: DataFrame, sets: list[Params]) -> DataFrame:
+    """set_id, facts and score of each parameter set that has a track."""
+    linked = settled(linked_by_sets(d, sets))
+    stacks = (linked.agg(F.max("stack_id")).first()[0] or 0) + 1
+    own = linked.withColumn("stack_id", F.col("set_id").cast("bigint") * stacks + F.col("stack_id"))
+    # a summary needs its set's scale only, which is one for all
+    t = tracks.summarise(linking.with_track_ids(own.drop("set_id")), sets[0])
+    return scores.score_tuned(scores.run_facts(t.withColumn("set_id", F.floor(F.col("stack_id") / stacks).cast("int")), ["set_id"]))
 
 
 def grid(p: Params, axes: dict[str, list[float]]) -> list[Params]:
@@ -42,31 +85,39 @@ def grid(p: Params, axes: dict[str, list[float]]) -> list[Params]:
     return out
 
 
-def evolve(d: DataFrame, start: Params, generations: int = 10, size: int = 8, seed: int = 42, cross: float = 0.7) -> tuple[Params, list[dict]]:
+def evolve(d: DataFrame, start: Params, generations: int = 10, size: int = 8, seed: int = 42, cross: float = 0.7, polish: int = 4) -> tuple[Params, list[dict]]:
     """Differential evolution (best/1/bin, dithered between 0.5 and 1) with one job per generation; the best set and all evaluations.
 
-    A generation is judged at once, so later members don't see earlier ones' gains. What comes to the driver is one score per set."""
+    The population is `size` members for each searched parameter. A generation is judged at once, so later members don't see earlier ones' gains. The best is
+    then polished: `polish` times all single steps from it are judged at once, the best one is taken, or steps are halved. What comes to the
+    driver is one score per set. Seeded, so that runs agree."""
     rng = np.random.default_rng(seed)
     names, low, high = list(BOUNDS), *np.array(list(BOUNDS.values()), float).T
+    people_count = size * len(names)
     made = lambda v: replace(start, **{n: int(round(x)) if n == "overlap_min_stable_count" else float(x) for n, x in zip(names, v, strict=True)})
     history: list[dict] = []
 
     def judge(members: np.ndarray) -> np.ndarray:
-        rows = {r["set_id"]: r.asDict() for r in evaluate(d, [made(v) for v in members]).collect()}
-        got = np.array([rows[i]["score"] if i in rows and rows[i]["score"] is not None else -1e12 for i in range(len(members))])
+        rows = {r["set_id"]: r["score"] for r in evaluate(d, [made(v) for v in members]).select("set_id", "score").collect()}
+        got = np.array([-1e12 if rows.get(i) is None else rows[i] for i in range(len(members))])
         history.extend({"params": dict(zip(names, v.tolist(), strict=True)), "score": float(s)} for v, s in zip(members, got, strict=True))
         return got
 
-    people = low + rng.random((size, len(names))) * (high - low)
+    people = low + rng.random((people_count, len(names))) * (high - low)
     people[0] = np.clip([getattr(start, n) for n in names], low, high)
     worth = judge(people)
     for _ in range(generations):
         best, scale = people[worth.argmax()], rng.uniform(0.5, 1.0)
-        pairs = np.array([rng.permutation(size)[:2] for _ in range(size)])
+        pairs = np.array([rng.permutation(people_count)[:2] for _ in range(people_count)])
         mixed = np.clip(best + scale * (people[pairs[:, 0]] - people[pairs[:, 1]]), low, high)
         swap = rng.random(people.shape) < cross
-        swap[np.arange(size), rng.integers(0, len(names), size)] = True
+        swap[np.arange(people_count), rng.integers(0, len(names), people_count)] = True
         trial = np.where(swap, mixed, people)
         gain = judge(trial)
         people, worth = np.where((gain >= worth)[:, None], trial, people), np.maximum(gain, worth)
-    return made(people[worth.argmax()]), sorted(history, key=lambda h: -h["score"])
+    best, top, step = people[worth.argmax()], worth.max(), 0.05
+    for _ in range(polish):
+        near = np.clip(best + np.concatenate([np.eye(len(names)), -np.eye(len(names))]) * step * (high - low), low, high)
+        gain = judge(near)
+        best, top, step = (near[gain.argmax()], gain.max(), step) if gain.max() > top else (best, top, step / 2)
+    return made(best), sorted(history, key=lambda h: -h["score"])

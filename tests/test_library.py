@@ -136,9 +136,18 @@ def test_published_score(spark):
 
 def test_tuning(spark, sf_dir):
     d = sources.detections(spark, sf_dir).where("z_slice < 5").persist()
-    best, history = tuning.evolve(d, P, generations=1, size=4)
-    again, _ = tuning.evolve(d, P, generations=1, size=4)
-    assert best == again and len(history) == 8 and history[0]["score"] == max(h["score"] for h in history)
+    best, history = tuning.evolve(d, P, generations=1, size=1, polish=1)
+    again, _ = tuning.evolve(d, P, generations=1, size=1, polish=1)
+    assert best == again and len(history) == 9 + 9 + 18 and history[0]["score"] == max(h["score"] for h in history)
+
+
+def test_sets_as_rows_equal_one_plan_each(spark, sf_dir):
+    d = sources.detections(spark, sf_dir).where("z_slice < 8")
+    sets = [P, *tuning.grid(P, {"conservative_max_width_jump_ratio": [0.4, 0.6], "track_max_dist_um": [4.0, 9.0]}), P.overlay({"track_max_gap_slices": 0, "track_bbox_padding_px": 2.0, "overlap_min_stable_count": 3, "overlap_multiplier": 1.1})]
+    got = tuning.linked_by_sets(d, sets).select("set_id", "event_id", "track_no").collect()
+    for i, p in enumerate(sets):
+        expected = {r["event_id"]: r["track_no"] for r in linking.link(d, p).collect()}
+        assert {r["event_id"]: r["track_no"] for r in got if r["set_id"] == i} == expected
 
 
 def test_params():
