@@ -118,11 +118,21 @@ def above_fence(t: DataFrame, metric: str, times: float = 3.0) -> DataFrame:
     return t.join(F.broadcast(q), F.col(metric) > F.col("fence"))
 
 
-def flag_counts(t: DataFrame) -> DataFrame:
-    """One row: tracks per flag, quality, all flagged, and shape outliers (flagged beyond the single-slice ones)."""
-    has = F.split("quality_flags", ",")
-    each = [F.count_if(F.array_contains(has, n)).alias(n) for n in FLAGS]
-    one = t.agg(F.count("*").alias("n_tracks"), *each, F.count_if("is_quality_track").alias("quality"), F.count_if(~F.col("is_quality_track")).alias("all_flagged"))
+def flag_counts(t: DataFrame, p: Params | None = None) -> DataFrame:
+    """One row: tracks per flag, quality, all flagged, and shape outliers (flagged beyond the single-slice ones).
+
+    Of tables of other versions, which have no quality_flags, flags are counted by p's limits on what measures there are, and all tracks pass if none is marked."""
+    limits = {} if p is None else {
+        "long": ("total_3d_length_um", F.col("total_3d_length_um") > p.audit_max_length_um), "tortuous": ("tortuosity_3d", F.col("tortuosity_3d") > p.audit_max_tortuosity), "thick": ("thickness_um", F.col("thickness_um") > p.audit_max_thickness_um),
+        "taper": ("taper_ratio", F.col("taper_ratio") > p.audit_max_taper_ratio), "single_slice": ("n_slices", F.col("n_slices") < p.audit_min_slices),
+    }
+    if "quality_flags" in t.columns:
+        each = {n: F.count_if(F.array_contains(F.split("quality_flags", ","), n)) for n in FLAGS}
+    else:
+        each = {n: F.count_if(limits[n][1]) if n in limits and limits[n][0] in t.columns else F.lit(0).cast("bigint") for n in FLAGS}
+    marked = "is_quality_track" in t.columns
+    quality, refused = (F.count_if("is_quality_track"), F.count_if(~F.col("is_quality_track"))) if marked else (F.count("*"), F.lit(0).cast("bigint"))
+    one = t.agg(F.count("*").alias("n_tracks"), *[c.alias(n) for n, c in each.items()], quality.alias("quality"), refused.alias("all_flagged"))
     return one.withColumn("shape_outliers", F.greatest(F.col("all_flagged") - F.col("single_slice"), F.lit(0)))
 
 
@@ -195,6 +205,16 @@ def positions_by(df: DataFrame, group: str, *order) -> DataFrame:
     return joined.withColumn("position", F.col("__before") + F.col("__at") - F.col("__first") + 1).select(*df.columns, "position")
 
 
+def running_max(df: DataFrame, order: str, value: str) -> DataFrame:
+    """df with so_far, the greatest value up to each row by order: running maxima of ranges, each raised to the greatest of the ranges before."""
+    at = settled(df.repartitionByRange(order).withColumn("__task", F.spark_partition_id()))
+    tops = at.groupBy("__task").agg(F.max(value).alias("__top"))
+    # a row per task
+    before = tops.select("__task", F.max("__top").over(Window.orderBy("__task").rowsBetween(Window.unboundedPreceding, -1)).alias("__before"))
+    own = F.max(value).over(Window.partitionBy("__task").orderBy(order).rowsBetween(Window.unboundedPreceding, 0))
+    return at.withColumn("__own", own).join(before, "__task").select(*df.columns, F.greatest("__own", "__before").alias("so_far"))
+
+
 def accept(objects: DataFrame, p: Params) -> DataFrame:
     """Measured objects with reject_reason, the first rule that an object fails, or null."""
     c = F.col

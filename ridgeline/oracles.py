@@ -46,6 +46,24 @@ vot AS (SELECT *, (abs(w1-w0)/greatest(w0,1e-9) < 0.1478 AND w0 <> 0 AND w1 <> 0
   FROM par WHERE overlap OR d <= 8.7613::double / (0.756836::double + 1e-9)),
 edg AS (SELECT *, CASE WHEN overlap AND votes < 1 THEN 'overlap_but_' || votes || '_stable' WHEN NOT overlap AND d * 0.756836 > 12.1249 THEN 'centroid_jump' WHEN abs(w1-w0)/greatest(w0,1e-9) > 0.6534*f THEN 'width_jump'
          WHEN abs(l1-l0)/greatest(l0,1e-9) > 0.6521*f THEN 'length_jump' WHEN abs(p1-p0)/greatest(p0,1e-9) > 0.5692*f THEN 'area_jump' END AS reason FROM vot)"""
+DRAW = DET + """,
+pix AS (
+  SELECT image, y, x, max(value) AS value FROM (
+    SELECT stack_id::bigint * 1048576 + z_slice AS image, least(greatest(cast(floor(centroid_y + along * cos(orientation) + 0.5) AS int), 0), 255) AS y,
+           least(greatest(cast(floor(centroid_x + along * sin(orientation) + 0.5) AS int), 0), 263) AS x, cast(100 + area_px AS int) AS value
+    FROM (SELECT *, unnest(range(0, 2 * cast(ceil(length_um_geodesic) AS bigint)))::double / 2 - length_um_geodesic / 2 AS along FROM det) WHERE along < length_um_geodesic / 2)
+  GROUP BY image, y, x)"""
+LABEL = """isl AS (SELECT image, y, x, x - row_number() OVER (PARTITION BY image, y ORDER BY x) AS g FROM pix WHERE {where}),
+run AS (SELECT image, y, min(x) AS lo, max(x) AS hi, y * 4294967296::bigint + min(x) AS node FROM isl GROUP BY image, y, g),
+adj AS (SELECT a.image, a.node AS a, b.node AS b FROM run a JOIN run b ON a.image = b.image AND (b.y = a.y + 1 OR b.y = a.y - 1) AND b.lo <= a.hi + 1 AND b.hi >= a.lo - 1),
+rch AS (SELECT image, node AS n, node AS m FROM run ANTI JOIN (SELECT image, a AS node FROM adj WHERE b < a) USING (image, node) UNION SELECT r.image, adj.b, r.m FROM rch r JOIN adj ON adj.image = r.image AND adj.a = r.n),
+lab AS (SELECT image, y, lo, hi, dense_rank() OVER (PARTITION BY image ORDER BY root) AS label FROM run JOIN (SELECT image, n AS node, min(m) AS root FROM rch GROUP BY image, n) USING (image, node))"""
+DEPTH = """off AS (SELECT dy, dx FROM (SELECT unnest(range(-5, 6))::int AS dy), (SELECT unnest(range(-5, 6))::int AS dx)),
+dep AS (
+  SELECT p.image, p.y, p.x, min(dy * dy + dx * dx) FILTER (WHERE q.image IS NULL AND p.y + dy BETWEEN 0 AND 255 AND p.x + dx BETWEEN 0 AND 263)::bigint AS depth2
+  FROM pix p JOIN off ON true LEFT JOIN pix q ON q.image = p.image AND q.y = p.y + dy AND q.x = p.x + dx GROUP BY p.image, p.y, p.x)"""
+DEGREE = """nbr AS (SELECT p.image, p.y, p.x FROM pix p JOIN (SELECT dy, dx FROM (SELECT unnest([-1, 0, 1]) AS dy), (SELECT unnest([-1, 0, 1]) AS dx)) ON true JOIN pix q ON q.image = p.image AND q.y = p.y + dy AND q.x = p.x + dx),
+deg AS (SELECT image, y, x, (count(*) - 1)::int AS degree FROM nbr GROUP BY image, y, x)"""
 FACTS = TRK + """,
 fac AS (
   SELECT stack_id, count(*) AS n_tracks, count(*) FILTER (WHERE n_slices > 1)::double AS multi_slice, coalesce(sum(n_slices) FILTER (WHERE n_slices > 1), 0)::double AS total_linked, coalesce(avg(n_slices) FILTER (WHERE n_slices > 1), 0) AS avg_depth,
@@ -96,7 +114,7 @@ SQL = {
     "p_rows": f"WITH {DET} SELECT event_id, round(length_um_geodesic * 4, 3) AS length_px_geodesic, round(length_um_geodesic * 4 * 0.756836::double, 3) AS length_um_geodesic, round(area_px, 1) AS length_px_count, round(area_px * 0.756836::double, 3) AS length_um_count, round(width_um * 7, 2) AS width_px, round(width_um * 7 * 0.756836::double, 3) AS width_um, round(length_um_geodesic * 4 / (width_um * 7 + 1e-9), 3) AS length_width_ratio, round(tortuosity, 3) AS tortuosity, CASE WHEN event_id % 13 > 10 THEN 11 ELSE 2 END AS n_endpoints, CASE WHEN event_id % 11 > 8 THEN 1 ELSE 0 END AS n_branch_nodes, centroid_x, centroid_y, area_px, bbox_min_y, bbox_min_x, bbox_max_y, bbox_max_x, round(orientation, 3) AS orientation, '1' AS pipeline_version, cast(row_number() OVER (PARTITION BY stack_id, z_slice ORDER BY event_id) AS int) AS sperm_id FROM det",
     "src_natsort": "SELECT c_custkey, 'z' || lpad(length(c_custkey::varchar)::varchar, 10, '0') || c_custkey::varchar || '_a.tif' AS natural_key FROM customer",
     "f_roi": f"WITH {DET}, px AS (SELECT *, least(greatest(round_even(centroid_y, 0)::int, 0), 250) AS y, least(greatest(round_even(centroid_x, 0)::int, 0), 256) AS x FROM det) SELECT event_id FROM px WHERE EXISTS (SELECT 1 FROM det m WHERE m.z_slice = 15 AND px.y BETWEEN floor(m.bbox_min_y) AND floor(m.bbox_max_y) AND px.x BETWEEN floor(m.bbox_min_x) AND floor(m.bbox_max_x))",
-    "trk_faults": "SELECT linker, (SELECT count(*) FROM events) AS n, 0::bigint AS faults FROM (VALUES ('overlap_first'), ('conservative_nn'), ('nearest')) l(linker)",
+    "trk_adjacent": f"WITH RECURSIVE {DET}, s AS (SELECT stack_id, z_slice, lead(z_slice) OVER (PARTITION BY stack_id ORDER BY z_slice) AS nx FROM (SELECT DISTINCT stack_id, z_slice FROM det)), q AS (SELECT b.stack_id, b.event_id AS b, a.event_id AS a, sqrt(pow(b.centroid_x - a.centroid_x, 2) + pow(b.centroid_y - a.centroid_y, 2)) AS d FROM det a JOIN s USING (stack_id, z_slice) JOIN det b ON b.stack_id = s.stack_id AND b.z_slice = s.nx AND abs(a.centroid_x - b.centroid_x) <= 12 AND abs(a.centroid_y - b.centroid_y) <= 12), par AS (SELECT b, arg_min(a, d * 1e9 + a) AS a FROM q WHERE d * 0.756836::double < 8.7613 GROUP BY b), r AS (SELECT event_id AS e, event_id AS root FROM det WHERE event_id NOT IN (SELECT b FROM par) UNION ALL SELECT p.b, r.root FROM r JOIN par p ON p.a = r.e) SELECT t.event_id, t.stack_id, dense_rank() OVER (PARTITION BY t.stack_id ORDER BY o.z_slice, o.sperm_id) AS track_no FROM r JOIN det t ON t.event_id = r.e JOIN det o ON o.event_id = r.root",
     "k_poly": f"WITH {DET}, e(x0, y0, x1, y1) AS (VALUES (40, 30, 210, 60), (210, 60, 150, 200), (150, 200, 120, 110), (120, 110, 40, 30)) SELECT event_id FROM det, e GROUP BY event_id, centroid_x, centroid_y HAVING count(*) FILTER (WHERE (y0 > centroid_y) <> (y1 > centroid_y) AND centroid_x < (x1 - x0) * (centroid_y - y0) / (y1 - y0)::double + x0) % 2 = 1",
     "j_span": f"WITH {TRK}, sp AS (SELECT track_id, min(z_slice) AS z_min_from_meas, max(z_slice) AS z_max_from_meas, count(*) AS n_rows_in_measurements FROM cel GROUP BY track_id) SELECT track_id, n_slices, coalesce(z_min_from_meas, -1) AS z_min_from_meas, coalesce(z_max_from_meas, -1) AS z_max_from_meas, coalesce(n_rows_in_measurements, -1) AS n_rows_in_measurements FROM trk LEFT JOIN sp USING (track_id)",
     "f_overlap": f"WITH {PAIR} SELECT a, b FROM par WHERE overlap",
@@ -110,7 +128,7 @@ SQL = {
     "j_semi": f"WITH {TRK} SELECT event_id, track_id FROM cel WHERE track_id IN (SELECT track_id FROM qual WHERE is_quality_track)",
     "j_cache": f"WITH {TRK} SELECT event_id, cel.track_id, round(total_3d_length_um, 5) AS total_3d_length_um FROM cel JOIN trk USING (track_id)",
     "j_compare": f"WITH {TRK}, o AS (SELECT count(*) FILTER (WHERE flag_long) AS flag_long, count(*) FILTER (WHERE flag_tortuous) AS flag_tortuous, count(*) FILTER (WHERE flag_thick) AS flag_thick, count(*) FILTER (WHERE flag_taper) AS flag_taper, count(*) FILTER (WHERE flag_single_slice) AS flag_single_slice, count(*) FILTER (WHERE n_flags > 0) AS all_flagged FROM aud WHERE stack_id < 2), n AS (SELECT count(*) FILTER (WHERE flag_long) AS flag_long, count(*) FILTER (WHERE flag_tortuous) AS flag_tortuous, count(*) FILTER (WHERE flag_thick) AS flag_thick, count(*) FILTER (WHERE flag_taper) AS flag_taper, count(*) FILTER (WHERE flag_single_slice) AS flag_single_slice, count(*) FILTER (WHERE n_flags > 0) AS all_flagged FROM aud WHERE stack_id >= 2), uo AS (UNPIVOT o ON COLUMNS(*) INTO NAME metric VALUE old_count), un AS (UNPIVOT n ON COLUMNS(*) INTO NAME metric VALUE new_count) SELECT metric, old_count, new_count, new_count - old_count AS delta_new_minus_old, CASE WHEN old_count = 0 THEN NULL ELSE round(100.0::double * (new_count - old_count) / old_count, 3) END AS pct_change_new_vs_old, CASE WHEN new_count < old_count THEN 'new' WHEN new_count > old_count THEN 'old' ELSE 'tie' END AS cleaner_run FROM uo FULL JOIN un USING (metric)",
-    "a_slice": f"WITH {DET}, s AS (SELECT stack_id, z_slice FROM (SELECT DISTINCT stack_id FROM det), (SELECT unnest(range(0, 33))::int AS z_slice)) SELECT stack_id, z_slice, coalesce(count(event_id), 0) AS n_spermatids, coalesce(round(avg(length_um_geodesic), 3), 0) AS mean_length_um, coalesce(round(median(length_um_geodesic), 3), 0) AS median_length_um, coalesce(round(avg(width_um), 3), 0) AS mean_width_um FROM s LEFT JOIN det USING (stack_id, z_slice) GROUP BY stack_id, z_slice",
+    "a_slice": f"WITH {DET}, s AS (SELECT stack_id, z_slice FROM (SELECT DISTINCT stack_id FROM det), (SELECT unnest(range((SELECT min(z_slice) FROM det), (SELECT max(z_slice) FROM det) + 1))::int AS z_slice)) SELECT stack_id, z_slice, coalesce(count(event_id), 0) AS n_spermatids, coalesce(round(avg(length_um_geodesic), 3), 0) AS mean_length_um, coalesce(round(median(length_um_geodesic), 3), 0) AS median_length_um, coalesce(round(avg(width_um), 3), 0) AS mean_width_um FROM s LEFT JOIN det USING (stack_id, z_slice) GROUP BY stack_id, z_slice",
     "a_slice_gui": f"WITH {DET} SELECT stack_id, z_slice, count(*) AS n_spermatids, round(median(length_um_geodesic), 3) AS median_length_um FROM det GROUP BY ALL",
     "a_pop": f"WITH {TRK}, u AS ({_pop}) SELECT metric, population, count(*) AS n, round(avg(x), 5) AS mean, round(median(x), 5) AS median, round(stddev_samp(x), 5) AS sd FROM u GROUP BY ALL",
     "a_xlstat": f"WITH {TRK}, u AS ({_desc}) SELECT metric, round(avg(x), 5) AS mean, round(median(x), 5) AS median, round(stddev_pop(x), 5) AS sd_pop FROM u GROUP BY metric",
@@ -143,7 +161,15 @@ SQL = {
     "u_all": f"WITH {DET} SELECT z_slice, count(*) AS n FROM (SELECT * FROM det WHERE stack_id < 2 UNION ALL SELECT * FROM det WHERE stack_id >= 1) GROUP BY z_slice",
     "u_distinct": f"WITH {DET} SELECT DISTINCT stack_id, z_slice FROM det",
     "j_profile": "SELECT n_nationkey, n_name, coalesce(r_name, 'General') AS profile FROM nation LEFT JOIN region r ON n_regionkey = r_regionkey",
-    "snk_zproj": f"WITH {DET} SELECT stack_id, cast(centroid_x AS int) AS x, cast(centroid_y AS int) AS y, max(area_px) AS brightest FROM det GROUP BY ALL",
+    "snk_zproj": f"WITH {DRAW} SELECT image // 1048576 AS stack_id, y, x, max(value) AS brightest FROM pix GROUP BY ALL",
+    "k_label": f"WITH RECURSIVE {DRAW}, {LABEL.format(where='true')} SELECT * FROM lab",
+    "k_hyst": f"WITH RECURSIVE {DRAW}, {LABEL.format(where='value > 107')} SELECT lab.* FROM lab SEMI JOIN (SELECT lab.image, label FROM lab JOIN pix ON pix.image = lab.image AND pix.y = lab.y AND pix.x BETWEEN lo AND hi AND value > 121) h USING (image, label)",
+    "k_props": f"WITH RECURSIVE {DRAW}, {LABEL.format(where='true')}, own AS (SELECT pix.image, label, pix.y::bigint AS y, x::bigint AS x FROM lab JOIN pix ON pix.image = lab.image AND pix.y = lab.y AND x BETWEEN lo AND hi), m AS (SELECT image, label, count(*) AS n_pixels, round(avg(y), 5) AS centroid_y, round(avg(x), 5) AS centroid_x, min(y) AS bbox_min_y, min(x) AS bbox_min_x, max(y) + 1 AS bbox_max_y, max(x) + 1 AS bbox_max_x, sum(y * y) * count(*) - sum(y) * sum(y) AS vy, sum(x * x) * count(*) - sum(x) * sum(x) AS vx, sum(x * y) * count(*) - sum(x) * sum(y) AS vxy FROM own GROUP BY image, label) SELECT image, label, n_pixels, centroid_y, centroid_x, bbox_min_y, bbox_min_x, bbox_max_y, bbox_max_x, round(CASE WHEN vx = vy THEN sign(vxy) * pi() / 4 ELSE 0.5 * atan2(2.0 * vxy::double, (vy - vx)::double) END, 5) AS orientation FROM m",
+    "k_edt": f"WITH {DRAW}, {DEPTH} SELECT * FROM dep",
+    "k_width": f"WITH RECURSIVE {DRAW}, {LABEL.format(where='true')}, {DEPTH} SELECT lab.image, label, round(median(2 * sqrt(depth2)), 5) AS width_px FROM lab JOIN dep ON dep.image = lab.image AND dep.y = lab.y AND x BETWEEN lo AND hi GROUP BY lab.image, label",
+    "k_endpt": f"WITH {DRAW}, {DEGREE} SELECT * FROM deg",
+    "k_break": f"WITH {DRAW}, {DEGREE} SELECT image, y, x FROM deg WHERE degree <= 2",
+    "a_flagcnt_bare": f"WITH {TRK} SELECT count(*) AS n_tracks, count(*) FILTER (WHERE total_3d_length_um > 15) AS long, count(*) FILTER (WHERE tortuosity_3d > 1.5) AS tortuous, count(*) FILTER (WHERE thickness_um > 2.0) AS thick, count(*) FILTER (WHERE taper_ratio > 1.5) AS taper, count(*) FILTER (WHERE n_slices < 1) AS single_slice, count(*) AS quality, 0::bigint AS all_flagged, 0::bigint AS shape_outliers FROM trk",
     "flagship": f"WITH {TRK} SELECT quality_flags, count(*) AS n_tracks, round(avg(total_3d_length_um), 5) AS mean_length_um, round(median(total_3d_length_um), 5) AS median_length_um, round(avg(tortuosity_3d), 5) AS mean_tortuosity FROM qual GROUP BY quality_flags",
 }
 SQL["a_reject"] = f"SELECT reject_reason, count(*) AS n FROM ({SQL['f_accept']}) WHERE reject_reason IS NOT NULL GROUP BY 1"

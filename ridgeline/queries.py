@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .functions import known, natural_key, z_index
-from .operators import linking, scores, segmentation, spatial, tracks
+from .operators import linking, pixels, scores, segmentation, spatial, tracks
 from .oracles import DESCRIBED, POP_ALL, POP_QUALITY
 from .params import Params
 from .plans import run_detections, tuning
@@ -19,6 +19,8 @@ Query = Callable[[SparkSession, str], DataFrame]
 P = Params()
 QUERIES: dict[str, Query] = {}
 METRICS = [*POP_ALL, *POP_QUALITY]
+#: Height and width of drawn slices, and thresholds of their pixels.
+DRAWN, HYSTERESIS = (256, 264), (107, 121)
 
 
 def query(f: Query) -> Query:
@@ -240,7 +242,8 @@ def j_profile(s, d):
 @query
 def a_slice(s, d):
     x = det(s, d)
-    slices = x.select("stack_id").distinct().withColumn("z_slice", F.explode(F.sequence(F.lit(0), F.lit(32))))
+    upto = x.agg(F.sequence(F.min("z_slice"), F.max("z_slice"))).scalar()
+    slices = x.select("stack_id").distinct().withColumn("z_slice", F.explode(upto))
     return tracks.slice_summary(slices, x)
 
 
@@ -287,6 +290,12 @@ def a_flagcnt(s, d):
     return tracks.flag_counts(qual(s, d))
 
 
+@query
+def a_flagcnt_bare(s, d):
+    """The same of a table that has measures and no flags."""
+    return tracks.flag_counts(trk(s, d), P)
+
+
 @query
 def a_funnel(s, d):
     return tracks.funnel(det(s, d), qual(s, d))
@@ -359,8 +368,7 @@ def _simple_scores(s, d):
 
 @query
 def w_conv(s, d):
-    best = F.max("score").over(Window.orderBy("stack_id").rowsBetween(Window.unboundedPreceding, 0))
-    return _simple_scores(s, d).select("stack_id", F.round(best, 5).alias("best_so_far"))
+    return tracks.running_max(_simple_scores(s, d), "stack_id", "score").select("stack_id", F.round("so_far", 5).alias("best_so_far"))
 
 
 @query
@@ -370,7 +378,7 @@ def l_best(s, d):
 
 @query
 def s_zs(s, d):
-    return det(s, d).select("stack_id", "event_id", F.row_number().over(Window.partitionBy("stack_id").orderBy("z_slice", "sperm_id")).alias("position"))
+    return tracks.positions_by(det(s, d).select("stack_id", "z_slice", "sperm_id", "event_id"), "stack_id", "z_slice", "sperm_id").select("stack_id", "event_id", "position")
 
 
 @query
@@ -409,9 +417,59 @@ def u_distinct(s, d):
     return det(s, d).select("stack_id", "z_slice").distinct()
 
 
+def drawn(s, d):
+    return pixels.drawn_pixels(det(s, d), *DRAWN)
+
+
 @query
 def snk_zproj(s, d):
-    return det(s, d).groupBy("stack_id", F.col("centroid_x").cast("int").alias("x"), F.col("centroid_y").cast("int").alias("y")).agg(F.max("area_px").alias("brightest"))
+    """The brightest pixel of each stack's drawn slices, merged tile by tile."""
+    stack = F.shiftright("image", 20).alias("stack_id")
+    tiles = pixels.pixel_tiles(drawn(s, d), "image").select(stack, "ty", "tx", "values")
+    return pixels.tile_pixels(pixels.projected(tiles, "stack_id")).select("stack_id", "y", "x", F.col("value").alias("brightest"))
+
+
+@query
+def k_label(s, d):
+    """Runs of the drawn slices' pixels with the number of their connected object."""
+    return pixels.labelled_runs(drawn(s, d))
+
+
+@query
+def k_hyst(s, d):
+    """The same for pixels above a low threshold, of objects with one above a high threshold."""
+    return pixels.strong_runs(drawn(s, d), *HYSTERESIS)
+
+
+@query
+def k_props(s, d):
+    return rounded(pixels.object_shapes(pixels.labelled_runs(drawn(s, d))), "centroid_y", "centroid_x", "orientation")
+
+
+@query
+def k_edt(s, d):
+    return pixels.squared_depths(drawn(s, d), *DRAWN)
+
+
+@query
+def k_width(s, d):
+    x = drawn(s, d)
+    return rounded(pixels.object_widths(pixels.labelled_runs(x), pixels.squared_depths(x, *DRAWN)), "width_px")
+
+
+@query
+def k_endpt(s, d):
+    return pixels.neighbour_counts(drawn(s, d)).select("image", "y", "x", "degree")
+
+
+@query
+def k_break(s, d):
+    return pixels.without_branches(drawn(s, d))
+
+
+@query
+def k_prune(s, d):
+    return pixels.pruned_pixels(drawn(s, d), P.max_branch_len_px)
 
 
 def _linked(linker: str) -> Query:

@@ -5,10 +5,14 @@ from __future__ import annotations
 import re
 from collections.abc import Iterable
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions import natural_key, z_index
+from ..lineage import settled
+from ..operators.tracks import positions_by
 
 IMAGE_SUFFIXES = ("tif", "tiff", "png", "jpg", "jpeg", "pgm", "npy")
 
@@ -70,8 +74,8 @@ def image_files(spark: SparkSession, folder: str, pattern: str = "*", recursive:
         files = spark.read.format("binaryFile").option("pathGlobFilter", glob).option("recursiveFileLookup", deep).load(folder)
         files = files.where(F.lower(F.substring_index("path", ".", -1)).isin(*IMAGE_SUFFIXES))
         if not files.isEmpty():
-            order = Window.orderBy(natural_key(F.col("path")), "path")
-            names = files.select("path").withColumn("position", F.row_number().over(order) - 1)
+            named = files.select("path", natural_key(F.col("path")).alias("key"), F.lit(0).alias("folder"))
+            names = positions_by(named, "folder", "key", "path").withColumn("position", (F.col("position") - 1).cast("int"))
             return files.join(names.select("path", z_index(F.col("path"), F.col("position")).alias("z_slice"), "position"), "path").select("path", "z_slice", "position", "content")
     raise ValueError(f"no image in {folder}")
 
@@ -79,17 +83,28 @@ def image_files(spark: SparkSession, folder: str, pattern: str = "*", recursive:
 def roi_mask(spark: SparkSession, path: str, height: int, width: int) -> DataFrame:
     """The pixels (y, x) of a region of interest, those of an image file that aren't 0. A file of another shape than the images', or
     without any such pixel, raises ValueError: a region of nothing would silently empty a run."""
+    runs = settled(spark.read.format("binaryFile").load(path).select("content").limit(1).mapInPandas(_region_runs, "height int, width int, y int, lo int, hi int"))
+    shape = runs.select("height", "width").distinct().first()
+    if shape is None or tuple(shape) != (height, width):
+        raise ValueError(f"the region is {' x '.join(map(str, shape or ()))}, the images are {height} x {width}")
+    drawn = runs.where("y IS NOT NULL")
+    if drawn.isEmpty():
+        raise ValueError("the region is empty")
+    return drawn.select("y", F.explode(F.sequence("lo", "hi")).alias("x"))
+
+
+def _region_runs(batches):
+    """The runs of pixels that aren't 0 of an image file, one row at least, which has its shape."""
     from ..operators.segmentation import decode
 
-    (row,) = spark.read.format("binaryFile").load(path).select("content").limit(1).collect()
-    image = decode(bytes(row["content"])) != 0
-    if image.shape != (height, width):
-        raise ValueError(f"the region is {image.shape[0]} x {image.shape[1]}, the images are {height} x {width}")
-    if not image.any():
-        raise ValueError("the region is empty")
-    # one image's pixels: bounded by its size
-    y, x = image.nonzero()
-    return spark.createDataFrame(list(zip(y.tolist(), x.tolist(), strict=True)), "y int, x int")
+    for batch in batches:
+        for content in batch["content"]:
+            image = decode(bytes(content)) != 0
+            edges = np.diff(np.pad(image.astype(np.int8), ((0, 0), (1, 1))), axis=1)
+            (y, lo), hi = np.nonzero(edges == 1), np.nonzero(edges == -1)[1] - 1
+            head = pd.DataFrame({"y": [None], "lo": [None], "hi": [None]})
+            rows = pd.concat([head, pd.DataFrame({"y": y, "lo": lo, "hi": hi})]).astype("Int32")
+            yield rows.assign(height=image.shape[0], width=image.shape[1])[["height", "width", "y", "lo", "hi"]]
 
 
 def slices_of(text: str) -> list[int]:

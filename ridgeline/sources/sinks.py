@@ -32,5 +32,5 @@ def write_by_flag(audit: DataFrame, folder: str, flags: list[str]) -> None:
 
 
 def write_history(history: DataFrame, folder: str) -> None:
-    """Tuning runs as JSON, best score first."""
-    history.orderBy(F.desc("score")).coalesce(1).write.json(folder)
+    """Tuning runs as JSON, best score first: the files' names follow the order, each file holds a range of scores."""
+    history.orderBy(F.desc("score")).write.json(folder)
