@@ -27,8 +27,8 @@ def _record_id(page_id: Column) -> Column:
     return F.concat(F.lit("<urn:page:"), F.coalesce(page_id.cast("string"), F.lit("none")), F.lit(">"))
 
 
-#: A payload of many pages is joined to them in so many tasks, from so many pages on.
-SALTS, SALT_FROM = 16, 1000
+#: A payload of many pages is joined to so many of them in a task.
+SALT_FROM = 1000
 
 
 def _uri(url: Column) -> Column:
@@ -69,7 +69,7 @@ def write_archive(pages: DataFrame, least: int = 0) -> tuple[DataFrame, DataFram
 
     A null html counts as empty, a null url leaves its header line out. A null page_id never is the response of others (if a
     group has no other, all its rows are responses); pages that repeat an id and a payload are records of their own. An empty
-    table makes empty tables. Only page_id, url and html are read.
+    table makes empty tables. A very long html is one row's payload. Only page_id, url and html are read, so other columns cannot clash.
     """
     payload = F.coalesce(F.col("html"), F.lit("")).cast("binary")
     pages = pages.select("page_id", "url", payload.alias("payload")).withColumn("sha256", F.unhex(F.sha2("payload", 256)))
@@ -77,7 +77,7 @@ def write_archive(pages: DataFrame, least: int = 0) -> tuple[DataFrame, DataFram
     if payloads.groupBy("sha256").count().where("count > 1").limit(1).count():
         raise ValueError("two payloads share a SHA-256 digest")
     records = pages.select("page_id", "url", "sha256", base32_of_hex(F.sha1("payload")).alias("sha1"), F.octet_length("payload").cast("bigint").alias("bytes"))
-    records = records.join(payloads.select("sha256", "response_id"), "sha256")
+    records = merged(records, payloads.select("sha256", "response_id"), "sha256")
     again = (F.col("bytes") >= least) & F.coalesce(F.col("page_id") != F.col("response_id"), F.col("response_id").isNotNull())
     headers = records.withColumn("record_type", F.when(again, "revisit").otherwise("response")).select("page_id", "sha256", _headers().cast("binary").alias("header"))
     return payloads, save(headers, "warc-headers")
@@ -86,8 +86,8 @@ def write_archive(pages: DataFrame, least: int = 0) -> tuple[DataFrame, DataFram
 def read_records(payloads: DataFrame, headers: DataFrame) -> DataFrame:
     """page_id, header and payload of every record: headers find their payload by digest; for a revisit it is what it revisits.
 
-    A payload of more than SALT_FROM pages is copied to SALTS tasks, among which its pages are dealt."""
-    salts = F.when(F.col("pages") > SALT_FROM, SALTS).otherwise(1)
+    A payload is copied once for each SALT_FROM of its pages, which are dealt among the copies."""
+    salts = F.ceil(F.col("pages") / SALT_FROM).cast("int")
     spread = payloads.select("sha256", "payload", F.explode(F.sequence(F.lit(0), salts - 1)).alias("salt"))
     dealt = merged(headers, payloads.select("sha256", "pages"), "sha256").withColumn("salt", F.pmod(F.xxhash64("header"), salts.cast("bigint")).cast("int"))
     return merged(dealt, spread, ["sha256", "salt"]).select("page_id", "sha256", "header", "payload")

@@ -10,7 +10,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import WORD, save, text_or_empty
+from .common import WORD, matched, save, text_mark, text_or_empty
 
 WEIGHTS, SHARE, CAP, BLOCK_WORDS, SEED = (5.0, 2.0, 1.0), 1.5, 2.0, 64, 20240601
 #: A source of n documents is dealt to shards of about SHARD + sqrt(n) of them: tasks and shards both grow as the root of a hot source.
@@ -111,13 +111,13 @@ def _selection(block: int, cap: float, seed: int, whole: bool):
         words = min(int(pdf["quota"].iloc[0]) * block, int(cap * int(sizes.sum())))
         rng = np.random.default_rng([seed, int(pdf["shard"].iloc[0]), *pdf["key"].iloc[0].encode()])
         taken = take_blocks(sizes, words, block, rng)
-        return pdf[["doc_id", "key", "size"]].assign(taken=whole_copies(sizes, taken, rng) * sizes if whole else taken)
+        return pdf[["doc_id", "mark", "key", "size"]].assign(taken=whole_copies(sizes, taken, rng) * sizes if whole else taken)
 
     return of_shard
 
 
 def mix_sources(docs: DataFrame, weights: Sequence[float] = WEIGHTS, share: float = SHARE, cap: float = CAP, block_words: int = BLOCK_WORDS, seed: int = SEED) -> DataFrame:
-    """doc_id, source, size, source_size, target, taken for every row of docs.
+    """doc_id, source, size, source_size, target, taken and mark (128 bits of the text's digest) for every row of docs.
 
     Sources in code-point order, null last, weigh `weights` in turn and share `share` times all words; a target stops at cap
     times its source's size. Targets are apportioned in blocks of block_words among sources and then, within a source, among its
@@ -130,7 +130,7 @@ def mix_sources(docs: DataFrame, weights: Sequence[float] = WEIGHTS, share: floa
     """
     spark = docs.sparkSession
     key = F.when(F.col("source").isNull(), F.lit("1")).otherwise(F.concat(F.lit("0"), F.col("source")))
-    sized = save(docs.select("doc_id", key.alias("key"), F.regexp_count(text_or_empty("text"), F.lit(WORD)).cast("bigint").alias("size")), "mix-sized")
+    sized = save(docs.select("doc_id", text_mark().alias("mark"), key.alias("key"), F.regexp_count(text_or_empty("text"), F.lit(WORD)).cast("bigint").alias("size")), "mix-sized")
     found = sorted(sized.groupBy("key").agg(F.sum("size").alias("words"), F.count("*").alias("docs")).toLocalIterator(), key=lambda r: r["key"])
     words = [r["words"] for r in found]
     targets = water_fill(words, [weights[i % len(weights)] for i in range(len(found))], share * sum(words), cap)
@@ -138,22 +138,23 @@ def mix_sources(docs: DataFrame, weights: Sequence[float] = WEIGHTS, share: floa
     seats = sainte_lague(targets, blocks, np.ceil(cap * np.asarray(words, float) / block_words))
     rows = [(r["key"], r["words"], float(t), int(s), max(1, int(np.ceil(r["docs"] / (SHARD + r["docs"] ** 0.5))))) for r, t, s in zip(found, targets, seats, strict=True)]
     sources = spark.createDataFrame(rows, "key string, source_size bigint, target double, seats bigint, shards int")
-    place = F.xxhash64(F.lit(seed), F.coalesce("doc_id", F.lit(-1)))
-    dealt = sized.join(sources.select("key", "shards"), "key").select("doc_id", "key", "size", F.pmod(place, F.col("shards").cast("bigint")).alias("shard"), F.xxhash64(F.lit(seed + 1), place).alias("place"))
+    # rows without an id, or with one that repeats, are told apart by their texts, so that they don't fall in one shard
+    place = F.xxhash64(F.lit(seed), F.coalesce("doc_id", F.lit(-1)), "mark")
+    dealt = sized.join(sources.select("key", "shards"), "key").select("doc_id", "mark", "key", "size", F.pmod(place, F.col("shards").cast("bigint")).alias("shard"), F.xxhash64(F.lit(seed + 1), place).alias("place"))
     totals = dealt.groupBy("key", "shard").agg(F.sum("size").alias("words")).join(sources.select("key", "seats"), "key")
     quotas = save(totals.groupBy("key").applyInPandas(_quotas(block_words, cap), "key string, shard bigint, words bigint, quota bigint"), "mix-quotas")
-    taken = dealt.join(quotas.select("key", "shard", "quota"), ["key", "shard"]).groupBy("key", "shard").applyInPandas(_selection(block_words, cap, seed, block_words > BLOCK_WORDS), "doc_id bigint, key string, size bigint, taken bigint")
+    taken = dealt.join(quotas.select("key", "shard", "quota"), ["key", "shard"]).groupBy("key", "shard").applyInPandas(_selection(block_words, cap, seed, block_words > BLOCK_WORDS), "doc_id bigint, mark binary, key string, size bigint, taken bigint")
     out = taken.join(sources.select("key", "source_size", "target"), "key")
-    return out.select("doc_id", F.when(F.col("key") != "1", F.substr("key", F.lit(2))).alias("source"), "size", "source_size", "target", "taken")
+    return out.select("doc_id", F.when(F.col("key") != "1", F.substr("key", F.lit(2))).alias("source"), "size", "source_size", "target", "taken", "mark")
 
 
 def repeat_documents(docs: DataFrame, taken: DataFrame) -> DataFrame:
     """The mix as whole documents: each row of docs as often as the plan takes it, one of blocks over BLOCK_WORDS (the words of
     any other are rounded half up for each document alone, which is biased against long ones).
 
-    docs are matched by doc_id; rows that share one share its plan. Documents without words are not part of a mix."""
-    copies = taken.where("size > 0").groupBy(F.col("doc_id").alias("__mix_id")).agg(F.max(F.floor(F.col("taken") / F.col("size") + 0.5)).alias("__mix_copies"))
-    # one plan at every size: the plan's rows grow with docs, so they are never broadcast
-    joined = docs.join(copies.hint("merge"), docs["doc_id"].eqNullSafe(copies["__mix_id"])).where("__mix_copies > 0")
-    return joined.withColumn("__mix_copy", F.explode(F.sequence(F.lit(1), F.col("__mix_copies").cast("int")))).select(*[docs[c] for c in docs.columns])
-
+    docs are matched by doc_id and text; rows that share both share the mean of their plans, rounded half up. Documents without words are not part of a mix."""
+    per = taken.where("size > 0").groupBy(F.col("doc_id").alias("__mix_id"), F.col("mark").alias("__mix_mark"))
+    copies = per.agg(F.floor(F.avg(F.floor(F.col("taken") / F.col("size") + 0.5)) + 0.5).cast("int").alias("__mix_copies")).where("__mix_copies > 0")
+    held = docs.withColumn("__mix_own", text_mark())
+    joined = matched(held, copies, held["doc_id"].eqNullSafe(copies["__mix_id"]) & (held["__mix_own"] == copies["__mix_mark"]))
+    return joined.withColumn("__mix_copy", F.explode(F.sequence(F.lit(1), F.col("__mix_copies")))).select(*[held[c] for c in docs.columns])

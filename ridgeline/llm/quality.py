@@ -13,8 +13,8 @@ from pyspark.sql import functions as F
 from .common import blocks, mix64, run_hashes, save, settings, text_bytes, text_or_empty
 
 BUCKETS, WIDTH, GRAMS, RECENT = 1 << 18, 16, (3, 5), 8
-#: At most so many labelled rows are learnt from, those whose hashed ids come first: their features, a few kB each, are all that reaches the driver.
-TRAIN_ROWS = 2000
+#: At most so many labelled rows, and so many bytes of their features, are learnt from, those whose hashed ids come first: this is all that reaches the driver.
+TRAIN_ROWS, TRAIN_BYTES = 2000, 256 << 20
 EPOCHS, RATE, SEED = 12, 8.0, 7
 #: Rows whose crc32(doc_id) has this remainder by 3 are held out.
 HELD_OUT = 1
@@ -123,10 +123,17 @@ def train(docs: DataFrame, labels: DataFrame, rows: int = TRAIN_ROWS) -> Model:
     ids, and labels without a document teach nothing; of contradicting labels of a document the lower counts."""
     usable = labels.where(F.col("quality").isin(0, 1) & F.col("doc_id").isNotNull() & ~is_held_out()).groupBy("doc_id").agg(F.min("quality").alias("quality"))
     sample = usable.orderBy(F.xxhash64("doc_id"), "doc_id").limit(rows)
-    # the sample has `rows` rows of 12 bytes at most
+    # the sample has `rows` rows of 12 bytes at most; of what is learnt from, TRAIN_BYTES come to the driver at most, in the same order
     joined = docs.select("doc_id", text_or_empty("text").alias("text")).join(F.broadcast(sample), "doc_id").select("doc_id", F.col("quality").cast("int"), "text")
+    made = save(joined.mapInArrow(_feature_batches, "doc_id bigint, quality int, found binary, times binary"), "quality-sample")
+    place = F.struct(F.xxhash64("doc_id").alias("at"), "doc_id")
+    sizes = sorted(tuple(r) for r in made.select(place["at"], "doc_id", (F.octet_length("found") + F.octet_length("times")).cast("bigint")).collect())
+    fits = int(np.searchsorted(np.cumsum([n for *_, n in sizes], dtype=np.int64), TRAIN_BYTES, "right"))
+    if fits < len(sizes):
+        at, doc_id, _ = sizes[fits]
+        made = made.where(place < F.struct(F.lit(at).alias("at"), F.lit(doc_id).alias("doc_id")))
     with settings(docs.sparkSession, spark__sql__execution__arrow__maxRecordsPerBatch="1000"):
-        got = joined.mapInArrow(_feature_batches, "doc_id bigint, quality int, found binary, times binary").toArrow()
+        got = made.toArrow()
     order = np.argsort(got.column("doc_id").to_numpy(), kind="stable")
     found, times, quality = (got.column(c).to_pylist() for c in ("found", "times", "quality"))
     return fit([(np.frombuffer(found[i], "<u4").astype(np.int64), np.frombuffer(times[i], "<u4"), quality[i]) for i in order])
@@ -170,6 +177,9 @@ def keep_good(docs: DataFrame, model: Model, threshold: float = 0.5) -> DataFram
 
 
 def classify(docs: DataFrame, labels: DataFrame) -> DataFrame:
-    """What the query returns: doc_id, held_out, score, predicted for every row of docs (none for an empty table)."""
+    """What the query returns: doc_id, held_out, score, predicted for every row of docs (none for an empty table).
+
+    Each row is scored by its own whole text, however long, so rows that repeat an id or a text are scored alike and null ids like others; null, empty and
+    blank texts get the score of no evidence. Only doc_id and text are read, so other columns cannot clash."""
     scored = score_documents(docs, train(docs, labels))
     return scored.select("doc_id", is_held_out().alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))
