@@ -60,27 +60,28 @@ def matched_pairs(edges: DataFrame, nearest_only: bool = False) -> DataFrame:
     # a detection that nothing leads to opens a track
     start = edges.withColumn("tied", same).join(ends.withColumnRenamed("id", "a"), ["stack_id", "a"], "left")
     left = start.select("stack_id", "a", "b", "score", "allowed", F.when(F.col("later").isNull(), F.col("a")).alias("root"), "tied", F.lit(False).alias("taken"))
-    left, pairs, old, pending, fresh = settled(left), [], [], None, None
-    old.append(left)
-    track = not left.where("tied").isEmpty()
-    while not left.isEmpty():
+    left, pairs, state = settled(left), [], None
+    old, counts = [left], left.agg(F.count("*").alias("n"), F.count_if("tied").alias("unknown")).first()
+    track = counts["unknown"] > 0
+    while counts["n"]:
         done = settled(_judged(left, nearest_only))
         pairs.append(done.where("accepted").select("stack_id", "b", "a"))
         left = done.where("NOT gone").select("stack_id", "a", "b", "score", "allowed", "root", "tied", "taken")
-        track = track and not left.where("tied AND root IS NULL").isEmpty()
+        counts = left.agg(F.count("*").alias("n"), F.count_if(F.col("tied") & F.col("root").isNull()).alias("unknown")).first()
+        old.append(done)
+        track = track and counts["unknown"] > 0
         if track:
-            alone = done.where("final AND NOT b_found").select("stack_id", F.col("b").alias("id"), F.col("b").alias("root")).distinct()
-            known = done.where("accepted AND root IS NOT NULL").select("stack_id", F.col("b").alias("id"), "root")
-            waiting = done.where("accepted AND root IS NULL").select("stack_id", "b", "a")
-            if fresh is not None:
-                on = fresh.withColumnRenamed("id", "a")
-                known = known.unionAll(pending.join(on, ["stack_id", "a"]).select("stack_id", F.col("b").alias("id"), "root"))
-                waiting = waiting.unionAll(pending.join(on, ["stack_id", "a"], "left_anti").select("stack_id", "b", "a"))
-            fresh, pending = settled(alone.unionAll(known)), settled(waiting)
-            old += [fresh, pending]
-            found = fresh.select("stack_id", F.col("id").alias("a"), F.col("root").alias("found"))
+            # what became final, with its track's first detection, or null as long as that of the one it goes on from isn't known
+            alone = done.where("final AND NOT b_found").select("stack_id", F.col("b").alias("id"), F.lit(None).cast("bigint").alias("a"), F.col("b").alias("root")).distinct()
+            news = alone.unionAll(done.where("accepted").select("stack_id", F.col("b").alias("id"), "a", "root"))
+            if state is not None:
+                known = state.where("root IS NOT NULL").select("stack_id", F.col("id").alias("a"), F.col("root").alias("found"))
+                waiting = state.where("root IS NULL").select("stack_id", "id", "a").join(known, ["stack_id", "a"], "left")
+                news = news.unionAll(waiting.select("stack_id", "id", "a", F.col("found").alias("root")))
+            state = settled(news)
+            old.append(state)
+            found = state.where("root IS NOT NULL").select("stack_id", F.col("id").alias("a"), F.col("root").alias("found"))
             left = left.join(found, ["stack_id", "a"], "left").select("stack_id", "a", "b", "score", "allowed", F.coalesce("root", "found").alias("root"), "tied", "taken")
-        old.append(done)
     if not pairs:
         return edges.select("stack_id", "b", "a").limit(0)
     whole = pairs[0]
