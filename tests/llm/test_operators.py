@@ -350,7 +350,7 @@ def test_quality(odd, empty, spark):
 @pytest.mark.parametrize("name", sorted(registry.oracle_sql()))
 def test_query_equals_sql(spark, sf_dir, name):
     c = duckdb.connect()
-    for t in ("documents", "pages", "conversations"):
+    for t in ("documents", "labels", "pages", "conversations"):
         c.execute(f"create view {t} as select * from '{sf_dir}/{t}.parquet'")
     got = registry.queries()[name](spark, sf_dir)
     assert as_tuples(got) == Counter(c.execute(f"select {', '.join(got.columns)} from ({registry.oracle_sql()[name]})").fetchall())
