@@ -53,6 +53,20 @@ pix AS (
            least(greatest(cast(floor(centroid_x + along * sin(orientation) + 0.5) AS int), 0), 263) AS x, cast(100 + area_px AS int) AS value
     FROM (SELECT *, unnest(range(0, 2 * cast(ceil(length_um_geodesic) AS bigint)))::double / 2 - length_um_geodesic / 2 AS along FROM det) WHERE along < length_um_geodesic / 2)
   GROUP BY image, y, x)"""
+#: Steps along an axis and across are counted in 1e-8 pixels. The two sweeps keep the least distance of each pixel.
+TOPO = """own AS (SELECT pix.image, label, pix.y::bigint AS y, pix.x::bigint AS x FROM lab JOIN pix ON pix.image = lab.image AND pix.y = lab.y AND pix.x BETWEEN lo AND hi),
+link AS (SELECT a.image, a.label, a.y AS ay, a.x AS ax, b.y AS by, b.x AS bx, CASE WHEN dy <> 0 AND dx <> 0 THEN 141421356 ELSE 100000000 END::bigint AS cost
+         FROM own a JOIN (SELECT dy, dx FROM (SELECT unnest([-1, 0, 1]) AS dy), (SELECT unnest([-1, 0, 1]) AS dx) WHERE dy <> 0 OR dx <> 0) ON true JOIN own b ON b.image = a.image AND b.y = a.y + dy AND b.x = a.x + dx),
+deg AS (SELECT own.image, own.label, y, x, count(cost) AS n, coalesce(sum(cost), 0) AS steps FROM own LEFT JOIN link ON link.image = own.image AND ay = y AND ax = x GROUP BY ALL),
+fact AS (SELECT image, label, count(*) AS n_pixels, count(*) FILTER (WHERE n = 1) AS n_endpoints, count(*) FILTER (WHERE n > 2) AS n_branch_nodes, sum(steps)::bigint AS steps, min(row(y, x)) FILTER (WHERE n = 1) AS ending FROM deg GROUP BY ALL),
+one (image, label, y, x, d) USING KEY (image, y, x) AS (SELECT image, label, ending[1], ending[2], 0::bigint FROM fact WHERE ending IS NOT NULL
+     UNION SELECT l.image, l.label, l.by, l.bx, min(s.d + l.cost) FROM one s JOIN link l ON l.image = s.image AND l.ay = s.y AND l.ax = s.x LEFT JOIN recurring.one o ON o.image = l.image AND o.y = l.by AND o.x = l.bx WHERE o.d IS NULL OR s.d + l.cost < o.d GROUP BY ALL),
+far AS (SELECT image, label, y, x FROM one QUALIFY row_number() OVER (PARTITION BY image, label ORDER BY d DESC, y, x) = 1),
+two (image, label, y, x, d) USING KEY (image, y, x) AS (SELECT image, label, y, x, 0::bigint FROM far
+     UNION SELECT l.image, l.label, l.by, l.bx, min(s.d + l.cost) FROM two s JOIN link l ON l.image = s.image AND l.ay = s.y AND l.ax = s.x LEFT JOIN recurring.two o ON o.image = l.image AND o.y = l.by AND o.x = l.bx WHERE o.d IS NULL OR s.d + l.cost < o.d GROUP BY ALL),
+way AS (SELECT two.image, two.label, two.d, sqrt((two.y - far.y) ** 2 + (two.x - far.x) ** 2) AS straight FROM two JOIN far USING (image, label) QUALIFY row_number() OVER (PARTITION BY two.image, two.label ORDER BY two.d DESC, two.y, two.x) = 1)
+SELECT image, label, n_pixels, round(CASE WHEN ending IS NULL THEN steps / 2e8 ELSE d / 1e8 END, 5) AS length_px_geodesic, round(CASE WHEN ending IS NULL THEN 1 ELSE d / 1e8 / (straight + 1e-9) END, 5) AS tortuosity, n_endpoints, n_branch_nodes, ending IS NULL AS has_loop
+FROM fact LEFT JOIN way USING (image, label)"""
 LABEL = """isl AS (SELECT image, y, x, x - row_number() OVER (PARTITION BY image, y ORDER BY x) AS g FROM pix WHERE {where}),
 run AS (SELECT image, y, min(x) AS lo, max(x) AS hi, y * 4294967296::bigint + min(x) AS node FROM isl GROUP BY image, y, g),
 adj AS (SELECT a.image, a.node AS a, b.node AS b FROM run a JOIN run b ON a.image = b.image AND (b.y = a.y + 1 OR b.y = a.y - 1) AND b.lo <= a.hi + 1 AND b.hi >= a.lo - 1),
@@ -167,6 +181,7 @@ SQL = {
     "k_props": f"WITH RECURSIVE {DRAW}, {LABEL.format(where='true')}, own AS (SELECT pix.image, label, pix.y::bigint AS y, x::bigint AS x FROM lab JOIN pix ON pix.image = lab.image AND pix.y = lab.y AND x BETWEEN lo AND hi), m AS (SELECT image, label, count(*) AS n_pixels, round(avg(y), 5) AS centroid_y, round(avg(x), 5) AS centroid_x, min(y) AS bbox_min_y, min(x) AS bbox_min_x, max(y) + 1 AS bbox_max_y, max(x) + 1 AS bbox_max_x, sum(y * y) * count(*) - sum(y) * sum(y) AS vy, sum(x * x) * count(*) - sum(x) * sum(x) AS vx, sum(x * y) * count(*) - sum(x) * sum(y) AS vxy FROM own GROUP BY image, label) SELECT image, label, n_pixels, centroid_y, centroid_x, bbox_min_y, bbox_min_x, bbox_max_y, bbox_max_x, round(CASE WHEN vx = vy THEN sign(vxy) * pi() / 4 ELSE 0.5 * atan2(2.0 * vxy::double, (vy - vx)::double) END, 5) AS orientation FROM m",
     "k_edt": f"WITH {DRAW}, {DEPTH} SELECT * FROM dep",
     "k_width": f"WITH RECURSIVE {DRAW}, {LABEL.format(where='true')}, {DEPTH} SELECT lab.image, label, round(median(2 * sqrt(depth2)), 5) AS width_px FROM lab JOIN dep ON dep.image = lab.image AND dep.y = lab.y AND x BETWEEN lo AND hi GROUP BY lab.image, label",
+    "k_topo": f"WITH RECURSIVE {DRAW}, {LABEL.format(where='true')}, {TOPO}",
     "k_endpt": f"WITH {DRAW}, {DEGREE} SELECT * FROM deg",
     "k_break": f"WITH {DRAW}, {DEGREE} SELECT image, y, x FROM deg WHERE degree <= 2",
     "a_flagcnt_bare": f"WITH {TRK} SELECT count(*) AS n_tracks, count(*) FILTER (WHERE total_3d_length_um > 15) AS long, count(*) FILTER (WHERE tortuosity_3d > 1.5) AS tortuous, count(*) FILTER (WHERE thickness_um > 2.0) AS thick, count(*) FILTER (WHERE taper_ratio > 1.5) AS taper, count(*) FILTER (WHERE n_slices < 1) AS single_slice, count(*) AS quality, 0::bigint AS all_flagged, 0::bigint AS shape_outliers FROM trk",

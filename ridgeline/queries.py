@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .functions import known, natural_key, z_index
-from .operators import linking, pixels, scores, segmentation, spatial, tracks
+from .operators import linking, pixels, scores, segmentation, skeletons, spatial, tracks
 from .oracles import DESCRIBED, POP_ALL, POP_QUALITY
 from .params import Params
 from .plans import run_detections, tuning
@@ -457,6 +457,12 @@ def k_width(s, d):
     return rounded(pixels.object_widths(pixels.labelled_runs(x), pixels.squared_depths(x, *DRAWN)), "width_px")
 
 
+@query
+def k_topo(s, d):
+    """Geodesic lengths, ends and branches of the drawn strokes' objects, taken as skeletons."""
+    return rounded(skeletons.skeleton_measures(drawn(s, d)), "length_px_geodesic", "tortuosity")
+
+
 @query
 def k_endpt(s, d):
     return pixels.neighbour_counts(drawn(s, d)).select("image", "y", "x", "degree")
