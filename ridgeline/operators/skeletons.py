@@ -84,7 +84,7 @@ def _spread(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
 
 def _tiled(state: DataFrame) -> DataFrame:
     tile = [F.col("image"), F.floor(F.col("y") / SIDE), F.floor(F.col("x") / SIDE)]
-    return state.repartition(*tile).sortWithinPartitions(*tile).mapInPandas(_spread, state.schema)
+    return state.repartition(*tile).sortWithinPartitions(*tile, "y", "x").mapInPandas(_spread, state.schema)
 
 
 def farthest_pixels(pixels: DataFrame, starts: DataFrame) -> DataFrame:

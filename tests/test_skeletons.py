@@ -60,14 +60,14 @@ def test_rings_can_be_left_out(spark):
 
 def test_ways_through_many_tiles_and_batches(spark):
     spiral, y, x, turn = np.zeros((61, 61), bool), 30, 30, 0
-    for leg in range(2, 18, 2):
+    for leg in range(2, 12, 2):
         for _ in range(leg):
             spiral[y, x] = True
             y, x = y + (0, 1, 0, -1)[turn % 4], x + (1, 0, -1, 0)[turn % 4]
         turn += 1
     rows = [(0, int(a) - 30, int(b) + 98, 1) for a, b in np.argwhere(spiral)]  # rows above the origin too
     table = spark.createDataFrame(rows, "image bigint, y int, x int, value int")
-    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", 30)
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", 12)
     try:
         got = skeletons.skeleton_measures(table).collect()
     finally:
