@@ -66,16 +66,21 @@ def components(edges: DataFrame) -> DataFrame:
     return tops if tops is not None else edges.select("stack_id", F.col("b").alias("node"), F.col("a").alias("root"))
 
 
-def labelled_runs(pixels: DataFrame) -> DataFrame:
-    """(image, y, lo, hi, label): runs with their 8-connected component, numbered in each image from 1 in raster order of first pixels."""
+def rooted_runs(pixels: DataFrame) -> DataFrame:
+    """(image, y, lo, hi, root): runs with their 8-connected component, named by the place of its first pixel in raster order (row above 32 bits of column)."""
     node = F.shiftleft(F.col("y").cast("bigint"), 32) + F.col("lo")
     runs = settled(pixel_runs(pixels).withColumn("node", node))
     low = runs.select("image", (F.col("y") + 1).alias("y"), F.col("lo").alias("above_lo"), F.col("hi").alias("above_hi"), F.col("node").alias("a"))
     met = runs.join(low, ["image", "y"]).where("lo <= above_hi + 1 AND hi >= above_lo - 1")
     roots = components(met.select(F.col("image").alias("stack_id"), "a", F.col("node").alias("b")))
     rooted = runs.join(roots.select(F.col("stack_id").alias("image"), "node", "root"), ["image", "node"], "left").withColumn("root", F.coalesce("root", "node"))
+    return rooted.select("image", "y", "lo", "hi", "root")
+
+
+def labelled_runs(pixels: DataFrame) -> DataFrame:
+    """(image, y, lo, hi, label): runs with their 8-connected component, numbered in each image from 1 in raster order of first pixels."""
     number = F.dense_rank().over(Window.partitionBy("image").orderBy("root"))
-    return rooted.withColumn("label", number).select("image", "y", "lo", "hi", "label")
+    return rooted_runs(pixels).withColumn("label", number).select("image", "y", "lo", "hi", "label")
 
 
 def run_pixels(runs: DataFrame) -> DataFrame:

@@ -112,6 +112,20 @@ _pop = " UNION ALL ".join([_stats(m, "qual", ", 'all' AS population") for m in P
 _desc = " UNION ALL ".join(_stats(m, "trk") for m in DESCRIBED)
 _cols = "round(total_3d_length_um, 5) AS total_3d_length_um, round(z_extent_um, 5) AS z_extent_um, round(volume_um3, 5) AS volume_um3, round(tortuosity_3d, 5) AS tortuosity_3d, round(thickness_um, 5) AS thickness_um, round(pitch_deg, 5) AS pitch_deg, round(yaw_deg, 5) AS yaw_deg, round(taper_ratio, 5) AS taper_ratio, n_slices, z_start, z_end, max_length_2d, sum_area_px"
 
+#: Edits in SQL, another way than rounds: a part of an object at a step is what pixels cut later than it reach, and a list of erasures made so far goes along.
+EDITS = """edits AS (SELECT stack_id::bigint * 1048576 + z_slice AS image, event_id AS step, CASE WHEN width_um >= 1.3 THEN 'erase' ELSE 'split' END AS tool, centroid_y::int AS y, centroid_x::int AS x FROM det WHERE width_um >= 1.3 OR tortuosity >= 1.4),
+off AS (SELECT a.i::int AS dy, b.i::int AS dx FROM range(-2, 3) a(i), range(-2, 3) b(i)),
+near AS (SELECT dy, dx FROM off WHERE abs(dy) < 2 AND abs(dx) < 2),
+cut AS (SELECT p.image, p.y, p.x, min(step) AS step FROM edits e JOIN off ON dy * dy + dx * dx < 6.25 JOIN pix p ON p.image = e.image AND p.y = e.y + dy AND p.x = e.x + dx WHERE tool = 'split' GROUP BY p.image, p.y, p.x),
+aged AS (SELECT pix.image, pix.y, pix.x, coalesce(cut.step, 9223372036854775807) AS age FROM pix LEFT JOIN cut USING (image, y, x)),
+era AS (SELECT *, row_number() OVER (PARTITION BY image ORDER BY step) AS n FROM edits WHERE tool = 'erase'),
+spot AS (SELECT e.image, e.step, e.n, CASE WHEN dy = 0 AND dx = 0 THEN 0 ELSE 1 + (1 - dy) * 3 + dx + 1 END AS place, a.y, a.x FROM era e JOIN near ON true JOIN aged a ON a.image = e.image AND a.y = e.y + dy AND a.x = e.x + dx WHERE age > e.step),
+part AS (SELECT image, step, n, place, y, x FROM spot UNION SELECT p.image, p.step, p.n, p.place, a.y, a.x FROM part p JOIN near ON true JOIN aged a ON a.image = p.image AND a.y = p.y + dy AND a.x = p.x + dx AND a.age > p.step),
+foe AS (SELECT s.image, s.n, s.place, list(p.n * 16 + p.place) FILTER (WHERE p.n IS NOT NULL) AS foes FROM spot s LEFT JOIN part p ON p.image = s.image AND p.y = s.y AND p.x = s.x AND p.n < s.n GROUP BY s.image, s.n, s.place),
+made AS (SELECT DISTINCT image, 0::bigint AS n, []::bigint[] AS done FROM era UNION ALL SELECT m.image, m.n + 1, list_append(m.done, (m.n + 1) * 16 + min(f.place)) FROM made m JOIN era e ON e.image = m.image AND e.n = m.n + 1 LEFT JOIN foe f ON f.image = m.image AND f.n = m.n + 1 AND NOT list_has_any(coalesce(f.foes, []::bigint[]), m.done) GROUP BY m.image, m.n, m.done),
+hit AS (SELECT p.image, p.y, p.x, min(p.step) AS step FROM made JOIN part p ON p.image = made.image AND p.n = made.n AND made.done[-1] = p.n * 16 + p.place GROUP BY p.image, p.y, p.x),
+fate AS (SELECT pix.image, pix.y, pix.x, hit.step AS erased, cut.step AS cut FROM pix LEFT JOIN cut USING (image, y, x) LEFT JOIN hit USING (image, y, x))"""
+
 SQL = {
     "src_zidx": f"WITH {DET} SELECT event_id, CASE WHEN event_id % 3 = 2 THEN NULL WHEN event_id % 3 = 0 THEN z_slice ELSE event_id::int END AS z_index FROM det WHERE event_id % 3 <> 2 UNION ALL SELECT event_id, -1 FROM det WHERE event_id % 3 = 2",
     "src_one": f"WITH {DET} SELECT event_id, stack_id, z_slice, sperm_id FROM det WHERE z_slice = 15",
@@ -184,6 +198,7 @@ SQL = {
     "k_topo": f"WITH RECURSIVE {DRAW}, {LABEL.format(where='true')}, {TOPO}",
     "k_endpt": f"WITH {DRAW}, {DEGREE} SELECT * FROM deg",
     "k_break": f"WITH {DRAW}, {DEGREE} SELECT image, y, x FROM deg WHERE degree <= 2",
+    "k_manual": f"WITH RECURSIVE {DRAW}, {EDITS} SELECT image, y, x, least(erased, cut) AS removed_step, CASE WHEN erased < coalesce(cut, erased + 1) THEN 'erase' WHEN cut IS NOT NULL THEN 'split' END AS removed_tool FROM fate",
     "a_flagcnt_bare": f"WITH {TRK} SELECT count(*) AS n_tracks, count(*) FILTER (WHERE total_3d_length_um > 15) AS long, count(*) FILTER (WHERE tortuosity_3d > 1.5) AS tortuous, count(*) FILTER (WHERE thickness_um > 2.0) AS thick, count(*) FILTER (WHERE taper_ratio > 1.5) AS taper, count(*) FILTER (WHERE n_slices < 1) AS single_slice, count(*) AS quality, 0::bigint AS all_flagged, 0::bigint AS shape_outliers FROM trk",
     "flagship": f"WITH {TRK} SELECT quality_flags, count(*) AS n_tracks, round(avg(total_3d_length_um), 5) AS mean_length_um, round(median(total_3d_length_um), 5) AS median_length_um, round(avg(tortuosity_3d), 5) AS mean_tortuosity FROM qual GROUP BY quality_flags",
 }

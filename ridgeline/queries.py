@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .functions import known, natural_key, z_index
-from .operators import linking, pixels, scores, segmentation, skeletons, spatial, tracks
+from .operators import edits, linking, pixels, scores, segmentation, skeletons, spatial, tracks
 from .oracles import DESCRIBED, POP_ALL, POP_QUALITY
 from .params import Params
 from .plans import run_detections, tuning
@@ -478,6 +478,16 @@ def k_prune(s, d):
     return pixels.pruned_pixels(drawn(s, d), P.max_branch_len_px)
 
 
+@query
+def k_manual(s, d):
+    """The drawn slices after a log of corrections, clicked at detections in the order of events: thick ones erased, tortuous ones cut.
+
+    Every pixel, with the log row that took it away."""
+    tool = F.when(F.col("width_um") >= 1.3, "erase").when(F.col("tortuosity") >= 1.4, "split")
+    log = det(s, d).select(pixels.image_number().alias("image"), F.col("event_id").alias("step"), tool.alias("tool"), F.col("centroid_y").alias("y"), F.col("centroid_x").alias("x"))
+    return edits.replayed(drawn(s, d), log, *DRAWN)
+
+
 def _linked(linker: str) -> Query:
     return lambda s, d: linking.link(det(s, d), P, linker).select("event_id", "stack_id", "track_no")
 
