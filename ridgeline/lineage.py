@@ -34,6 +34,11 @@ def settled(df: DataFrame) -> DataFrame:
     return out
 
 
+def shared_path(df: DataFrame, name: str) -> str:
+    """A path that isn't used yet in the folder that all executors share."""
+    return f"{_folder(df)}/{name}-{uuid.uuid4().hex}"
+
+
 def forget(*frames: DataFrame) -> None:
     """Delete the files behind settled frames that nothing reads any more."""
     for df in frames:

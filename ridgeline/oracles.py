@@ -203,3 +203,4 @@ SQL = {
     "flagship": f"WITH {TRK} SELECT quality_flags, count(*) AS n_tracks, round(avg(total_3d_length_um), 5) AS mean_length_um, round(median(total_3d_length_um), 5) AS median_length_um, round(avg(tortuosity_3d), 5) AS mean_tortuosity FROM qual GROUP BY quality_flags",
 }
 SQL["a_reject"] = f"SELECT reject_reason, count(*) AS n FROM ({SQL['f_accept']}) WHERE reject_reason IS NOT NULL GROUP BY 1"
+SQL["snk_labels"] = SQL["k_label"]

@@ -10,10 +10,12 @@ from pyspark.sql import functions as F
 
 from .functions import known, natural_key, z_index
 from .operators import edits, linking, pixels, scores, segmentation, skeletons, spatial, tracks
+from .lineage import shared_path
 from .oracles import DESCRIBED, POP_ALL, POP_QUALITY
 from .params import Params
 from .plans import run_detections, tuning
 from .sources import detections, pick_slices, slice_gaps, table, with_cell_track
+from .sources.label_images import read_label_images, write_label_images
 
 Query = Callable[[SparkSession, str], DataFrame]
 P = Params()
@@ -435,6 +437,15 @@ def k_label(s, d):
     return pixels.labelled_runs(drawn(s, d))
 
 
+@query
+def snk_labels(s, d):
+    """The same as label images: written to files, one an image, and read back."""
+    runs = pixels.labelled_runs(drawn(s, d))
+    path = shared_path(runs, "labels")
+    write_label_images(runs, path, *DRAWN)
+    return read_label_images(s, path)
+
+
 @query
 def k_hyst(s, d):
     """The same for pixels above a low threshold, of objects with one above a high threshold."""
