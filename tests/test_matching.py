@@ -5,9 +5,10 @@ from collections import defaultdict
 
 import pytest
 from greedy import fold
+from pyspark.sql import functions as F
 
 from ridgeline import sources
-from ridgeline.operators import linking
+from ridgeline.operators import linking, spatial
 from ridgeline.operators.matching import PLACE_BITS, chain_roots, matched_pairs, numbered_tracks
 from ridgeline.params import Params
 
@@ -74,3 +75,13 @@ def test_linkers_equal_the_fold(spark, sf_dir, linker):
     got = linking.link(d, P, linker)
     assert {rows[r["event_id"]]: r["track_no"] for r in got.collect()} == expected
     assert "InPandas" not in got._jdf.queryExecution().toString()
+
+
+def _no_broadcast(df):
+    return "Broadcast" not in df._jdf.queryExecution().executedPlan().toString()
+
+
+def test_near_pairs_are_dealt_by_cell(spark):
+    """Rows of either side, however few they are by estimate, don't go through the driver."""
+    d = sources.detections(spark, "/root/testdata/sf0.001").withColumn("id", F.col("event_id"))
+    assert _no_broadcast(spatial.nearest_before(d, P)) and _no_broadcast(spatial.nearest_in_previous_slice(d, P)) and _no_broadcast(spatial.candidate_edges(d, P))
