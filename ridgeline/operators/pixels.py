@@ -2,12 +2,18 @@
 
 A pixel is (image, y, x), a run (image, y, lo, hi) of neighbouring pixels of one row. Images are only a key here, so all objects of
 all images are worked on at once, and a large image is no larger piece of work than many small ones. Null coordinates are no pixels; repeated ones count once.
+
+Pixels are dealt in bands of rows (row_band). What happens inside a band, with some rows of the bands beside it where needed, is windows and grouped sums of one
+task, without another shuffle; only what crosses bands is joined. parts is the number of tasks that pixels are dealt to, spark.sql.shuffle.partitions if not given.
 """
 
 from __future__ import annotations
 
 import math
+from collections.abc import Iterator
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -17,6 +23,12 @@ from .matching import chain_roots
 PIXEL = ["image", "y", "x"]
 #: A tile's side: its values are so many partial maxima, squared.
 TILE = 8
+#: Rows of a band at least, and detections whose strokes are dealt to a task.
+BAND, STROKES = 64, 20_000
+#: From a pixel's position (row above 32 bits of column) to that of the row below.
+ROW = 1 << 32
+#: Rounds of pruning that are planned at once.
+ROUNDS = 8
 #: Slices to a stack in an image's number, at most.
 SLICES = 1 << 20
 
@@ -25,23 +37,68 @@ def image_number(stack: str = "stack_id", z: str = "z_slice") -> Column:
     return F.col(stack).cast("bigint") * SLICES + F.col(z)
 
 
+def parts_of(d: DataFrame) -> int:
+    """Tasks for the pixels of so many detections: so many that a task's share does not grow with the table."""
+    return max(int(d.sparkSession.conf.get("spark.sql.shuffle.partitions")), d.count() // STROKES + 1)
+
+
 def drawn_pixels(d: DataFrame, height: int = 256, width: int = 264) -> DataFrame:
-    """(image, y, x, value): detections as strokes along their orientation, brighter where their area is larger; the brightest stays."""
-    steps = F.sequence(F.lit(0), F.ceil("length_um_geodesic").cast("int") * 2 - 1)
-    at = F.col("step") / 2 - F.col("length_um_geodesic") / 2
-    place = lambda c, along, size: F.least(F.greatest(F.floor(F.col(c) + at * along(F.col("orientation")) + 0.5), F.lit(0)), F.lit(size - 1)).cast("int")
-    rows = d.select(image_number().alias("image"), "centroid_y", "centroid_x", "orientation", "length_um_geodesic", "area_px", F.explode(steps).alias("step"))
-    points = rows.where(at < F.col("length_um_geodesic") / 2).select("image", place("centroid_y", F.cos, height).alias("y"), place("centroid_x", F.sin, width).alias("x"), (100 + F.col("area_px")).cast("int").alias("value"))
-    return points.groupBy(*PIXEL).agg(F.max("value").alias("value"))
+    """(image, row_band, y, x, value): detections as strokes along their orientation, brighter where their area is larger; the brightest stays.
 
+    Detections are dealt to the bands that they cross, and drawn there, so that only they are shuffled and not their pixels."""
+    half = F.col("length_um_geodesic") / 2
+    place = lambda c, along, at, size: F.least(F.greatest(F.floor(F.col(c) + at * along(F.col("orientation")) + 0.5), F.lit(0)), F.lit(size - 1)).cast("int")
+    ends = [place("centroid_y", F.cos, at, height) for at in (half, -half)]
+    bands = F.sequence(_band(F.least(*ends)), _band(F.greatest(*ends)))
+    rows = d.select(image_number().alias("image"), "centroid_y", "centroid_x", "orientation", "length_um_geodesic", "area_px", F.explode(bands).alias("row_band")).repartition(parts_of(d), "image", "row_band")
+    at = F.col("step") / 2 - half
+    rows = rows.withColumn("step", F.explode(F.sequence(F.lit(0), F.ceil("length_um_geodesic").cast("int") * 2 - 1))).where(at < half)
+    points = rows.select("image", "row_band", place("centroid_y", F.cos, at, height).alias("y"), place("centroid_x", F.sin, at, width).alias("x"), (100 + F.col("area_px")).cast("int").alias("value"))
+    return points.where(_band("y") == F.col("row_band")).groupBy("image", "row_band", "y", "x").agg(F.max("value").alias("value"))
 
-def pixel_runs(pixels: DataFrame, along: str = "x") -> DataFrame:
-    """(image, y, lo, hi): maximal stretches of pixels of a row; along "y" those of a column, with x in place of y."""
+
+def _band(at: Column | str, size: int = BAND) -> Column:
+    return F.floor((F.col(at) if isinstance(at, str) else at) / size).cast("int")
+
+
+def _position(row: str = "y", place: str = "x") -> Column:
+    return F.shiftleft(F.col(row).cast("bigint"), 32) + F.col(place)
+
+
+def banded_runs(pixels: DataFrame, along: str = "x", parts: int | None = None, **kept: Column) -> DataFrame:
+    """(image, row_band, y, lo, hi) and aggregates kept: maximal stretches of pixels of a row, dealt by band; along "y" those of a column, with x in place of y."""
     across = "y" if along == "x" else "x"
-    pixels = pixels.select(*PIXEL).dropna().distinct()
-    place = F.row_number().over(Window.partitionBy("image", across).orderBy(along))
-    islands = pixels.withColumn("island", F.col(along) - place)
-    return islands.groupBy("image", across, "island").agg(F.min(along).alias("lo"), F.max(along).alias("hi")).drop("island")
+    if across == "x" or "row_band" not in pixels.columns:
+        pixels = pixels.withColumn("row_band", _band(across))
+        pixels = pixels.repartition(parts, "image", "row_band") if parts else pixels
+    # positions of neighbours in a row follow each other, and repeated ones have one rank
+    rank = F.dense_rank().over(Window.partitionBy("image", "row_band").orderBy("at"))
+    at = pixels.where(" AND ".join(f"{c} IS NOT NULL" for c in PIXEL)).withColumn("at", _position(across, along)).withColumn("island", F.col("at") - rank)
+    runs = at.groupBy("image", "row_band", across, "island").agg(F.min(along).alias("lo"), F.max(along).alias("hi"), *[v.alias(k) for k, v in kept.items()])
+    return runs.select("image", "row_band", across, "lo", "hi", *kept)
+
+
+def pixel_runs(pixels: DataFrame, along: str = "x", parts: int | None = None) -> DataFrame:
+    """(image, y, lo, hi): maximal stretches of pixels of a row; along "y" those of a column, with x in place of y."""
+    return banded_runs(pixels, along, parts).drop("row_band")
+
+
+def with_margin(pixels: DataFrame, margin: int, parts: int | None = None, **kept: Column) -> DataFrame:
+    """(image, row_band, y, x, own) and aggregates kept of pixels, dealt by bands, each with so many rows of the bands beside it, which aren't its own. Repeated pixels come once."""
+    size, y = max(BAND, 4 * margin), F.col("y").cast("bigint")
+    parts = parts or int(pixels.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    rows = pixels.where(" AND ".join(f"{c} IS NOT NULL" for c in PIXEL)).drop("row_band").withColumn("row_band", F.explode(F.sequence(_band(y - margin, size), _band(y + margin, size))))
+    once = rows.repartition(parts, "image", "row_band").groupBy("image", "row_band", "y", "x").agg(F.lit(True).alias("there"), *[v.alias(k) for k, v in kept.items()])
+    return once.withColumns({"own": _band("y", size) == F.col("row_band"), "at": _position()}).drop("there")
+
+
+def around(dy: int, first: int, last: int) -> Window:
+    """The frame of with_margin's pixels from first to last places to the right in the row dy rows below."""
+    return Window.partitionBy("image", "row_band").orderBy("at").rangeBetween(dy * ROW + first, dy * ROW + last)
+
+
+def _degree() -> Column:
+    return (F.count("*").over(around(-1, -1, 1)) + F.count("*").over(around(0, -1, 1)) + F.count("*").over(around(1, -1, 1)) - 1).cast("int")
 
 
 def components(edges: DataFrame) -> DataFrame:
@@ -66,21 +123,52 @@ def components(edges: DataFrame) -> DataFrame:
     return tops if tops is not None else edges.select("stack_id", F.col("b").alias("node"), F.col("a").alias("root"))
 
 
-def rooted_runs(pixels: DataFrame) -> DataFrame:
-    """(image, y, lo, hi, root): runs with their 8-connected component, named by the place of its first pixel in raster order (row above 32 bits of column)."""
-    node = F.shiftleft(F.col("y").cast("bigint"), 32) + F.col("lo")
-    runs = settled(pixel_runs(pixels).withColumn("node", node))
-    low = runs.select("image", (F.col("y") + 1).alias("y"), F.col("lo").alias("above_lo"), F.col("hi").alias("above_hi"), F.col("node").alias("a"))
-    met = runs.join(low, ["image", "y"]).where("lo <= above_hi + 1 AND hi >= above_lo - 1")
+def _rooted(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """Runs with the first run of the component that they have in their batch, which comes in raster order of bands; open where they may touch what isn't in the batch."""
+    for b in batches:
+        if b.empty:
+            continue
+        image, band, y, lo, hi = (b[c].to_numpy(np.int64) for c in ("image", "row_band", "y", "lo", "hi"))
+        new = np.r_[True, (image[1:] != image[:-1]) | (band[1:] != band[:-1]) | (y[1:] != y[:-1])]
+        row, heads = np.cumsum(new) - 1, np.flatnonzero(new)
+        follows = np.r_[(np.diff(image[heads]) == 0) & (np.diff(band[heads]) == 0) & (np.diff(y[heads]) == 1), False][row]
+        left = int(lo.min()) - 2
+        wide = int(hi.max()) - left + 3
+        one = np.flatnonzero(follows)
+        below = (row[one] + 1) * wide - left
+        start = np.searchsorted(row * wide + hi - left, below + lo[one] - 1)
+        n = np.maximum(np.searchsorted(row * wide + lo - left, below + hi[one] + 1, "right") - start, 0)
+        a, two = np.repeat(one, n), np.repeat(start - np.cumsum(n) + n, n) + np.arange(n.sum())
+        root = np.arange(len(b))
+        while (root[a] != root[two]).any():
+            low, high = np.minimum(root[a], root[two]), np.maximum(root[a], root[two])
+            np.minimum.at(root, high, low)
+            while (root != root[root]).any():
+                root = root[root]
+        # a batch may be cut inside a row, so that two rows at either end matter
+        open_ = (y == band * BAND) | (y == band * BAND + BAND - 1) | (row < 2) | (row >= len(heads) - 2)
+        yield pd.DataFrame({"image": image, "y": b["y"], "lo": b["lo"], "hi": b["hi"], "node": y[root] * ROW + lo[root], "open": open_})
+
+
+def rooted_runs(pixels: DataFrame, parts: int | None = None) -> DataFrame:
+    """(image, y, lo, hi, root): runs with their 8-connected component, named by the place of its first pixel in raster order (row above 32 bits of column).
+
+    Components are found inside a band's batches first; only runs at their edges are joined, and only components that go on there take part in the rounds."""
+    runs = banded_runs(pixels.select(*[c for c in (*PIXEL, "row_band") if c in pixels.columns]), parts=parts).sortWithinPartitions("image", "row_band", "y", "lo")
+    kind = {k: v for k, v in runs.dtypes}
+    runs = settled(runs.mapInPandas(_rooted, f"image bigint, y {kind['y']}, lo {kind['lo']}, hi {kind['hi']}, node bigint, open boolean"))
+    edge = runs.where("open")
+    low = edge.select("image", (F.col("y") + 1).alias("y"), F.col("lo").alias("above_lo"), F.col("hi").alias("above_hi"), F.col("node").alias("a"))
+    met = edge.join(low.hint("merge"), ["image", "y"]).where("lo <= above_hi + 1 AND hi >= above_lo - 1 AND a <> node")
     roots = components(met.select(F.col("image").alias("stack_id"), "a", F.col("node").alias("b")))
-    rooted = runs.join(roots.select(F.col("stack_id").alias("image"), "node", "root"), ["image", "node"], "left").withColumn("root", F.coalesce("root", "node"))
+    rooted = runs.join(roots.select(F.col("stack_id").alias("image"), "node", "root").hint("merge"), ["image", "node"], "left").withColumn("root", F.coalesce("root", "node"))
     return rooted.select("image", "y", "lo", "hi", "root")
 
 
-def labelled_runs(pixels: DataFrame) -> DataFrame:
+def labelled_runs(pixels: DataFrame, parts: int | None = None) -> DataFrame:
     """(image, y, lo, hi, label): runs with their 8-connected component, numbered in each image from 1 in raster order of first pixels."""
     number = F.dense_rank().over(Window.partitionBy("image").orderBy("root"))
-    return rooted_runs(pixels).withColumn("label", number).select("image", "y", "lo", "hi", "label")
+    return rooted_runs(pixels, parts).withColumn("label", number).select("image", "y", "lo", "hi", "label")
 
 
 def run_pixels(runs: DataFrame) -> DataFrame:
@@ -111,23 +199,22 @@ def object_shapes(runs: DataFrame) -> DataFrame:
     return out.select("image", "label", m.alias("n_pixels"), (c("sy") / m).alias("centroid_y"), (c("sx2") / (2 * m)).alias("centroid_x"), "bbox_min_y", "bbox_min_x", "bbox_max_y", "bbox_max_x", turn.alias("orientation"))
 
 
-def squared_depths(pixels: DataFrame, height: int, width: int) -> DataFrame:
+def squared_depths(pixels: DataFrame, height: int, width: int, parts: int | None = None) -> DataFrame:
     """(image, y, x, depth2): the squared distance of each pixel to the nearest one that isn't of its mask, exact; what lies beyond the image is none.
 
     First along columns, from the ends of column runs; then along rows, where only pixels of the same run closer than the column's
     distance can lower it, so each pixel meets some twice its depth of others. A mask without any other pixel in reach has height + width, squared."""
-    far, pixels = height + width, pixels.select(*PIXEL).dropna().distinct()
+    far = height + width
     end = lambda last, size, gap: F.when(F.col(last) == size, far).otherwise(gap)
-    columns = pixel_runs(pixels, "y").select("image", "x", "lo", "hi", F.explode(F.sequence("lo", "hi")).alias("y"))
-    down = columns.select(*PIXEL, F.least(end("lo", 0, F.col("y") - F.col("lo") + 1), end("hi", height - 1, F.col("hi") - F.col("y") + 1)).alias("g"))
-    rows = pixel_runs(pixels).select("image", "y", "lo", "hi", F.explode(F.sequence("lo", "hi")).alias("x"))
-    both = settled(down.join(rows, PIXEL))
-    sides = F.least(end("lo", 0, F.col("x") - F.col("lo") + 1), end("hi", width - 1, F.col("hi") - F.col("x") + 1))
-    own = both.select(*PIXEL, "g", "lo", "hi", F.least(F.col("g"), sides).alias("reach"))
-    near = own.where("reach > 1").select("image", "y", F.col("x").alias("from"), F.explode(F.sequence(F.greatest("lo", F.col("x") - F.col("reach") + 1), F.least("hi", F.col("x") + F.col("reach") - 1))).alias("x"))
-    by_others = near.join(both.select(*PIXEL, "g"), PIXEL).groupBy("image", "y", F.col("from").alias("x")).agg(F.min(F.pow(F.col("x") - F.col("from"), 2) + F.col("g") * F.col("g")).cast("bigint").alias("other"))
-    straight = (F.col("reach") * F.col("reach")).cast("bigint")
-    return own.join(by_others, PIXEL, "left").select(*PIXEL, F.least(straight, F.coalesce("other", straight)).alias("depth2"))
+    columns = banded_runs(pixels.select(*PIXEL), "y", parts).select("image", "x", "lo", "hi", F.explode(F.sequence("lo", "hi")).alias("y"))
+    down = columns.select(*PIXEL, F.least(end("lo", 0, F.col("y") - F.col("lo") + 1), end("hi", height - 1, F.col("hi") - F.col("y") + 1)).cast("bigint").alias("g"))
+    rows = banded_runs(down, parts=parts, gs=F.sort_array(F.collect_list(F.struct("x", "g")))).withColumn("gs", F.col("gs.g"))
+    own = rows.select("*", F.posexplode("gs").alias("i", "g")).withColumn("x", F.col("lo") + F.col("i"))
+    sides = F.least(end("lo", 0, F.col("i") + 1), end("hi", width - 1, F.col("hi") - F.col("x") + 1))
+    own = own.withColumn("reach", F.least("g", sides))
+    near = F.sequence(F.greatest(F.lit(0), F.col("i") - F.col("reach") + 1), F.least(F.size("gs") - 1, F.col("i") + F.col("reach") - 1))
+    others = F.array_min(F.transform(near, lambda j: (j - F.col("i")) * (j - F.col("i")) + F.get("gs", j.cast("int")) * F.get("gs", j.cast("int"))))
+    return own.select(*PIXEL, F.least(F.col("reach") * F.col("reach"), others).cast("bigint").alias("depth2"))
 
 
 def object_widths(runs: DataFrame, depths: DataFrame) -> DataFrame:
@@ -135,34 +222,37 @@ def object_widths(runs: DataFrame, depths: DataFrame) -> DataFrame:
     return run_pixels(runs).join(depths, PIXEL).groupBy("image", "label").agg(F.percentile(2 * F.sqrt("depth2"), F.lit(0.5)).alias("width_px"))
 
 
-def neighbour_counts(pixels: DataFrame) -> DataFrame:
+def neighbour_counts(pixels: DataFrame, parts: int | None = None) -> DataFrame:
     """(image, y, x, degree, only): how many of the eight neighbours each pixel has, and one of them as struct (y, x), the least.
 
-    Each pixel is told to its neighbours and to itself, and a grouped count hears it: no join."""
-    around = F.array(*[F.struct(F.lit(dy).alias("dy"), F.lit(dx).alias("dx")) for dy in (-1, 0, 1) for dx in (-1, 0, 1)])
-    told = pixels.select(*PIXEL).dropna().distinct().select("*", F.explode(around).alias("d"))
-    self = (F.col("d.dy") == 0) & (F.col("d.dx") == 0)
-    heard = told.select("image", (F.col("y") + F.col("d.dy")).alias("y"), (F.col("x") + F.col("d.dx")).alias("x"), self.alias("self"), F.when(~self, F.struct("y", "x")).alias("teller"))
-    out = heard.groupBy(*PIXEL).agg(F.max("self").alias("self"), F.count("teller").cast("int").alias("degree"), F.min("teller").alias("only"))
-    return out.where("self").drop("self")
+    A band is ordered once, and the three neighbours above, beside and below are frames of that order: no join, and no pixel is told to others."""
+    one = lambda *frame: F.min(F.struct("y", "x")).over(around(*frame))
+    counted = with_margin(pixels.select(*PIXEL), 1, parts).withColumns({"degree": _degree(), "only": F.coalesce(one(-1, -1, 1), one(0, -1, -1), one(0, 1, 1), one(1, -1, 1))})
+    return counted.where("own").select(*PIXEL, "degree", "only")
 
 
-def without_branches(pixels: DataFrame) -> DataFrame:
+def without_branches(pixels: DataFrame, parts: int | None = None) -> DataFrame:
     """The pixels of skeletons without those of more than two neighbours, so that arms come apart."""
-    return neighbour_counts(pixels).where("degree <= 2").select(*PIXEL)
-
-
-def pruned_pixels(pixels: DataFrame, rounds: int) -> DataFrame:
-    """Ends taken off, round by round. Of two ends that only have each other the first in raster order goes and the other stays."""
-    left = pixels.select(*PIXEL).dropna().distinct()
-    for _ in range(rounds):
-        counted = settled(neighbour_counts(left))
-        ends = counted.where("degree = 1").select("image", F.col("y").alias("ey"), F.col("x").alias("ex"))
-        one = counted.where("degree = 1").select(*PIXEL, F.col("only.y").alias("ey"), F.col("only.x").alias("ex"))
-        stays = one.join(ends, ["image", "ey", "ex"], "left_semi").where("ey < y OR (ey = y AND ex < x)")
-        gone = one.select(*PIXEL).join(stays.select(*PIXEL), PIXEL, "left_anti")
-        left = settled(counted.select(*PIXEL).join(gone, PIXEL, "left_anti"))
-        forget(counted)
+    return neighbour_counts(pixels, parts).where("degree <= 2").select(*PIXEL)
+
+
+def pruned_pixels(pixels: DataFrame, rounds: int, parts: int | None = None) -> DataFrame:
+    """Ends taken off, round by round. Of two ends that only have each other the first in raster order goes and the other stays.
+
+    A round looks two rows far, so bands with a margin of two rows for each round are pruned by themselves."""
+    left, first = pixels.select(*PIXEL), True
+    while first or rounds > 0:
+        now, old = min(rounds, ROUNDS), left
+        left = with_margin(left, 2 * now, parts)
+        for _ in range(now):
+            left = left.withColumn("lone", _degree() == 1)
+            earlier = lambda *frame: F.coalesce(F.max("lone").over(around(*frame)), F.lit(False))
+            left = left.withColumn("stays", ~F.col("lone") | earlier(-1, -1, 1) | earlier(0, -1, -1)).where("stays")
+        left, rounds = left.where("own").select(*PIXEL), rounds - now
+        left = settled(left) if rounds > 0 else left
+        if rounds > 0 and not first:
+            forget(old)
+        first = False
     return left
 
 

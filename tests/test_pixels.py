@@ -97,3 +97,32 @@ def test_projection(spark):
     assert (got == np.array(stack)).all()
     over = pixels.tile_pixels(pixels.projected(tiles.selectExpr("0L AS stack_id", "*"), "stack_id")).selectExpr("stack_id AS image", "y", "x", "value")
     assert (as_arrays(over.collect(), "value", 1)[0] == np.max(stack, axis=0)).all()
+
+
+def test_bands_share_a_task_and_what_crosses_them_is_joined(spark):
+    """Masks over several bands, in batches that cut bands and rows, equal the arrays; neighbours of all bands take one shuffle."""
+    rng = np.random.default_rng(8)
+    arrays = [rng.random((150, 40)) < share for share in (0.3, 0.5)] + [np.zeros((150, 40), bool)]
+    arrays[2][:, 3] = arrays[2][::9, 3:30] = True
+    table = as_table(spark, arrays).where("y IS NOT NULL")
+    batch = spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")
+    try:
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", 37)
+        rows = pixels.run_pixels(pixels.labelled_runs(table, 3)).collect()
+    finally:
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", batch)
+    got = np.zeros((3, 150, 40), int)
+    for r in rows:
+        got[r["image"], r["y"], r["x"]] = r["label"]
+    assert all((g == kernels.labelled(m)[0]).all() for g, m in zip(got, arrays, strict=True))
+    counted = pixels.neighbour_counts(table, 3)
+    degree = np.full((3, 150, 40), -1)
+    for r in counted.collect():
+        degree[r["image"], r["y"], r["x"]] = r["degree"]
+    assert all((np.where(m, kernels.neighbours(m).astype(int), -1) == g).all() for g, m in zip(degree, arrays, strict=True))
+    left = np.zeros((3, 150, 40), bool)
+    for r in pixels.pruned_pixels(table, 11).collect():
+        left[r["image"], r["y"], r["x"]] = True
+    assert all((kernels.pruned(m, 11) == g).all() for g, m in zip(left, arrays, strict=True))
+    shuffles = lambda df: df._jdf.queryExecution().executedPlan().toString().count("Exchange")
+    assert shuffles(pixels.neighbour_counts(table, 3)) == shuffles(pixels.pruned_pixels(table, 5)) == 2  # the table's own and one
