@@ -275,3 +275,22 @@ def test_positions_by_group(spark):
         want = sorted((r for r in rows if r[0] == g), key=lambda r: (r[1] is None, -(r[1] or 0), r[2]))
         assert [r["i"] for r in sorted((r for r in got if r["g"] == g), key=lambda r: r["position"])] == [r[2] for r in want]
         assert sorted(r["position"] for r in got if r["g"] == g) == list(range(1, len(want) + 1))
+
+
+def test_kernels_take_lines_together(monkeypatch):
+    """A blur convolves an axis at once, to the bits that line by line gives; distances are only made for rows of the mask."""
+    image, calls, plain_convolve = np.random.default_rng(4).random((40, 33)), [], np.convolve
+    monkeypatch.setattr(np, "convolve", lambda *a: calls.append(1) or plain_convolve(*a))
+    got = kernels.blurred(image, 2.0)
+    assert len(calls) == 2
+    taps = np.exp(-0.5 * (np.arange(-8, 9) / 2.0) ** 2)
+    want = image
+    for axis in (0, 1):
+        want = np.apply_along_axis(plain_convolve, axis, np.pad(want, [(8, 8) if a == axis else (0, 0) for a in (0, 1)], mode="symmetric"), taps / taps.sum(), "valid")
+    assert (got == want).all()
+    mask = image > 0.2
+    mask[3:9] = False
+    y, x = np.mgrid[:40, :33]
+    outside = np.argwhere(~mask)
+    assert np.allclose(kernels.distances(mask), np.sqrt(((y[..., None] - outside[:, 0]) ** 2 + (x[..., None] - outside[:, 1]) ** 2).min(-1)))
+    assert kernels.labelled(np.zeros((3, 4), bool))[1] == 0 and kernels.labelled(np.eye(5, dtype=bool))[1] == 1
