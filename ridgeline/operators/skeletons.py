@@ -17,7 +17,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..lineage import forget, settled
-from .pixels import PIXEL, labelled_runs, run_pixels
+from .pixels import PIXEL, around, labelled_runs, run_pixels, with_margin
 
 #: Lengths of a step along an axis and across, in 1e-8 pixels: whole numbers, so that sums don't depend on their order.
 UNIT, STRAIGHT, SLANT = 1e8, 100_000_000, 141_421_356
@@ -40,15 +40,14 @@ def _told(pixels: DataFrame, steps: Column, **said: Column) -> DataFrame:
     return rows.select("image", *at, "s.cost", (F.col("s.cost") == 0).alias("here"), *[v.alias(k) for k, v in said.items()])
 
 
-def linked_pixels(runs: DataFrame) -> DataFrame:
+def linked_pixels(runs: DataFrame, parts: int | None = None) -> DataFrame:
     """(image, y, x, label, straight, slant): pixels of labelled runs with the number of neighbours along the axes and across."""
-    told = _told(run_pixels(runs), _steps(), label=F.col("label"))
-    heard = told.groupBy(*PIXEL).agg(
-        F.max(F.when(F.col("here"), F.col("label"))).alias("label"),
-        F.count_if(F.col("cost") == STRAIGHT).cast("int").alias("straight"),
-        F.count_if(F.col("cost") == SLANT).cast("int").alias("slant"),
-    )
-    return heard.where("label IS NOT NULL")
+    told = with_margin(run_pixels(runs), 1, parts, label=F.min("label"))
+    there = lambda *frame: F.count("*").over(around(*frame))
+    straight = there(-1, 0, 0) + there(0, -1, 1) - 1 + there(1, 0, 0)
+    every = there(-1, -1, 1) + there(0, -1, 1) - 1 + there(1, -1, 1)
+    counted = told.withColumns({"straight": straight.cast("int"), "every": every.cast("int")}).where("own")
+    return counted.select(*PIXEL, "label", "straight", (F.col("every") - F.col("straight")).alias("slant"))
 
 
 def _round(state: DataFrame) -> DataFrame:
@@ -82,12 +81,12 @@ def _spread(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         yield b.assign(d=d, fresh=fresh)
 
 
-def _tiled(state: DataFrame) -> DataFrame:
+def _tiled(state: DataFrame, parts: int | None = None) -> DataFrame:
     tile = [F.col("image"), F.floor(F.col("y") / SIDE), F.floor(F.col("x") / SIDE)]
-    return state.repartition(*tile).sortWithinPartitions(*tile, "y", "x").mapInPandas(_spread, state.schema)
+    return state.repartition(*([parts] if parts else []), *tile).sortWithinPartitions(*tile, "y", "x").mapInPandas(_spread, state.schema)
 
 
-def farthest_pixels(pixels: DataFrame, starts: DataFrame) -> DataFrame:
+def farthest_pixels(pixels: DataFrame, starts: DataFrame, parts: int | None = None) -> DataFrame:
     """(image, label, y, x, d): of each object in starts (image, label, y, x) the pixel whose shortest way from the start is longest, the first in
     raster order of several. pixels: image, y, x, label. Lengths are in UNIT parts of a pixel. Objects without a start have no row."""
     start = starts.select("image", "label", F.struct("y", "x").alias("start"))
@@ -96,7 +95,7 @@ def farthest_pixels(pixels: DataFrame, starts: DataFrame) -> DataFrame:
     tables, ended = [state], []
     top = F.max(F.struct("d", -F.col("y"), -F.col("x")))
     while not state.where("fresh").isEmpty():
-        after = settled(_round(_tiled(state)))
+        after = settled(_round(_tiled(state, parts)))
         busy = after.where("fresh").select("image", "label").distinct()
         ended.append(after.join(busy, ["image", "label"], "left_anti").groupBy("image", "label").agg(top.alias("far")))
         state = after.join(busy, ["image", "label"], "left_semi").select(*after.columns)
@@ -108,21 +107,21 @@ def farthest_pixels(pixels: DataFrame, starts: DataFrame) -> DataFrame:
     return out
 
 
-def skeleton_measures(pixels: DataFrame, loops: bool = True) -> DataFrame:
+def skeleton_measures(pixels: DataFrame, loops: bool = True, parts: int | None = None) -> DataFrame:
     """Of each 8-connected skeleton (image, label as by labelled_runs): n_pixels, length_px_geodesic, tortuosity, n_endpoints, n_branch_nodes, has_loop.
 
     The length is the way from the pixel farthest from the first end to the one farthest from that: exact on trees, a lower bound with rings.
     What has no end, a ring or a single pixel, has the sum of all its steps and tortuosity 1, or is left out where loops is false.
     Null coordinates are no pixels, repeated ones count once, other columns are ignored, an empty table gives none."""
-    own = settled(linked_pixels(labelled_runs(pixels)))
+    own = settled(linked_pixels(labelled_runs(pixels, parts), parts))
     degree = F.col("straight") + F.col("slant")
     facts = settled(own.groupBy("image", "label").agg(
         F.count("*").alias("n_pixels"), F.count_if(degree == 1).alias("n_endpoints"), F.count_if(degree > 2).alias("n_branch_nodes"),
         F.sum(F.col("straight") * F.lit(STRAIGHT).cast("bigint") + F.col("slant") * F.lit(SLANT).cast("bigint")).alias("steps"), F.min(F.when(degree == 1, F.struct("y", "x"))).alias("end"),
     ))
     plain = own.select(*PIXEL, "label")
-    one = farthest_pixels(plain, facts.where("end IS NOT NULL").select("image", "label", "end.y", "end.x"))
-    two = farthest_pixels(plain, one)
+    one = farthest_pixels(plain, facts.where("end IS NOT NULL").select("image", "label", "end.y", "end.x"), parts)
+    two = farthest_pixels(plain, one, parts)
     ways = one.select("image", "label", F.col("y").alias("y1"), F.col("x").alias("x1")).join(two, ["image", "label"])
     ways = ways.select("image", "label", (F.col("d") / UNIT).alias("way"), F.hypot(F.col("y") - F.col("y1"), F.col("x") - F.col("x1")).alias("straight_line"))
     ring = F.col("end").isNull()

@@ -75,3 +75,12 @@ def test_ways_through_many_tiles_and_batches(spark):
     assert len(got) == 1
     want = measured({(r[1], r[2]) for r in rows})
     assert abs(got[0]["length_px_geodesic"] - want[3]) < 1e-6 and (got[0]["n_endpoints"], got[0]["n_branch_nodes"]) == want[1:3]
+
+
+def test_links_are_counted_in_bands(spark):
+    """Pixels of several bands, dealt to a given number of tasks, count their neighbours by frames: no pixel is told to its eight neighbours."""
+    runs = spark.createDataFrame([(0, y, y % 3, y % 3, 1) for y in range(130)], "image long, y int, lo int, hi int, label int")
+    links = skeletons.linked_pixels(runs, 3)
+    assert "sequence" in (plan := links._jdf.queryExecution().executedPlan().toString()) and "hashpartitioning(image" in plan and ", 3)" in plan
+    got = {r["y"]: (r["straight"], r["slant"]) for r in links.collect()}
+    assert got == {y: (0, sum(0 <= v < 130 and abs(v % 3 - y % 3) == 1 for v in (y - 1, y + 1))) for y in range(130)}
