@@ -85,3 +85,29 @@ def test_near_pairs_are_dealt_by_cell(spark):
     """Rows of either side, however few they are by estimate, don't go through the driver."""
     d = sources.detections(spark, "/root/testdata/sf0.001").withColumn("id", F.col("event_id"))
     assert _no_broadcast(spatial.nearest_before(d, P)) and _no_broadcast(spatial.nearest_in_previous_slice(d, P)) and _no_broadcast(spatial.candidate_edges(d, P))
+
+
+@pytest.mark.parametrize("nearest_only", [False, True])
+@pytest.mark.parametrize(("block", "chunk"), [(2, 1 << 19), (32, 60)])
+def test_cut_blocks_equal_the_fold(spark, nearest_only, block, chunk):
+    """However slices are dealt to blocks and blocks are held in parts, choices are those of the fold."""
+    rng = random.Random(block * 100 + chunk)
+    dets, edges = [], []
+    for stack in range(5):
+        levels = rng.choice([1, 2, 4, 1000])
+        slices = {z: [numbered(z, n) for n in range(1, rng.randint(2, 7))] for z in sorted(rng.sample(range(9), rng.randint(5, 8)))}
+        dets += [(stack, i) for ids in slices.values() for i in ids]
+        for z, ids in slices.items():
+            for later in (z + 1, z + 2):
+                edges += [(stack, a, b, float(rng.randrange(levels)), not nearest_only or rng.random() < 0.8) for a in ids for b in slices.get(later, ()) if rng.random() < 0.5]
+    pairs = matched_pairs(spark.createDataFrame(edges, EDGES), nearest_only, block, chunk)
+    got = numbered_tracks(spark.createDataFrame(dets, "stack_id int, id bigint"), pairs)
+    assert {(r["stack_id"], r["id"]): r["track_no"] for r in got.collect()} == tracks_by_fold(dets, edges, nearest_only=nearest_only)
+
+
+def test_a_stack_of_one_block_is_one_pass(spark):
+    """Chains of edges that wait for each other don't make a job each."""
+    edges = [(0, numbered(z, n), numbered(z + 1, m), float(abs(n - m) + (n > m)), True) for z in range(30) for n in range(1, 9) for m in range(1, 9)]
+    before = len(spark.sparkContext.statusTracker().getJobIdsForGroup())
+    pairs = matched_pairs(spark.createDataFrame(edges, EDGES).coalesce(1))
+    assert len(spark.sparkContext.statusTracker().getJobIdsForGroup()) - before <= 4 and pairs.where("root IS NULL").isEmpty() and pairs.count() == 240
