@@ -21,6 +21,7 @@ from ..lineage import forget, settled
 from .matching import chain_roots
 
 PIXEL = ["image", "y", "x"]
+RUN = ["image", "y", "lo", "hi"]
 #: A tile's side: its values are so many partial maxima, squared.
 TILE = 8
 #: Rows of a band at least, and detections whose strokes are dealt to a task.
@@ -57,6 +58,11 @@ def drawn_pixels(d: DataFrame, height: int = 256, width: int = 264) -> DataFrame
     return points.where(_band("y") == F.col("row_band")).groupBy("image", "row_band", "y", "x").agg(F.max("value").alias("value"))
 
 
+def dealt(rows: DataFrame, parts: int | None, *keys: str) -> DataFrame:
+    """rows dealt by keys to so many tasks, or as a join deals them."""
+    return rows.repartition(parts, *keys) if parts else rows
+
+
 def _band(at: Column | str, size: int = BAND) -> Column:
     return F.floor((F.col(at) if isinstance(at, str) else at) / size).cast("int")
 
@@ -147,7 +153,9 @@ def _rooted(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
                 root = root[root]
         # a batch may be cut inside a row, so that two rows at either end matter
         open_ = (y == band * BAND) | (y == band * BAND + BAND - 1) | (row < 2) | (row >= len(heads) - 2)
-        yield pd.DataFrame({"image": image, "y": b["y"], "lo": b["lo"], "hi": b["hi"], "node": y[root] * ROW + lo[root], "open": open_})
+        goes_on = np.zeros(len(b), bool)
+        goes_on[root[open_]] = True
+        yield pd.DataFrame({"image": image, "y": b["y"], "lo": b["lo"], "hi": b["hi"], "node": y[root] * ROW + lo[root], "open": open_, "goes_on": goes_on[root]})
 
 
 def rooted_runs(pixels: DataFrame, parts: int | None = None) -> DataFrame:
@@ -156,13 +164,15 @@ def rooted_runs(pixels: DataFrame, parts: int | None = None) -> DataFrame:
     Components are found inside a band's batches first; only runs at their edges are joined, and only components that go on there take part in the rounds."""
     runs = banded_runs(pixels.select(*[c for c in (*PIXEL, "row_band") if c in pixels.columns]), parts=parts).sortWithinPartitions("image", "row_band", "y", "lo")
     kind = {k: v for k, v in runs.dtypes}
-    runs = settled(runs.mapInPandas(_rooted, f"image bigint, y {kind['y']}, lo {kind['lo']}, hi {kind['hi']}, node bigint, open boolean"))
+    runs = settled(runs.mapInPandas(_rooted, f"image bigint, y {kind['y']}, lo {kind['lo']}, hi {kind['hi']}, node bigint, open boolean, goes_on boolean"))
     edge = runs.where("open")
     low = edge.select("image", (F.col("y") + 1).alias("y"), F.col("lo").alias("above_lo"), F.col("hi").alias("above_hi"), F.col("node").alias("a"))
     met = edge.join(low.hint("merge"), ["image", "y"]).where("lo <= above_hi + 1 AND hi >= above_lo - 1 AND a <> node")
     roots = components(met.select(F.col("image").alias("stack_id"), "a", F.col("node").alias("b")))
-    rooted = runs.join(roots.select(F.col("stack_id").alias("image"), "node", "root").hint("merge"), ["image", "node"], "left").withColumn("root", F.coalesce("root", "node"))
-    return rooted.select("image", "y", "lo", "hi", "root")
+    # most components end inside their batch, and their runs aren't dealt again
+    roots = dealt(roots.select(F.col("stack_id").alias("image"), "node", "root"), parts, "image", "node")
+    joined = dealt(runs.where("goes_on"), parts, "image", "node").join(roots.hint("merge"), ["image", "node"], "left").withColumn("root", F.coalesce("root", "node"))
+    return runs.where("NOT goes_on").withColumn("root", F.col("node")).select(*RUN, "root").unionAll(joined.select(*RUN, "root"))
 
 
 def labelled_runs(pixels: DataFrame, parts: int | None = None) -> DataFrame:

@@ -1,6 +1,7 @@
 """The replayed log against its rows applied one after the other to arrays."""
 
 import random
+import re
 
 import numpy as np
 import pytest
@@ -83,3 +84,22 @@ def test_empty_tables(spark):
     p, log = tables(spark, [lattice()], [[(0, "erase", 3, 3)]], 1)
     assert edits.corrected(p, log.limit(0), *SHAPE).count() == int(lattice().sum())
     assert edits.replayed(p.limit(0), log, *SHAPE).count() == 0
+
+
+def test_rounds_leave_untouched_objects_alone_and_deal_runs_to_the_given_tasks(spark, monkeypatch):
+    masks, log = [lattice()] + [np.eye(*SHAPE, dtype=bool)] * 4, [[(1, "erase", 3, 3)], [(1, "split", 9, 9), (2, "erase", 2, 2)]]
+    plans, written = [], edits.settled
+    monkeypatch.setattr(edits, "settled", lambda df: (plans.append(df._jdf.queryExecution().executedPlan().toString()), written(df))[1])
+    p, rows = tables(spark, masks, log, 2)
+    broadcasts = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", -1)
+    try:
+        out = edits.replayed(p, rows, *SHAPE, parts=7)
+        assert out.count() == sum(int(m.sum()) for m in masks) and out.where("removed_step = 2").count() == 8
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", broadcasts)
+    exchanges = [line for plan in plans for line in plan.splitlines() if "Exchange hashpartitioning(image" in line]
+    dealt = lambda *keys: [x for x in exchanges if re.search(r"hashpartitioning\(" + r"#\d+L?, ".join(keys) + r"#\d+L?, \d+\)", x)]
+    # pixels by themselves are dealt for cuts only: twice a round, that of what is cut and of the cut
+    assert len(dealt("image", "y", "x")) <= 3 * 2 and all(", 7)" in x for x in dealt("image", "y", "cell") + dealt("image", "root") if "REPARTITION" in x)
+    assert any(", 7)" in x for x in dealt("image", "y", "cell")) and any(", 7)" in x for x in dealt("image", "root"))
