@@ -11,7 +11,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .common import HASHES, blocks, digest, forget, matched, merged, mix64, nodes_of, save, text_mark, text_or_empty
-from .similar import BANDS, KnownHeads, band_columns, band_keys, buckets, distinct, min_max, true_components
+from .similar import PACKED, PACKS, PackedBands, band_keys, distinct, min_max, packed_buckets, true_components
 
 #: Lines are compared by their shingles of SHINGLE characters and linked at a Jaccard similarity of SHARE percent. Lines of fewer than
 #: LEAST characters would be left out; at 1 every line that is not blank takes part, headings and closing words too.
@@ -21,6 +21,8 @@ SHINGLE, SHARE, LEAST = 5, 80, 1
 PERMUTATIONS, ROWS, SEED = 56, 7, 23
 #: Characters of texts whose lines are named and banded together, and of lines whose signatures are made at once, in arrays that fit a core's cache.
 CHUNK, BLOCK = 1 << 18, 1 << 16
+#: Different lines that a task remembers.
+SEEN = 100_000
 
 
 def character_shingles(data: np.ndarray, starts: np.ndarray, ends: np.ndarray, size: int, secret: tuple[int, ...] = ()) -> tuple[np.ndarray, np.ndarray]:
@@ -98,35 +100,48 @@ def _chunks(texts: list[str]):
         yield start, len(texts)
 
 
+#: A row is a line, or (where name is null) many keys of bands.
+LINES = pa.schema([("doc_id", pa.int64()), ("mark", pa.binary()), ("line", pa.int32()), ("name", pa.binary()), ("node", pa.int64()), ("again", pa.bool_()), ("part", pa.int32()), ("keys", pa.binary()), ("nodes", pa.binary()), ("heads", pa.binary())])
+
+
 def _line_batches(shingle: int, least: int, permutations: int, rows: int, seed: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen: set[bytes] = set()
-        known = KnownHeads()
+        packed = PackedBands()
+
+        def dealt() -> Iterator[pa.RecordBatch]:
+            columns = packed.columns()
+            none = [pa.nulls(len(columns[0]), kind) for kind in LINES.types[:6]]
+            whole = pa.RecordBatch.from_arrays([*none, *columns], schema=LINES)
+            yield from (whole.slice(i, 1000) for i in range(0, whole.num_rows, 1000))
+
         for batch in batches:
             texts = batch.column(2).to_pylist()
             for a, b in _chunks(texts):
                 lines = Lines(texts[a:b], least)
                 names = [digest(x) for x in lines.raw()]
-                nodes, fresh = nodes_of(names), []
+                nodes, fresh, again = nodes_of(names), [], np.ones(len(names), bool)
                 for i, name in enumerate(names):
                     if name not in seen:
                         fresh.append(i)
-                        if len(seen) < 100_000:
-                            seen.add(name)
+                        if len(seen) >= SEEN:
+                            seen.clear()  # a common line is met again soon
+                        seen.add(name)
                 fresh = np.array(fresh, np.int64)
-                keys = np.zeros((0, 2 * permutations // rows), np.int64)
+                again[fresh] = False
                 if len(fresh):
                     starts, stops = lines.start[fresh], lines.end[fresh]
                     parts = []
                     for i, j in blocks(np.concatenate([[0], np.cumsum(stops - starts)]), BLOCK):
                         items, ends = character_shingles(lines.data, starts[i:j], stops[i:j], shingle)
                         parts.append(band_keys(min_max(items, ends, permutations, seed), rows))
-                    keys = np.concatenate(parts)
+                    packed.add(nodes[fresh], np.concatenate(parts))
                 at = pa.array(lines.doc + a)
-                yield pa.RecordBatch.from_arrays(
-                    [batch.column(0).take(at), batch.column(1).take(at), pa.array(lines.number.astype(np.int32)), pa.array(names, pa.binary()), pa.array(nodes), *band_columns(len(names), fresh, nodes[fresh], keys, known)],
-                    ["doc_id", "mark", "line", "name", "node", "bands", "near_keys", "near_heads"],
-                )
+                columns = [batch.column(0).take(at), batch.column(1).take(at), pa.array(lines.number.astype(np.int32)), pa.array(names, pa.binary()), pa.array(nodes), pa.array(again)]
+                yield pa.RecordBatch.from_arrays([*columns, *(pa.nulls(len(names), kind) for kind in LINES.types[6:])], schema=LINES)
+                if packed.held >= PACKED:
+                    yield from dealt()
+        yield from dealt()
 
     return run
 
@@ -156,22 +171,38 @@ def _to_sets(shingle: int, secret: tuple[int, ...]):
     def run(bodies: pa.Array) -> list[np.ndarray]:
         texts = bodies.to_pylist()
         ends = np.cumsum([len(t) for t in texts], dtype=np.int64)
-        data = np.frombuffer("".join(texts).encode("utf-32-le"), "<u4")
-        return distinct(*character_shingles(data, np.concatenate([[0], ends[:-1]]).astype(np.int64), ends, shingle, secret))
+        data, bounds = np.frombuffer("".join(texts).encode("utf-32-le"), "<u4"), np.concatenate([[0], ends])
+        sets: list[np.ndarray] = []
+        for i, j in blocks(bounds, BLOCK):
+            sets += distinct(*character_shingles(data, bounds[i:j], bounds[i + 1 : j + 1], shingle, secret))
+        return sets
 
     return run
 
 
+def occurrences(lines: DataFrame) -> DataFrame:
+    """(node, name, times, first): how often each line is met, and the doc_id, mark and line where it is first.
+
+    Most lines are met once, so summing them up before they are dealt would sort them for nothing: only those that their task has met before
+    are, so that a very common one comes with some rows per task. Dealt by node, the result needs no other shuffle to be joined by it."""
+    by = ("node", "name")
+    place = lines.select(*by, F.lit(1).cast("bigint").alias("times"), F.struct("doc_id", "mark", "line").alias("first"), "again")
+    summed = lambda rows: rows.groupBy(*by).agg(F.sum("times").alias("times"), F.min("first").alias("first"))
+    return summed(place.where("NOT again").drop("again").unionAll(summed(place.where("again"))).repartition("node"))
+
+
 def repeated_lines(docs: DataFrame, shingle: int = SHINGLE, share: int = SHARE, least: int = LEAST, permutations: int = PERMUTATIONS, rows: int = ROWS, seed: int = SEED) -> tuple[DataFrame, DataFrame]:
     """(lines, decisions): every line of at least `least` characters, and for each repeated one (name) where its component is kept.
 
     Equal lines (stripped, A-Z in lower case) have one name, a 128-bit digest, and cost one signature a task. decisions has name and
     the doc_id, mark and line of the component's first occurrence in order of these three, nulls first. Both are tables in the shared folder."""
     rows_in = docs.select("doc_id", text_mark().alias("mark"), text_or_empty("text").alias("text"))
-    schema = f"doc_id bigint, mark binary, line int, name binary, node bigint, {BANDS}"
-    lines = save(rows_in.mapInArrow(_line_batches(shingle, least, permutations, rows, seed), schema), "lines", **HASHES)
-    found = buckets(lines)
-    classes = lines.groupBy("name", "node").agg(F.count("*").alias("times"), F.min(F.struct("doc_id", "mark", "line")).alias("first"))
+    schema = f"doc_id bigint, mark binary, line int, name binary, node bigint, again boolean, {PACKS}"
+    saved = save(rows_in.mapInArrow(_line_batches(shingle, least, permutations, rows, seed), schema), "lines", **HASHES)
+    found = packed_buckets(saved.where("part IS NOT NULL"))
+    lines = saved.where("part IS NULL").select("doc_id", "mark", "line", "name", "node", "again")
+    lines._ridgeline_path = saved._ridgeline_path
+    classes = occurrences(lines)
     nodes = found.select("node").unionAll(found.select("head")).distinct()
     members = save(merged(classes, nodes.withColumn("met", F.lit(True)), "node", "left").where("times > 1 OR met"), "line-members")
     asked = members.where("met").groupBy("first.doc_id", "first.mark").agg(F.collect_list(F.struct("first.line", "name")).alias("wanted"))
@@ -216,6 +247,8 @@ def dedup_lines(docs: DataFrame, counts: bool = True, **how: int) -> DataFrame:
     new = F.when(gone.isNull(), text).otherwise(without_lines(text, gone)).alias("text")
     columns = [new if c == "text" else marked[c] for c in docs.columns if not (counts and c in ("n_lines", "n_dropped"))]
     if counts:
-        n = F.when(F.length(text) > 0, F.length(text) - F.length(F.replace(text, F.lit("\n"), F.lit(""))) + 1).otherwise(0)
+        # bytes, as their number is known while characters are counted anew each time
+        size = F.octet_length
+        n = F.when(size(text) > 0, size(text) - size(F.replace(text, F.lit("\n"), F.lit(""))) + 1).otherwise(0)
         columns += [n.cast("int").alias("n_lines"), F.coalesce(F.size(gone), F.lit(0)).cast("int").alias("n_dropped")]
     return joined.select(*columns)

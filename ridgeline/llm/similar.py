@@ -88,11 +88,8 @@ class KnownHeads:
         return hit, found
 
 
-def band_columns(rows: int, fresh: np.ndarray, nodes: np.ndarray, keys: np.ndarray, known: KnownHeads) -> list[pa.Array]:
-    """The columns BANDS of `rows` rows, of which `fresh` have the given nodes and keys.
-
-    Within a chunk, and mostly within a task, only the first set of a bucket carries the bucket's key on (bands); others are tied to it here
-    (near_keys, near_heads), so a bucket that holds a third of all rows comes to its shuffle with some row per task."""
+def _ties(nodes: np.ndarray, keys: np.ndarray, known: KnownHeads) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """All keys of sets in a row, which of them nobody carried on before in this chunk or (mostly) this task, and the node that each key is tied to."""
     flat, m = keys.ravel(), keys.shape[1] if len(keys) else 0
     order = np.argsort(flat, kind="stable")
     new = np.ones(len(flat), bool)
@@ -103,7 +100,16 @@ def band_columns(rows: int, fresh: np.ndarray, nodes: np.ndarray, keys: np.ndarr
     hit, heads[firsts] = known.look(flat[firsts], nodes[firsts // m]) if m else (np.zeros(0, bool), heads)
     heads = heads[head]
     new[firsts[hit]] = False
-    owner = np.repeat(fresh, m)
+    return flat, new, heads
+
+
+def band_columns(rows: int, fresh: np.ndarray, nodes: np.ndarray, keys: np.ndarray, known: KnownHeads) -> list[pa.Array]:
+    """The columns BANDS of `rows` rows, of which `fresh` have the given nodes and keys.
+
+    Within a chunk, and mostly within a task, only the first set of a bucket carries the bucket's key on (bands); others are tied to it here
+    (near_keys, near_heads), so a bucket that holds a third of all rows comes to its shuffle with some row per task."""
+    flat, new, heads = _ties(nodes, keys, known)
+    owner = np.repeat(fresh, keys.shape[1] if len(keys) else 0)
 
     def lists(mask: np.ndarray, values: np.ndarray) -> pa.Array:
         ends = np.cumsum(np.bincount(owner[mask], minlength=rows))
@@ -112,6 +118,45 @@ def band_columns(rows: int, fresh: np.ndarray, nodes: np.ndarray, keys: np.ndarr
     return [lists(new, flat), lists(~new, flat), lists(~new, heads)]
 
 
+#: Keys are dealt by their first PART_BITS bits, a part's keys of one task in one row; a task deals out what it has at PACKED keys, and TIED ties are a row.
+PART_BITS, PACKED, TIED = 12, 1 << 20, 1 << 14
+PACKS = "part int, keys binary, nodes binary, heads binary"
+
+
+class PackedBands:
+    """What band_columns gives, as few rows PACKS that hold many 64-bit numbers each: keys, their nodes and, where keys are tied to a node already, heads.
+
+    Nearly every key is met once, so a row for each would cost more than all the rest of it."""
+
+    def __init__(self):
+        self.known, self.far, self.near, self.held = KnownHeads(), [], [], 0
+
+    def add(self, nodes: np.ndarray, keys: np.ndarray) -> None:
+        flat, new, heads = _ties(nodes, keys, self.known)
+        owner = np.repeat(nodes, keys.shape[1] if len(keys) else 0)
+        self.far.append((flat[new], owner[new]))
+        self.near.append((flat[~new], owner[~new], heads[~new]))
+        self.held += len(flat)
+
+    def columns(self) -> list[pa.Array]:
+        """The columns PACKS of all that was added since the last call."""
+        out: list[tuple[int, bytes, bytes, bytes | None]] = []
+        if self.held:
+            keys, nodes = (np.concatenate([x[k] for x in self.far]) for k in (0, 1))
+            parts = (keys.view(np.uint64) >> np.uint64(64 - PART_BITS)).astype(np.uint16)
+            order = np.argsort(parts, kind="stable")
+            keys, nodes, parts = keys[order], nodes[order], parts[order]
+            starts = np.flatnonzero(np.concatenate([[True], parts[1:] != parts[:-1]])) if len(parts) else parts
+            for a, b in zip(starts.tolist(), [*starts[1:].tolist(), len(parts)], strict=False):
+                out.append((int(parts[a]), keys[a:b].tobytes(), nodes[a:b].tobytes(), None))
+            tied = [np.concatenate([x[k] for x in self.near]) for k in (0, 1, 2)]
+            for a in range(0, len(tied[0]), TIED):
+                keys, nodes, heads = (x[a : a + TIED] for x in tied)
+                out.append((int(keys[:1].view(np.uint64)[0] >> np.uint64(64 - PART_BITS)), keys.tobytes(), nodes.tobytes(), heads.tobytes()))
+        self.far, self.near, self.held = [], [], 0
+        return [pa.array([x[k] for x in out], kind) for k, kind in enumerate((pa.int32(), pa.binary(), pa.binary(), pa.binary()))]
+
+
 def distinct(items: np.ndarray, bounds: np.ndarray) -> list[np.ndarray]:
     """Each set's items, sorted and once."""
     items = items.copy()
@@ -125,21 +170,50 @@ def distinct(items: np.ndarray, bounds: np.ndarray) -> list[np.ndarray]:
     return [once[a:b] for a, b in zip(ends[:-1], ends[1:], strict=True)]
 
 
-def _bucket_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Rows node, key of one partition, two numbers each, to (key, node, head) of keys with several nodes."""
-    parts = [[np.asarray(c) for c in batch.columns] for batch in batches]
-    if not parts:
-        return
-    nodes, keys = (np.concatenate([p[k] for p in parts]) for k in (0, 1))
-    del parts
+def _met(keys: np.ndarray, nodes: np.ndarray) -> Iterator[pa.RecordBatch]:
+    """(key, node, head) of keys with several nodes; head is the least of them."""
     order = np.argsort(keys)
     keys, nodes = keys[order], nodes[order]
     starts = np.flatnonzero(np.concatenate([[True], keys[1:] != keys[:-1]]))
     heads = np.repeat(np.minimum.reduceat(nodes, starts), np.diff(np.append(starts, len(keys))))
-    other = np.flatnonzero(nodes != heads)
-    for i in range(0, len(other), 1 << 16):
-        at = other[i : i + (1 << 16)]
-        yield pa.RecordBatch.from_arrays([pa.array(x[at]) for x in (keys, nodes, heads)], ["key", "node", "head"])
+    yield from _numbered(np.flatnonzero(nodes != heads), keys, nodes, heads)
+
+
+def _numbered(some: np.ndarray, *columns: np.ndarray) -> Iterator[pa.RecordBatch]:
+    for i in range(0, len(some), 1 << 16):
+        at = some[i : i + (1 << 16)]
+        yield pa.RecordBatch.from_arrays([pa.array(x[at]) for x in columns], ["key", "node", "head"])
+
+
+def _bucket_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Rows node, key of one partition, two numbers each, to (key, node, head) of keys with several nodes."""
+    parts = [[np.asarray(c) for c in batch.columns] for batch in batches]
+    if parts:
+        nodes, keys = (np.concatenate([p[k] for p in parts]) for k in (0, 1))
+        del parts
+        yield from _met(keys, nodes)
+
+
+def _packed_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Rows PACKS of one partition to (key, node, head) of keys with several nodes; ties go on as they are."""
+    found: list[tuple[bytes, bytes]] = []
+    for batch in batches:
+        for keys, nodes, heads in zip(*(c.to_pylist() for c in batch.columns[1:]), strict=True):
+            if heads is None:
+                found.append((keys, nodes))
+            else:
+                tied = [np.frombuffer(x, np.int64) for x in (keys, nodes, heads)]
+                yield from _numbered(np.flatnonzero(tied[1] != tied[2]), *tied)
+    if found:
+        keys, nodes = (np.frombuffer(b"".join(x[k] for x in found), np.int64) for k in (0, 1))
+        del found
+        yield from _met(keys, nodes)
+
+
+def packed_buckets(packed: DataFrame) -> DataFrame:
+    """buckets() of rows PACKS: parts are dealt and sorted as plain numbers, and no key is a row of its own before it is met twice."""
+    out = packed.select("part", "keys", "nodes", "heads").repartition("part").mapInArrow(_packed_batches, "key bigint, node bigint, head bigint")
+    return save(out, "buckets", **HASHES)
 
 
 def buckets(banded: DataFrame) -> DataFrame:
