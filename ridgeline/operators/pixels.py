@@ -43,19 +43,19 @@ def parts_of(d: DataFrame) -> int:
     return max(int(d.sparkSession.conf.get("spark.sql.shuffle.partitions")), d.count() // STROKES + 1)
 
 
-def drawn_pixels(d: DataFrame, height: int = 256, width: int = 264) -> DataFrame:
+def drawn_pixels(d: DataFrame, height: int = 256, width: int = 264, band: int = BAND) -> DataFrame:
     """(image, row_band, y, x, value): detections as strokes along their orientation, brighter where their area is larger; the brightest stays.
 
-    Detections are dealt to the bands that they cross, and drawn there, so that only they are shuffled and not their pixels."""
+    Detections are dealt to the bands (of so many rows) that they cross, and drawn there, so that only they are shuffled and not their pixels."""
     half = F.col("length_um_geodesic") / 2
     place = lambda c, along, at, size: F.least(F.greatest(F.floor(F.col(c) + at * along(F.col("orientation")) + 0.5), F.lit(0)), F.lit(size - 1)).cast("int")
     ends = [place("centroid_y", F.cos, at, height) for at in (half, -half)]
-    bands = F.sequence(_band(F.least(*ends)), _band(F.greatest(*ends)))
+    bands = F.sequence(_band(F.least(*ends), band), _band(F.greatest(*ends), band))
     rows = d.select(image_number().alias("image"), "centroid_y", "centroid_x", "orientation", "length_um_geodesic", "area_px", F.explode(bands).alias("row_band")).repartition(parts_of(d), "image", "row_band")
     at = F.col("step") / 2 - half
     rows = rows.withColumn("step", F.explode(F.sequence(F.lit(0), F.ceil("length_um_geodesic").cast("int") * 2 - 1))).where(at < half)
     points = rows.select("image", "row_band", place("centroid_y", F.cos, at, height).alias("y"), place("centroid_x", F.sin, at, width).alias("x"), (100 + F.col("area_px")).cast("int").alias("value"))
-    return points.where(_band("y") == F.col("row_band")).groupBy("image", "row_band", "y", "x").agg(F.max("value").alias("value"))
+    return points.where(_band("y", band) == F.col("row_band")).groupBy("image", "row_band", "y", "x").agg(F.max("value").alias("value"))
 
 
 def dealt(rows: DataFrame, parts: int | None, *keys: str) -> DataFrame:
@@ -165,14 +165,20 @@ def rooted_runs(pixels: DataFrame, parts: int | None = None) -> DataFrame:
     runs = banded_runs(pixels.select(*[c for c in (*PIXEL, "row_band") if c in pixels.columns]), parts=parts).sortWithinPartitions("image", "row_band", "y", "lo")
     kind = {k: v for k, v in runs.dtypes}
     runs = settled(runs.mapInPandas(_rooted, f"image bigint, y {kind['y']}, lo {kind['lo']}, hi {kind['hi']}, node bigint, open boolean, goes_on boolean"))
+    joined = joined_roots(runs.where("goes_on").select(*RUN, "node", "open"), parts)
+    return runs.where("NOT goes_on").withColumn("root", F.col("node")).select(*RUN, "root").unionAll(joined)
+
+
+def joined_roots(runs: DataFrame, parts: int | None = None) -> DataFrame:
+    """(image, y, lo, hi, root) of runs (with node, the component that is known, and open, whether they may touch runs of others): components that touch are one, named by the least node."""
     edge = runs.where("open")
     low = edge.select("image", (F.col("y") + 1).alias("y"), F.col("lo").alias("above_lo"), F.col("hi").alias("above_hi"), F.col("node").alias("a"))
     met = edge.join(low.hint("merge"), ["image", "y"]).where("lo <= above_hi + 1 AND hi >= above_lo - 1 AND a <> node")
     roots = components(met.select(F.col("image").alias("stack_id"), "a", F.col("node").alias("b")))
     # most components end inside their batch, and their runs aren't dealt again
     roots = dealt(roots.select(F.col("stack_id").alias("image"), "node", "root"), parts, "image", "node")
-    joined = dealt(runs.where("goes_on"), parts, "image", "node").join(roots.hint("merge"), ["image", "node"], "left").withColumn("root", F.coalesce("root", "node"))
-    return runs.where("NOT goes_on").withColumn("root", F.col("node")).select(*RUN, "root").unionAll(joined.select(*RUN, "root"))
+    joined = dealt(runs, parts, "image", "node").join(roots.hint("merge"), ["image", "node"], "left").withColumn("root", F.coalesce("root", "node"))
+    return joined.select(*RUN, "root")
 
 
 def labelled_runs(pixels: DataFrame, parts: int | None = None) -> DataFrame:
