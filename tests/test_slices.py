@@ -103,3 +103,34 @@ def test_a_detection_without_a_length_is_not_drawn(spark, sf_dir):
     d = sources.detections(spark, sf_dir).limit(5).withColumn("length_um_geodesic", F.lit(None).cast("double"))
     with pytest.raises(Exception, match="without a length"):
         segmentation.drawn_slices(d).collect()
+
+
+def test_wide_filters_are_products_and_decide_as_convolutions(monkeypatch):
+    """Which pixels are above a level of the ridges is as by convolution, also where rounding could decide: beside single pixels, where two strengths are equal, and in what is nearly flat."""
+    rng = np.random.default_rng(13)
+    single = np.zeros((90, 100))
+    single[20, 30] = single[70, 71] = 1.0
+    single[50:53, 40:60] = 1e-17 * rng.integers(0, 3, (3, 20))
+    strokes = kernels.blurred((rng.random((90, 100)) < 0.02).astype(float), 1.0)
+    images = [single, np.where(strokes > 0.02, strokes, 0), rng.random((64, 70)), np.zeros((40, 40)), np.ones((40, 45)), rng.random((9, 80)), rng.random((33, 31)) * (rng.random((33, 31)) < 0.1)]
+    rebuilt, plain = [], kernels._strength_at
+    monkeypatch.setattr(kernels, "_strength_at", lambda *a: rebuilt.append(len(a[2])) or plain(*a))
+    for image in images:
+        want = kernels.ridges(image, P.ridge_sigmas)
+        for shares in ((76.14, 66.44), (99.0, 20.0)):
+            got, levels = kernels.ridges_and_levels(image, P.ridge_sigmas, shares)
+            assert np.allclose(got, want, atol=1e-9)
+            for share, level in zip(shares, levels, strict=True):
+                assert ((got > level) == (want > np.percentile(want, share))).all()
+    assert sum(rebuilt)  # some were in doubt
+    sizes, convolve = [], np.convolve
+    monkeypatch.setattr(np, "convolve", lambda a, t, how: sizes.append((len(a), len(t))) or convolve(a, t, how))
+    kernels.ridges_and_levels(images[1], P.ridge_sigmas, (76.14, 66.44))
+    assert all(t <= kernels.SHORT or n <= t * t for n, t in sizes)  # no wide filter over the whole image
+
+
+def test_pixels_are_worked_out_again_to_the_same_bits():
+    image = np.random.default_rng(14).random((50, 60))
+    y, x = np.array([0, 3, 25, 49]), np.array([59, 0, 31, 7])
+    for sigma in (1.0, 2.0, 4.0):
+        assert (kernels._strength_at(image, sigma, y, x) == kernels._ridge_strength(*kernels.hessian(image, sigma))[y, x]).all()
